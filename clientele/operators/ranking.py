@@ -34,36 +34,43 @@ def _num_ranges(df: DataFrame, num_partitions: int | None) -> int:
 
 def global_rank(df: DataFrame, order: Sequence[Column | str], *, rank_col: str = "rn",
                 running_sum: Column | str | None = None, running_col: str = "running_sum",
+                running: Mapping[str, Column | str] | None = None,
                 num_partitions: int | None = None) -> DataFrame:
-    """Add a 1-based row number over the total order ``order`` (and, when
-    asked, the running sum of ``running_sum`` in that order, inclusive).
+    """Add a 1-based row number over the total order ``order`` and,
+    optionally, inclusive running sums in that order (``running`` maps
+    output column → value; ``running_sum``/``running_col`` is the one-sum
+    shorthand).
 
     ``order`` must be a total order (end it with a unique key) for the
     numbering to be reproducible.
     """
+    sums = dict(running or {})
+    if running_sum is not None:
+        sums[running_col] = running_sum
     n = _num_ranges(df, num_partitions)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     tagged = (ranged.withColumn("_range", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)) + 1))
     aggs = [F.count(F.lit(1)).alias("_n")]
-    if running_sum is not None:
-        val = F.col(running_sum) if isinstance(running_sum, str) else running_sum
-        tagged = tagged.withColumn("_val", val)
-        aggs.append(F.sum("_val").alias("_s"))
+    for i, (name, value) in enumerate(sums.items()):
+        tagged = tagged.withColumn(f"_v{i}", F.col(value) if isinstance(value, str) else value)
+        aggs.append(F.sum(f"_v{i}").alias(f"_s{i}"))
     per_range = tagged.groupBy("_range").agg(*aggs)
     # One row per range: a prefix sum over it is a few hundred rows at most.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offs = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before")]
-    if running_sum is not None:
-        offs.append(F.sum("_s").over(before).alias("_s_before"))
+    offs += [F.sum(f"_s{i}").over(before).alias(f"_b{i}") for i in range(len(sums))]
     offsets = per_range.select("_range", *offs)
     out = tagged.join(F.broadcast(offsets), "_range")
     out = out.withColumn(rank_col, F.col("_n_before") + F.col("_local"))
-    if running_sum is not None:
+    if sums:
+        # Running sums inside a range need the range's rows in order: a
+        # window keyed by the range id (ranges are balanced by construction).
         local = Window.partitionBy("_range").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(running_col, F.coalesce(F.col("_s_before"), F.lit(0)) + F.sum("_val").over(local))
-        out = out.drop("_val", "_s_before")
+        for i, name in enumerate(sums):
+            out = out.withColumn(name, F.coalesce(F.col(f"_b{i}"), F.lit(0)) + F.sum(f"_v{i}").over(local))
+        out = out.drop(*[f"_v{i}" for i in range(len(sums))], *[f"_b{i}" for i in range(len(sums))])
     return out.drop("_range", "_local", "_n_before")
 
 
