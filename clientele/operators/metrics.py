@@ -8,7 +8,7 @@ range-partitioned running sums of ``global_rank`` — no single-task window.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
@@ -162,3 +162,43 @@ def summary_metrics(scored: DataFrame, threshold: float = 0.5, label: str = "lab
     return threshold_metrics(scored, threshold, label, score).select(
         "threshold", "accuracy", auc.getField("roc_auc").alias("roc_auc"), "precision", "recall", "f1",
         ap.getField("average_precision").alias("pr_auc"))
+
+
+def grouped_curve(scored: DataFrame, groups: list[str], label: str = "label", score: str = "score",
+                  num_partitions: int | None = None) -> DataFrame:
+    """``score_curve`` per group (fold, model, permutation…): one global
+    rank over (groups, threshold desc); each group's running sums are the
+    global ones minus the totals of the groups before it (a table with one
+    row per group)."""
+    per = scored.groupBy(*groups, F.col(score).cast("double").alias("threshold")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    ranked = global_rank(per, [*[F.col(g) for g in groups], F.col("threshold").desc()], rank_col="_step",
+                         running={"_tp": "pos", "_fp": "neg"}, num_partitions=num_partitions)
+    tot = per.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    w = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*groups, "P", "N", F.coalesce(F.sum("P").over(w), F.lit(0)).alias("_pb"),
+                     F.coalesce(F.sum("N").over(w), F.lit(0)).alias("_nb"))
+    j = ranked.join(F.broadcast(tot), groups)
+    return j.select(*groups, "threshold", "pos", "neg", "P", "N", (F.col("_tp") - F.col("_pb")).alias("tp"),
+                    (F.col("_fp") - F.col("_nb")).alias("fp"))
+
+
+def grouped_metrics(scored: DataFrame, groups: list[str], threshold: float = 0.5, label: str = "label",
+                    score: str = "score", num_partitions: int | None = None) -> DataFrame:
+    """Per group: roc_auc, average_precision, accuracy, precision, recall, f1."""
+    curve = grouped_curve(scored, groups, label, score, num_partitions)
+    terms = curve.select(*groups, "P", "N",
+                         (F.col("pos") * (F.lit(2) * (F.col("N") - F.col("fp")) + F.col("neg"))).alias("_a"),
+                         (ratio("pos", "P") * ratio("tp", F.col("tp") + F.col("fp"))).alias("_ap"))
+    rank_part = terms.groupBy(*groups).agg(
+        ratio(F.sum("_a"), F.lit(2) * F.first("P") * F.first("N")).alias("roc_auc"),
+        F.sum("_ap").alias("average_precision"))
+    t = F.lit(float(threshold))
+    pred, y = F.col(score) >= t, F.col(label) == 1
+    c = scored.groupBy(*groups).agg(F.count_if(pred & y).alias("tp"), F.count_if(pred & ~y).alias("fp"),
+                                    F.count_if(~pred & ~y).alias("tn"), F.count_if(~pred & y).alias("fn"))
+    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
+    precision, recall, f1 = _prf(tp, fp, fn)
+    thr = c.select(*groups, ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"), precision.alias("precision"),
+                   recall.alias("recall"), f1.alias("f1"))
+    return thr.join(rank_part, groups)

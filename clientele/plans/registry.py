@@ -31,10 +31,11 @@ def _wrap(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import churn_queries, retail_queries
+    from . import churn_queries, model_queries, retail_queries
     merged = {}
     merged.update(retail_queries.QUERIES)
     merged.update(churn_queries.QUERIES)
+    merged.update(model_queries.QUERIES)
     return {k: _wrap(v) for k, v in merged.items()}
 
 

@@ -36,10 +36,11 @@ def build_session(master: str | None = None, app_name: str = "clientele",
         builder = builder.master(master)
     conf = dict(RUNTIME_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    if driver_memory:
-        conf["spark.driver.memory"] = driver_memory
+    if driver_memory or (master or "").startswith("local"):
+        conf["spark.driver.memory"] = driver_memory or "16g"
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
