@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..sources import retail
 from ..sources.tables import table
-from . import breakdowns, cohort, monthly, quality, rfm, strategy, users
+from . import breakdowns, clusters, cohort, monthly, quality, rfm, strategy, users
 
 # Parameter of the half-year split (F18) for the test data's time span
 # (1995-01 .. 2001-08); the reference splits its own year at 2010-06-01.
@@ -110,6 +110,9 @@ QUERIES = {
     "recoverable_revenue": lambda s, d: rfm.recoverable_revenue(segments(s, d)),
     "rfm_sample_points": lambda s, d: rfm.sample_points(rfm.rfm_table(user_table(s, d))),
     "rfm_standardized": lambda s, d: rfm.standardized(rfm.rfm_table(user_table(s, d))),
+    "rfm_clusters": lambda s, d: clusters.rfm_clusters(rfm.rfm_table(user_table(s, d))),
+    "cluster_profile": lambda s, d: _cluster_profile(s, d),
+    "kmeans_elbow": lambda s, d: clusters.elbow(rfm.rfm_table(user_table(s, d))),
     # lifecycle, funnel, concentration
     "lifecycle_stage": lambda s, d: strategy.lifecycle_stage(user_table(s, d)),
     "lifecycle_distribution": lambda s, d: strategy.lifecycle_distribution(strategy.lifecycle_stage(user_table(s, d))),
@@ -138,6 +141,11 @@ QUERIES = {
 }
 
 
+def _cluster_profile(spark, sf_dir) -> DataFrame:
+    r = rfm.rfm_table(user_table(spark, sf_dir))
+    return clusters.cluster_profile(r, clusters.rfm_clusters(r))
+
+
 def _kpi(spark, sf_dir) -> DataFrame:
     c = clean(spark, sf_dir)
     u = users.user_metrics(c)
