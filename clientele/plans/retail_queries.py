@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +33,17 @@ def clean(spark, sf_dir, extra=()) -> DataFrame:
 
 
 def user_table(spark, sf_dir) -> DataFrame:
-    return users.user_metrics(clean(spark, sf_dir))
+    """User metrics, persisted: every user-level query makes several passes
+    over it (quantiles, ranks, totals), and it is one row per customer —
+    far smaller than the line table it is aggregated from.  The cache is
+    matched by plan, so later queries on the same tables reuse it; a lost
+    block is recomputed from lineage."""
+    return users.user_metrics(clean(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def segments(spark, sf_dir) -> DataFrame:
-    return rfm.rfm_segments(rfm.rfm_scores(rfm.rfm_table(user_table(spark, sf_dir))))
+    return (rfm.rfm_segments(rfm.rfm_scores(rfm.rfm_table(user_table(spark, sf_dir))))
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def monthly_table(spark, sf_dir) -> DataFrame:

@@ -1,7 +1,7 @@
 """Recency–frequency–monetary scoring and segments."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, elapsed_days, pct_rounded, quartile_by_rank, ratio, seeded_key, translate
@@ -78,17 +78,18 @@ def rfm_segments(scores: DataFrame) -> DataFrame:
 
 def segment_profile(segments: DataFrame) -> DataFrame:
     """Users, share, mean R/F/M, revenue and revenue share per segment."""
-    tot = segments.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("monetary").alias("m")).alias("t")).scalar()
     g = segments.groupBy("rfm_segment").agg(
         F.count(F.lit(1)).alias("users"),
         ratio(F.sum("recency"), F.count(F.lit(1))).alias("avg_recency"),
         ratio(F.sum("frequency"), F.count(F.lit(1))).alias("avg_frequency"),
         ratio(F.sum("monetary"), F.count(F.lit(1))).alias("avg_monetary"),
         F.sum("monetary").alias("revenue"))
+    # Totals over the grouped table (one row per segment), not another pass over users.
+    every = Window.partitionBy()
     return g.select(segment_order(F.col("rfm_segment")).alias("segment_ord"), "rfm_segment", "users",
-                    pct_rounded("users", tot.getField("n"), 1).alias("user_pct"),
+                    pct_rounded("users", F.sum("users").over(every), 1).alias("user_pct"),
                     "avg_recency", "avg_frequency", "avg_monetary", "revenue",
-                    (ratio("revenue", tot.getField("m")) * 100).alias("revenue_pct"))
+                    (ratio("revenue", F.sum("revenue").over(every)) * 100).alias("revenue_pct"))
 
 
 def label_lookup(segments: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
