@@ -151,6 +151,9 @@ def _sql() -> dict[str, str]:
         "clean_transactions": f"WITH {TX} SELECT invoice, stock_code, description, quantity, invoice_date, "
                               "CAST(price AS DOUBLE) AS price, customer_id, country, CAST(revenue AS DOUBLE) AS revenue "
                               "FROM tx",
+        "stream_clean_transactions": f"WITH {TX} SELECT invoice, stock_code, description, quantity, invoice_date, "
+                                     "CAST(price AS DOUBLE) AS price, customer_id, country, "
+                                     "CAST(revenue AS DOUBLE) AS revenue FROM tx",
         "date_parts": f"""WITH {TX} SELECT invoice, invoice_date, CAST(year(invoice_date) AS INTEGER) AS year,
   CAST(month(invoice_date) AS INTEGER) AS month, CAST(week(invoice_date) AS INTEGER) AS week,
   CAST(day(invoice_date) AS INTEGER) AS day, strftime(invoice_date, '%Y-%m') AS year_month FROM tx""",

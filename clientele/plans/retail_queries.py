@@ -64,6 +64,14 @@ def _sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning as an incremental Structured Streaming job over two file
+    drops of the raw table; the result must equal ``clean_transactions``."""
+    from ..streaming.incremental import run_once
+    base = ensure_checkpoint_dir(spark, local_default=True)
+    return run_once(spark, raw(spark, sf_dir), f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}")
+
+
 def _cohort_unpivot(spark, sf_dir) -> DataFrame:
     """The wide cohort matrix turned back into long form."""
     wide = cohort.cohort_matrix(cohort.cohort_retention(clean(spark, sf_dir)))
@@ -85,6 +93,7 @@ QUERIES = {
     "dq_rule_counts": lambda s, d: quality.rule_counts(raw(s, d, _BASE)),
     "cleaning_waterfall": lambda s, d: quality.cleaning_waterfall(raw(s, d, _BASE)),
     "sink_roundtrip": _sink_roundtrip,
+    "stream_clean_transactions": _stream_clean,
     # users
     "order_revenue": lambda s, d: users.order_totals(clean(s, d)).select("customer_id", "invoice", "revenue"),
     "user_metrics": user_table,
