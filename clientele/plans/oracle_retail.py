@@ -336,6 +336,32 @@ SELECT (SELECT count(*) FROM users) AS users, (SELECT {r6(div('sum(mau)', 'count
   (SELECT count(*) FILTER (WHERE rfm_segment IN ('AtRisk', 'Lost')) FROM segs) AS at_risk_users,
   (SELECT {r6(div('count(*) FILTER (WHERE total_orders > 1)', 'count(*)') + ' * 100')} FROM users) AS repeat_pct,
   (SELECT count(*) FILTER (WHERE date_sub('day', last_purchase, (SELECT as_of FROM ref)) <= 30) FROM users) AS active_30d""",
+        "report_metrics": f"""WITH {RFM}, {MONTHLY[len(USERS) + 2:]}, {COHORT[len(TX) + 2:]},
+top AS (SELECT total_revenue, row_number() OVER (ORDER BY total_revenue DESC, customer_id) AS rk FROM users),
+m AS (
+  SELECT 'data' AS section, 'raw_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM tx_raw
+  UNION ALL SELECT 'data', 'clean_rows', count(*) FROM tx
+  UNION ALL SELECT 'data', 'customers', count(DISTINCT customer_id) FROM tx
+  UNION ALL SELECT 'data', 'products', count(DISTINCT stock_code) FROM tx
+  UNION ALL SELECT 'data', 'countries', count(DISTINCT country) FROM tx
+  UNION ALL SELECT 'data', 'revenue', CAST(sum(revenue) AS DOUBLE) FROM tx
+  UNION ALL SELECT 'users', 'repeat_pct', {pct('count(*) FILTER (WHERE total_orders > 1)', 'count(*)')} FROM users
+  UNION ALL SELECT 'users', 'mean_orders', {div('sum(total_orders)', 'count(*)')} FROM users
+  UNION ALL SELECT 'users', 'mean_spend', {div('sum(total_revenue)', 'count(*)')} FROM users
+  UNION ALL SELECT 'users', 'median_spend', quantile_cont(CAST(total_revenue AS DOUBLE), 0.5) FROM users
+  UNION ALL SELECT 'users', 'top_share_pct',
+    {div('coalesce((SELECT sum(total_revenue) FROM top WHERE rk <= (SELECT count(*) FROM users) // 5), 0)', '(SELECT sum(total_revenue) FROM users)')} * 100
+  UNION ALL SELECT 'monthly', 'avg_mau', {div('sum(mau)', 'count(*)')} FROM monthly
+  UNION ALL SELECT 'monthly', 'avg_new_users', {div('sum(new_users)', 'count(*)')} FROM monthly
+  UNION ALL SELECT 'rfm', 'champions_users', count(*) FILTER (WHERE rfm_segment = 'Champions') FROM segs
+  UNION ALL SELECT 'rfm', 'champions_revenue_pct',
+    {div("sum(monetary) FILTER (WHERE rfm_segment = 'Champions')", 'sum(monetary)')} * 100 FROM segs
+  UNION ALL SELECT 'retention', 'month1_mean', {div('sum(retention_rate)', 'count(*)')} FROM ret
+    WHERE period_index = 1 GROUP BY period_index
+  UNION ALL SELECT 'retention', 'month1_zero_filled',
+    {div('sum(retention_rate)', '(SELECT count(*) FROM ret WHERE period_index = 0)')} FROM ret
+    WHERE period_index = 1 GROUP BY period_index)
+SELECT section, metric, round(value, 6) AS value FROM m""",
         "country_users_top10": f"""WITH {TX}, c AS (SELECT country, count(DISTINCT customer_id) AS users FROM tx GROUP BY 1)
 SELECT country, users, {pct('users', '(SELECT count(DISTINCT customer_id) FROM tx)')} AS pct
 FROM c ORDER BY users DESC, country LIMIT 10""",

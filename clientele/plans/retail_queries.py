@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..sources import retail
 from ..sources.tables import table
-from . import breakdowns, clusters, cohort, monthly, quality, rfm, strategy, users
+from . import breakdowns, clusters, cohort, monthly, quality, report, rfm, strategy, users
 
 # Parameter of the half-year split (F18) for the test data's time span
 # (1995-01 .. 2001-08); the reference splits its own year at 2010-06-01.
@@ -139,6 +139,7 @@ QUERIES = {
     "users_retained_intersect": lambda s, d: strategy.retained_users(clean(s, d), _cut()),
     "users_new_except": lambda s, d: strategy.new_users_h2(clean(s, d), _cut()),
     "kpi_summary": lambda s, d: _kpi(s, d),
+    "report_metrics": lambda s, d: _report(s, d),
     # breakdowns
     "country_users_top10": lambda s, d: breakdowns.country_users_top(clean(s, d, ["country"])),
     "country_matrix": lambda s, d: breakdowns.country_matrix(clean(s, d, ["country"])),
@@ -162,6 +163,13 @@ def _cluster_profile(spark, sf_dir) -> DataFrame:
     return clusters.cluster_profile(r, clusters.rfm_clusters(r))
 
 
+def _report(spark, sf_dir) -> DataFrame:
+    c = clean(spark, sf_dir, ["stock_code", "country"])
+    u = user_table(spark, sf_dir)
+    return report.report_metrics(raw(spark, sf_dir, ["invoice"]), c, u, monthly.monthly_user_stats(c, u),
+                                 segments(spark, sf_dir))
+
+
 def _kpi(spark, sf_dir) -> DataFrame:
     c = clean(spark, sf_dir)
     u = users.user_metrics(c)
