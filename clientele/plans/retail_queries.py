@@ -47,8 +47,7 @@ def segments(spark, sf_dir) -> DataFrame:
 
 
 def monthly_table(spark, sf_dir) -> DataFrame:
-    c = clean(spark, sf_dir)
-    return monthly.monthly_user_stats(c, users.user_metrics(c))
+    return monthly.monthly_user_stats(clean(spark, sf_dir), user_table(spark, sf_dir))
 
 
 def _cut():
@@ -172,7 +171,5 @@ def _report(spark, sf_dir) -> DataFrame:
 
 def _kpi(spark, sf_dir) -> DataFrame:
     c = clean(spark, sf_dir)
-    u = users.user_metrics(c)
-    m = monthly.monthly_user_stats(c, u)
-    seg = rfm.rfm_segments(rfm.rfm_scores(rfm.rfm_table(u)))
-    return strategy.kpi_summary(c, u, m, seg)
+    u = user_table(spark, sf_dir)
+    return strategy.kpi_summary(c, u, monthly.monthly_user_stats(c, u), segments(spark, sf_dir))
