@@ -15,10 +15,13 @@ from ..operators import metrics, split
 from ..sources.churn import CATEGORICAL, ID, churn_customers
 from ..sources.tables import table
 from . import churn, quality
+from .materialize import materialized
 
 
 def labelled(spark, sf_dir) -> DataFrame:
-    return churn.with_label(churn_customers(spark, sf_dir))
+    """The labelled customer table, checkpointed once per input: metric
+    queries pass over it several times (curve, totals, scalars)."""
+    return materialized(spark, sf_dir, "churn", lambda: churn.with_label(churn_customers(spark, sf_dir)))
 
 
 def rule_scored(spark, sf_dir) -> DataFrame:

@@ -6,7 +6,6 @@ collected: every callable returns a lazy DataFrame.
 """
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import retail
 from ..sources.tables import table
 from . import breakdowns, clusters, cohort, monthly, quality, report, rfm, strategy, users
+from .materialize import materialized as _materialized
 
 # Parameter of the half-year split (F18) for the test data's time span
 # (1995-01 .. 2001-08); the reference splits its own year at 2010-06-01.
@@ -32,27 +32,6 @@ def clean(spark, sf_dir, extra=()) -> DataFrame:
     return quality.clean(raw(spark, sf_dir, _BASE + [c for c in extra if c not in _BASE]))
 
 
-_MATERIALIZED: dict = {}
-
-
-def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Build a user-level table once per (application, input files) and cut
-    its lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
-
-    User-level queries make several passes (quantiles, ranks, totals as
-    scalar subqueries); starting them from a checkpointed scan keeps their
-    plans short and their recomputation after a lost executor cheap.  The
-    table is one row per customer — far smaller than the lines it comes from.
-    """
-    stamp = tuple(sorted((f, os.path.getmtime(os.path.join(sf_dir, f))) for f in os.listdir(sf_dir))) \
-        if os.path.isdir(sf_dir) else ()
-    key = (spark.sparkContext.applicationId, sf_dir, name, stamp)
-    if key not in _MATERIALIZED:
-        ensure_checkpoint_dir(spark, local_default=True)
-        _MATERIALIZED[key] = build().checkpoint(eager=True)
-    return _MATERIALIZED[key]
-
-
 def user_table(spark, sf_dir) -> DataFrame:
     return _materialized(spark, sf_dir, "users", lambda: users.user_metrics(clean(spark, sf_dir)))
 
