@@ -86,8 +86,12 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, floa
     no buffer of all values in one task.
     """
     v = F.col(value) if isinstance(value, str) else value
-    xs = df.select(v.cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    ranked = global_rank(xs, ["_x"], rank_col="_rn", num_partitions=num_partitions)
+    # The row id only splits runs of equal values across ranges (a value
+    # held by a third of the rows would otherwise land in one range); equal
+    # values are interchangeable, so the quantiles do not depend on it.
+    xs = (df.select(v.cast("double").alias("_x")).where(F.col("_x").isNotNull())
+          .withColumn("_t", F.monotonically_increasing_id()))
+    ranked = global_rank(xs, ["_x", "_t"], rank_col="_rn", num_partitions=num_partitions)
     n = ranked.agg(F.count(F.lit(1)).alias("_cnt"))
     # |probs| rows: the count with each probability attached.
     pairs = F.array(*[F.struct(F.lit(k).alias("_q"), F.lit(float(p)).alias("_p")) for k, p in probs.items()])

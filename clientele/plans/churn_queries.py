@@ -31,6 +31,17 @@ def rule_scored(spark, sf_dir) -> DataFrame:
     return df.select(ID, "label", ratio("recency_days", top).alias("score"))
 
 
+def _insights_json(spark, sf_dir) -> DataFrame:
+    """The insight document (rates, risks, gaps; no model drivers)
+    written as JSON to the shared folder and read back with its schema."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks
+    base = ensure_checkpoint_dir(spark, local_default=True)
+    doc = churn.business_insights(labelled(spark, sf_dir))
+    return sinks.json_roundtrip(doc, f"{base.rstrip('/')}/documents/insights-{uuid.uuid4().hex}")
+
+
 def _best(spark, sf_dir) -> DataFrame:
     s = rule_scored(spark, sf_dir)
     return metrics.best_threshold(s, "f1").unionByName(metrics.best_threshold(s, "recall"))
@@ -51,6 +62,7 @@ QUERIES = {
     "highest_risk_segment": lambda s, d: churn.highest_risk(churn.churn_rates(labelled(s, d))),
     "service_gap": lambda s, d: churn.service_gap(labelled(s, d)),
     "churn_rate_overall": lambda s, d: churn.overall_rate(labelled(s, d)),
+    "insights_json_roundtrip": lambda s, d: _insights_json(s, d),
     "stratified_split": lambda s, d: split.stratified_split(labelled(s, d).select(ID, "label"), "label", ID),
     "stratified_folds": lambda s, d: split.stratified_folds(
         split.stratified_split(labelled(s, d).select(ID, "label"), "label", ID).where("split = 'train'")

@@ -13,7 +13,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 SUBSET = ["clean_transactions", "cleaning_waterfall", "user_metrics", "monthly_user_stats", "rfm_segments",
           "segment_profile", "lifecycle_distribution", "purchase_funnel", "pareto_curve", "cohort_retention",
           "cohort_matrix", "retention_zero_filled", "kpi_summary", "churn_customers", "one_hot",
-          "stratified_folds", "roc_auc", "average_precision", "best_threshold", "classification_report"]
+          "stratified_folds", "roc_auc", "average_precision", "best_threshold", "classification_report",
+          "stream_clean_transactions", "report_metrics"]
 
 
 def canon(df):
