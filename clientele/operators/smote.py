@@ -15,6 +15,11 @@ Exact neighbours without an all-pairs join:
    point joins only the buckets its slab touches.  Distances are computed
    for those candidates only, and the k best kept per point.
 
+Identical vectors are searched once and expanded afterwards (see
+``nearest_neighbours``), so a hot group of copies stays linear.  Dense
+clusters of *distinct* near-identical points still widen the slab; that
+is the remaining cost driver.
+
 The draw is hash-seeded (no ``rand()``), so retries and re-runs give the
 same rows: row at position ``pos`` of ``m`` minority rows makes
 ``S div m`` (+1 while ``pos < S mod m``) synthetic rows, each with a
@@ -49,9 +54,9 @@ def _dist(a: str, b: str):
                               F.lit(0.0), lambda acc, x: acc + x))
 
 
-def nearest_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int, k: int = 5, seed: int = 42,
-                       num_partitions: int | None = None) -> DataFrame:
-    """(id, nbr_rank 0..k-1, nbr_id, nbr_arr): exact k nearest other points."""
+def _distinct_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int, k: int = 5, seed: int = 42,
+                         num_partitions: int | None = None) -> DataFrame:
+    """k nearest other points by (distance, id), for points with distinct vectors."""
     w = _unit_direction(dim, seed)
     proj = points.select(id_col, arr_col, _dot(arr_col, w).alias("_p"))
     ranked = global_rank(proj, ["_p", id_col], rank_col="_rn", num_partitions=num_partitions)
@@ -80,6 +85,41 @@ def nearest_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int, k
                     F.col("_cid").alias("nbr_id"), F.col("_ca").alias("nbr_arr")))
 
 
+def nearest_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int, k: int = 5, seed: int = 42,
+                       num_partitions: int | None = None) -> DataFrame:
+    """(id, nbr_rank 0..k-1, nbr_id, nbr_arr): exact k nearest other points,
+    ties broken by neighbour id.
+
+    Identical vectors ("copies") are searched once: the slab search runs on
+    distinct vectors (represented by their smallest id), and each copy group
+    is expanded through its first k+1 ids only.  A group of copies holding a
+    third of all rows therefore costs k+1 candidates per row, not a third of
+    the table.  (The true neighbours of a row are its own copies, then ids of
+    the k nearest distinct vectors; within a vector the smallest ids come
+    first, so the first k+1 ids of each group are enough.)
+    """
+    pts = points.select(F.col(id_col).alias("_id"), F.col(arr_col).alias("_a"))
+    reps = pts.groupBy("_a").agg(F.min("_id").alias("_rep"))
+    near = _distinct_neighbours(reps, "_rep", "_a", dim, k, seed, num_partitions)
+    # Position of every row inside its copy group, from one global rank.
+    ranked = global_rank(pts, ["_a", "_id"], rank_col="_g", num_partitions=num_partitions)
+    starts = ranked.groupBy("_a").agg(F.min("_g").alias("_g0"))
+    firsts = (ranked.join(starts, "_a").where(F.col("_g") - F.col("_g0") < k + 1)
+              .select("_a", F.col("_id").alias("_cid")))                      # ≤ k+1 per group
+    own = (pts.join(firsts, "_a").where(F.col("_cid") != F.col("_id"))
+           .select("_id", "_cid", F.col("_a").alias("_ca"), F.lit(0.0).alias("_d")))
+    other_groups = near.select(F.col("_rep"), F.col("nbr_arr").alias("_na"))
+    other_ids = (other_groups.join(firsts.withColumnRenamed("_a", "_na"), "_na")
+                 .select("_rep", "_cid", F.col("_na").alias("_ca")))          # ≤ k(k+1) per group
+    rep_of = reps.select("_a", "_rep")
+    others = (pts.join(rep_of, "_a").join(other_ids, "_rep")
+              .select("_id", "_cid", "_ca", _dist("_a", "_ca").alias("_d")))
+    best = Window.partitionBy("_id").orderBy("_d", "_cid")                   # ≤ (k+1)² rows per id
+    return (own.unionByName(others).withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k)
+            .select(F.col("_id").alias(id_col), (F.col("_k") - 1).cast("int").alias("nbr_rank"),
+                    F.col("_cid").alias("nbr_id"), F.col("_ca").alias("nbr_arr")))
+
+
 def _unit_hash(*cols, seed: int):
     """Deterministic uniform in [0, 1) from a 64-bit hash."""
     h = F.xxhash64(*cols, F.lit(seed))

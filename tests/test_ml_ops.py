@@ -10,6 +10,23 @@ from clientele.operators import metrics, split
 from clientele.operators.smote import nearest_neighbours, smote
 
 
+def fold_dist(x, y):
+    """Euclidean distance summed left to right, as the Spark expression does."""
+    return math.sqrt(sum((a - b) * (a - b) for a, b in zip(x, y)))
+
+
+def check_knn(pts, got, k):
+    """Each point's neighbours are at the k smallest distances (equal up to
+    float rounding, so ties within 1e-12 may resolve either way)."""
+    vec = dict(pts)
+    for i, x in pts:
+        want = sorted(fold_dist(x, y) for j, y in pts if j != i)[:k]
+        nbrs = [j for _, j in sorted(got[i])]
+        assert len(nbrs) == k and i not in nbrs and len(set(nbrs)) == k
+        have = sorted(fold_dist(x, vec[j]) for j in nbrs)
+        assert all(abs(a - b) <= 1e-12 for a, b in zip(have, want))
+
+
 def brute_auc(rows):
     pos = [s for y, s in rows if y == 1]
     neg = [s for y, s in rows if y == 0]
@@ -88,9 +105,18 @@ def test_knn_is_exact(spark):
     got = {}
     for r in nearest_neighbours(df, "id", "x", 4, k=5, num_partitions=4).collect():
         got.setdefault(r.id, []).append((r.nbr_rank, r.nbr_id))
-    for i, x in pts:
-        d = sorted((math.dist(x, y), j) for j, y in pts if j != i)
-        assert [j for _, j in sorted(got[i])] == [j for _, j in d[:5]]
+    check_knn(pts, got, 5)
+
+
+def test_knn_with_many_copies_is_exact(spark):
+    rnd = random.Random(11)
+    hot = [0.5, 0.5, 0.5]
+    pts = [(i, hot if i % 3 == 0 else [round(rnd.random(), 1) for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(pts, "id long, x array<double>")
+    got = {}
+    for r in nearest_neighbours(df, "id", "x", 3, k=5, num_partitions=4).collect():
+        got.setdefault(r.id, []).append((r.nbr_rank, r.nbr_id))
+    check_knn(pts, got, 5)
 
 
 def test_smote_balances_and_interpolates(spark):
