@@ -13,8 +13,10 @@ the operators here use the classic distributed form instead:
    the partition count); prefix offsets over it are broadcast back and
    added to the local position.
 
-Both branches read the same range exchange, which Spark reuses, so the
-input is sampled and shuffled once.
+The range-tagged rows are checkpointed (reliable, in the shared
+checkpoint folder) before the two branches split, so the sampled range
+bounds are fixed once: both branches — counts and numbering — see the same
+assignment even when the input arrives in shuffle order.
 """
 from __future__ import annotations
 
@@ -23,6 +25,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -56,6 +60,14 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], *, rank_col: str =
     for i, (name, value) in enumerate(sums.items()):
         tagged = tagged.withColumn(f"_v{i}", F.col(value) if isinstance(value, str) else value)
         aggs.append(F.sum(f"_v{i}").alias(f"_s{i}"))
+    # Range bounds come from sampling the input.  The counts branch and the
+    # numbering branch below must see the *same* bounds, but Spark reuses the
+    # range exchange only when both branches prune to identical columns, and
+    # input read after a shuffle arrives in a different order on every
+    # evaluation.  A reliable checkpoint (shared storage, survives lost
+    # executors) fixes the assignment once for both branches.
+    ensure_checkpoint_dir(df.sparkSession, local_default=True)
+    tagged = tagged.checkpoint(eager=True)
     per_range = tagged.groupBy("_range").agg(*aggs)
     # One row per range: a prefix sum over it is a few hundred rows at most.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

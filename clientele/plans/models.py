@@ -159,14 +159,17 @@ def permutation_importance(model, test: DataFrame, names: list[str], repeats: in
     perm = perm.join(F.broadcast(offs), ["_f", "_r"]).withColumn("_pi", F.col("_g") - F.col("_o"))
     donor = perm.select("_f", "_r", F.col("_pi").alias("_i"),
                         F.element_at("_x", F.col("_f") + 1).alias("_v"))
-    swapped = copies.join(donor, ["_f", "_r", "_i"])
+    # Cut lineage here: the permuted copies are scored and ranked again
+    # below, and every later pass should read this one computed table.
+    swapped = copies.join(donor, ["_f", "_r", "_i"]).checkpoint(eager=True)
     swapped = swapped.select(ID, "label", "_f", "_r", array_to_vector(F.transform(
         "_x", lambda x, j: F.when(j == F.col("_f"), F.col("_v")).otherwise(x))).alias("features"))
     scored = model.transform(swapped).select("_f", "_r", F.col("label").cast("int").alias("label"),
                                              vector_to_array("probability")[1].alias("score"))
     aucs = metrics.grouped_metrics(scored, ["_f", "_r"]).select("_f", "_r", "roc_auc")
     base_auc = metrics.roc_auc(score(model, test)).select(F.struct("roc_auc").alias("s")).scalar()
-    drops = aucs.groupBy("_f").agg(F.avg(base_auc.getField("roc_auc") - F.col("roc_auc")).alias("importance"))
+    diffs = aucs.select("_f", (base_auc.getField("roc_auc") - F.col("roc_auc")).alias("_drop"))
+    drops = diffs.groupBy("_f").agg(F.avg("_drop").alias("importance"))
     names_map = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
     return drops.select(F.element_at(names_map, F.col("_f")).alias("feature"), "importance")
 
@@ -196,10 +199,11 @@ def shapley_importance(model, rows: DataFrame, background: DataFrame, names: lis
         F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
                                  lambda j: F.struct(perm_rank(F.col("_p"), j).alias("h"), j.alias("j")))),
         lambda s: s["j"]))
-    steps = expanded.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
+    # The background vector rides along as a column: lambdas cannot hold subqueries.
+    steps = expanded.select("*", bgv.alias("_bg"), F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
     # Feature j takes the row's value once it is among the first k of the order.
     vec = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.when(
-        F.array_position("_order", j) <= F.col("_k"), F.element_at("_x", j + 1)).otherwise(F.element_at(bgv, j + 1)))
+        F.array_position("_order", j) <= F.col("_k"), F.element_at("_x", j + 1)).otherwise(F.element_at("_bg", j + 1)))
     filled = steps.select(ID, "_p", "_k", "_order", array_to_vector(vec).alias("features"))
     scored = model.transform(filled).select(ID, "_p", "_k", "_order",
                                             vector_to_array("probability")[1].alias("_s"))

@@ -136,3 +136,14 @@ def test_smote_balances_and_interpolates(spark):
     lo = [min(v[j] for v in minority) for j in range(2)]
     hi = [max(v[j] for v in minority) for j in range(2)]
     assert all(lo[j] - 1e-12 <= v[j] <= hi[j] + 1e-12 for v in synth for j in range(2))
+
+
+def test_grouped_metrics_match_per_group(spark):
+    rnd = random.Random(13)
+    rows = [(g, rnd.randint(0, 1), round(rnd.random(), 2)) for g in range(4) for _ in range(80)]
+    df = spark.createDataFrame(rows, "g int, label int, score double")
+    got = {r.g: r for r in metrics.grouped_metrics(df, ["g"], num_partitions=3).collect()}
+    for g in range(4):
+        sub = [(y, s) for gg, y, s in rows if gg == g]
+        assert got[g].roc_auc == pytest.approx(brute_auc(sub))
+        assert got[g].average_precision == pytest.approx(brute_ap(sub))
