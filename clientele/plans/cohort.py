@@ -21,11 +21,18 @@ def user_cohort(clean: DataFrame) -> DataFrame:
 
 
 def cohort_counts(clean: DataFrame) -> DataFrame:
-    """Distinct users per (cohort, period index)."""
+    """Distinct users per (cohort, period index).
+
+    One pass over the lines: distinct (customer, month) pairs; a customer's
+    cohort is the smallest of their months, taken from the same pairs (a
+    per-customer aggregate of at most one row per month), so the line table
+    is not scanned and joined a second time."""
     active = (clean.select("customer_id", F.trunc("invoice_date", "MM").alias("order_start"))
               .dropDuplicates(["customer_id", "order_start"]))
-    j = active.join(user_cohort(clean), "customer_id")
-    return (j.groupBy("cohort_month", month_index("cohort_start", "order_start").alias("period_index"))
+    first = active.groupBy("customer_id").agg(F.min("order_start").alias("cohort_start"))
+    j = active.join(first, "customer_id")
+    return (j.groupBy(F.date_format("cohort_start", "yyyy-MM").alias("cohort_month"),
+                      month_index("cohort_start", "order_start").alias("period_index"))
             .agg(F.count(F.lit(1)).alias("users")))
 
 
