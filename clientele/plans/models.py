@@ -221,7 +221,3 @@ def shapley_importance(model, rows: DataFrame, background: DataFrame, names: lis
 def best_of(results: DataFrame, metric: str = "roc_auc") -> str:
     """Key of the best row of a small metric table (a decision, not data)."""
     return results.orderBy(F.col(metric).desc(), F.col("model_key")).first()["model_key"]
-
-
-def ceil_div(a: int, b: int) -> int:
-    return int(math.ceil(a / b))

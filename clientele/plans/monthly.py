@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import pct_rounded, ratio, year_month
+from ..functions.columns import ratio, year_month
 
 
 def user_months(clean: DataFrame) -> DataFrame:
