@@ -30,12 +30,6 @@ from ..session import ensure_checkpoint_dir
 _LOW_BITS = (1 << 33) - 1
 
 
-def _num_ranges(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def global_rank(df: DataFrame, order: Sequence[Column | str], *, rank_col: str = "rn",
                 running_sum: Column | str | None = None, running_col: str = "running_sum",
                 running: Mapping[str, Column | str] | None = None,
@@ -51,9 +45,14 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], *, rank_col: str =
     sums = dict(running or {})
     if running_sum is not None:
         sums[running_col] = running_sum
-    n = _num_ranges(df, num_partitions)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    if num_partitions:
+        ranged = df.repartitionByRange(num_partitions, *order_cols)
+    else:
+        # No fixed count: AQE may merge adjacent small ranges (order kept),
+        # so tiny inputs do not become hundreds of empty tasks and files.
+        ranged = df.repartitionByRange(*order_cols)
+    ranged = ranged.sortWithinPartitions(*order_cols)
     tagged = (ranged.withColumn("_range", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)) + 1))
     aggs = [F.count(F.lit(1)).alias("_n")]

@@ -31,12 +31,13 @@ def test_exact_quantiles_empty(spark):
     assert exact_quantiles(df, "x", {"m": 0.5}).first()["quantiles"]["m"] is None
 
 
-def test_global_rank_on_shuffled_input_is_a_permutation(spark):
+@pytest.mark.parametrize("parts", [6, None])
+def test_global_rank_on_shuffled_input_is_a_permutation(spark, parts):
     # Input read after a shuffle (nondeterministic order) with columns the
     # counting branch does not need: numbering must still be 1..n exactly once.
     base = spark.range(0, 5000).withColumn("k", (F.col("id") * 31 % 977).cast("long"))
     shuffled = base.repartition(9).withColumn("payload", F.concat(F.lit("p"), F.col("id").cast("string")))
-    out = global_rank(shuffled, ["k", "id"], running={"cum": "k"}, num_partitions=6).toPandas()
+    out = global_rank(shuffled, ["k", "id"], running={"cum": "k"}, num_partitions=parts).toPandas()
     assert sorted(out.rn.tolist()) == list(range(1, 5001))
     exp = out.sort_values(["k", "id"])
     assert (exp.rn.values == np.arange(1, 5001)).all()
