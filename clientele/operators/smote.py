@@ -34,7 +34,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import global_rank
+from .ranking import exact_quantiles, global_rank
 
 
 def _unit_direction(dim: int, seed: int) -> list[float]:
@@ -71,7 +71,10 @@ def _distinct_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int,
         "_qid", F.element_at("_ds", F.least(F.lit(k), F.size("_ds"))).alias("_r"))
     # Step 3: slab candidates through buckets along w.
     q = ranked.join(radius, ranked[id_col] == radius["_qid"]).select("_qid", F.col(arr_col).alias("_qa"), "_p", "_r")
-    width = radius.agg(F.greatest(F.percentile_approx("_r", 0.5), F.lit(1e-9))).scalar()
+    # Bucket width: the exact median radius — deterministic, so query and
+    # candidate sides always bucket with the same value.
+    med = exact_quantiles(radius, "_r", {"m": 0.5}, num_partitions=num_partitions).scalar().getField("m")
+    width = F.greatest(F.coalesce(med, F.lit(1.0)), F.lit(1e-9))
     qb = q.select("*", F.explode(F.sequence(F.floor((F.col("_p") - F.col("_r")) / width).cast("long"),
                                             F.floor((F.col("_p") + F.col("_r")) / width).cast("long"))).alias("_b"))
     cands = ranked.select(F.col(id_col).alias("_cid"), F.col(arr_col).alias("_ca"), F.col("_p").alias("_cp"),
