@@ -72,7 +72,15 @@ def test_results(spark, sf_dir) -> DataFrame:
 
 
 def cv_leaderboard(spark, sf_dir) -> DataFrame:
-    """5-fold CV of all models; fold fits run as concurrent Spark jobs."""
+    """5-fold CV of all models; fold fits run as concurrent Spark jobs.
+    The fitted folds are kept for the process, like the other fits."""
+    ck = ("cv", sf_dir)
+    if ck not in _CACHE:
+        _CACHE[ck] = _cv_leaderboard(spark, sf_dir)
+    return _CACHE[ck]
+
+
+def _cv_leaderboard(spark, sf_dir) -> DataFrame:
     train, _, names, n_train = _prepared(spark, sf_dir)
     folds = split.stratified_folds(train, "label", ID, models.CV_FOLDS, models.SEED).checkpoint()
     tasks = [(k, f) for k in MODEL_KEYS for f in range(models.CV_FOLDS)]
@@ -168,11 +176,15 @@ def model_summary(spark, sf_dir) -> DataFrame:
     thr = threshold_tuning(spark, sf_dir).agg(F.first(F.struct("*"))).scalar()
     imp = (feature_importance(spark, sf_dir).orderBy(F.col("importance").desc(), "feature").limit(20)
            .agg(F.map_from_entries(F.collect_list(F.struct("feature", "importance"))))).scalar()
+    cv = cv_leaderboard(spark, sf_dir).orderBy(F.col("cv_roc_auc_mean").desc()).agg(
+        F.collect_list(F.struct("*"))).scalar()
+    insights = business_insights(spark, sf_dir).select(F.struct("*")).scalar()
     return lab.limit(1).select(F.struct(F.lit(key).alias("model_key"),
                                         F.lit(models.DISPLAY_NAMES[key]).alias("model")).alias("best_model"),
-                               tests.alias("test_results"), tuned.alias("tuned_threshold_result"),
-                               thr.alias("threshold_optimization"), imp.alias("feature_importances"),
-                               info.alias("dataset_info"))
+                               cv.alias("cross_validation"), tests.alias("test_results"),
+                               tuned.alias("tuned_threshold_result"), thr.alias("threshold_optimization"),
+                               imp.alias("feature_importances"), info.alias("dataset_info"),
+                               insights.alias("business_insights"))
 
 
 def _single(key):
