@@ -2,7 +2,7 @@
 application writing its outputs — leaderboard and importances as CSV, the
 result and insight documents as JSON, all under ``out_dir``.
 
-    python -m clientele.plans.pipeline <sf_dir> <out_dir>
+    python -m clientele.plans.churn_run <sf_dir> <out_dir>
 """
 from __future__ import annotations
 
