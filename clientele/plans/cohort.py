@@ -7,7 +7,7 @@ a table bounded by months², not by data volume.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_index, pct_rounded, ratio, year_month
@@ -40,8 +40,10 @@ def cohort_retention(clean: DataFrame) -> DataFrame:
     """Long form; the cohort size is its period-0 count (every
     user buys in their cohort month), rate in percent to one place."""
     counts = cohort_counts(clean)
-    sizes = counts.where(F.col("period_index") == 0).select("cohort_month", F.col("users").alias("cohort_size"))
-    return (counts.join(sizes, "cohort_month")
+    # Size from the (cohort, period) table itself — at most one row per month
+    # per cohort — instead of a self-join that would plan the lines twice.
+    size = F.sum(F.when(F.col("period_index") == 0, F.col("users"))).over(Window.partitionBy("cohort_month"))
+    return (counts.withColumn("cohort_size", size)
             .select("cohort_month", F.col("period_index").cast("int").alias("period_index"), "users", "cohort_size",
                     pct_rounded("users", "cohort_size", 1).alias("retention_rate")))
 
