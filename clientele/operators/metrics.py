@@ -169,7 +169,8 @@ def grouped_curve(scored: DataFrame, groups: list[str], label: str = "label", sc
     """``score_curve`` per group (fold, model, permutation…): one global
     rank over (groups, threshold desc); each group's running sums are the
     global ones minus the totals of the groups before it (a table with one
-    row per group)."""
+    row per group).  Meant for few groups — folds × models, features ×
+    repeats — since the group offsets are a prefix sum over that table."""
     per = scored.groupBy(*groups, F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     ranked = global_rank(per, [*[F.col(g) for g in groups], F.col("threshold").desc()], rank_col="_step",
@@ -178,7 +179,7 @@ def grouped_curve(scored: DataFrame, groups: list[str], label: str = "label", sc
     w = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*groups, "P", "N", F.coalesce(F.sum("P").over(w), F.lit(0)).alias("_pb"),
                      F.coalesce(F.sum("N").over(w), F.lit(0)).alias("_nb"))
-    j = ranked.join(F.broadcast(tot), groups)
+    j = ranked.join(tot, groups)  # AQE broadcasts it when small (size-checked)
     return j.select(*groups, "threshold", "pos", "neg", "P", "N", (F.col("_tp") - F.col("_pb")).alias("tp"),
                     (F.col("_fp") - F.col("_nb")).alias("fp"))
 
