@@ -135,7 +135,8 @@ QUERIES = {
     "kpi_summary": lambda s, d: _kpi(s, d),
     "report_metrics": lambda s, d: _report(s, d),
     # breakdowns
-    "country_users_top10": lambda s, d: breakdowns.country_users_top(clean(s, d, ["country"])),
+    "country_users_top10": lambda s, d: breakdowns.country_users_top(clean(s, d, ["country"]),
+                                                                      users=user_table(s, d)),
     "country_matrix": lambda s, d: breakdowns.country_matrix(clean(s, d, ["country"])),
     "top_products": lambda s, d: breakdowns.top_products(clean(s, d, ["description"])),
     "weekday_hour_revenue": lambda s, d: breakdowns.weekday_hour(clean(s, d), "invoice_date", "revenue"),
