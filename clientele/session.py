@@ -59,8 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession, local_default: bool = False) -> s
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The folder must be on storage every executor reaches.  Only when the
-    setting is absent *and* ``local_default`` is requested (tests, local
-    bench) is a private folder under the system temp dir created.
+    setting is absent, ``local_default`` is requested *and* the master is
+    local (tests, local bench) is a private folder under the system temp
+    dir created; otherwise a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -68,7 +69,9 @@ def ensure_checkpoint_dir(spark: SparkSession, local_default: bool = False) -> s
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not local_default:
+        # A private temp folder is only acceptable when everything runs in
+        # this one process (local master); a cluster must name shared storage.
+        if not (local_default and sc.master.startswith("local")):
             raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
         configured = tempfile.mkdtemp(prefix="clientele-ckpt-")
     sc.setCheckpointDir(configured)
