@@ -91,7 +91,9 @@ def _cv_leaderboard(spark, sf_dir) -> DataFrame:
         return models.score(m, folds.where(F.col("fold") == f).drop("fold")).select(
             F.lit(k).alias("model_key"), F.lit(f).alias("fold"), "label", "score")
 
-    with ThreadPoolExecutor(max_workers=4) as pool:
+    # Fold fits are small, job-overhead-bound iterative jobs: run up to
+    # eight at once (Spark schedules their tasks side by side).
+    with ThreadPoolExecutor(max_workers=8) as pool:
         parts = list(pool.map(run, tasks))
     scored = parts[0]
     for p in parts[1:]:
