@@ -33,24 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBatch, checkpointed, shingles, stored, utf8_buffers
+from .common import TextBatch, checkpointed, pick, shingles, stored, utf8_buffers
 from .components import connected_components
 from .minhash_kernel import (SKETCH_BINS, band_keys, may_reach, set_digest, signature, sketch)
 
 SHINGLE = 5
-# Ids that may be broadcast to pick documents (16 MB); more go through a shuffled join.
-BROADCAST_IDS = 1 << 21
 QUERY_BLOCK, DATA_BLOCK = 512, 4096
 
 
-def pick(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """Semi or anti join by id; the id list is broadcast only if it is counted to be small."""
-    ids = ids.select(F.col(ids.columns[0]).alias("_picked_id")).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col] == ids["_picked_id"], how)
-
-
 def _shingle_sets(texts: pa.Array):
     words = TextBatch(texts, "space")
     for lo, hi in zip(words.first[:-1], words.first[1:]):
