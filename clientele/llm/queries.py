@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup
+from . import decontaminate, language_id, minhash_dedup, mix_sources, pack_tokens
 from .common import prepare, table
 
 
@@ -29,6 +29,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed token-id sequences of 2048."""
+    prepare(spark)
+    return pack_tokens.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mix of sources weighted by count ** 0.7."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources.mix(docs, mix_sources.source_weights(docs), carry=["doc_id"]).select("row.doc_id", F.col("*")).drop("row")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     prepare(spark)
@@ -38,6 +51,8 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
+    "op3_pack_tokens": op3_pack_tokens,
+    "op5_mix_sources": op5_mix_sources,
     "op8_minhash_dedup": op8_minhash_dedup,
 }
 
