@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pick
+from .common import checkpointed, lower_ascii, pick
 
 # Bytes that separate words, in lower-cased and in original text.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,14 +37,8 @@ WINDOW = 10
 BLOCK_ROWS = 200_000
 
 
-def _lower(text: Column) -> Column:
-    """Lower-case A-Z only; ``lower`` does just that on pure ASCII and is faster."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
-        F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-
 def words(text: Column) -> Column:
-    return F.filter(F.split(_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
 def _blocks(small: DataFrame, key: str) -> list[DataFrame]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, mix_sources, pack_tokens
+from . import decontaminate, language_id, minhash_dedup, mix_sources, pack_tokens, url_filter
 from .common import prepare, table
 
 
@@ -35,6 +35,17 @@ def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens.pack(table(spark, sf_dir, "documents"))
 
 
+# The rules every page is judged by (host, path prefix, action).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page."""
+    prepare(spark)
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the mix of sources weighted by count ** 0.7."""
     prepare(spark)
@@ -52,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_pack_tokens": op3_pack_tokens,
+    "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op8_minhash_dedup": op8_minhash_dedup,
 }
@@ -77,6 +89,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op4_url_filter": f"""
+        WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        rules(host, path, action) AS (VALUES {", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)}),
+        fits AS (SELECT p.page_id, r.host || r.path AS rule, action,
+                        row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS k
+                 FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
+        FROM p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1""",
     "op8_minhash_dedup": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
