@@ -64,6 +64,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 1 << 21
 
 
+def if_small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """``df`` for a join: written once, and broadcast if its rows are counted to be at most ``rows``."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def pick(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """Semi or anti join by id; the id list is broadcast only if it is counted to be small."""
     ids = ids.select(F.col(ids.columns[0]).alias("_picked_id")).distinct()

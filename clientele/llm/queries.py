@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, mix_sources, pack_tokens, url_filter
-from .common import prepare, table
+from . import decontaminate, language_id, minhash_dedup, mix_sources, pack_tokens, url_filter, warc
+from .common import prepare, shared_path, table
 
 
 def _remainder(n: int):
@@ -59,6 +59,14 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length, digest and record type of every page after a round through WARC archives."""
+    prepare(spark)
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -66,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_warc": op9_warc,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,4 +123,12 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+        o AS (SELECT n, digest, max(page_id) AS origin FROM d WHERE n >= 1000 GROUP BY ALL)
+        SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN o.origin <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN o.origin <> d.page_id THEN o.origin END AS refers_to
+        FROM d LEFT JOIN o ON o.n = d.n AND o.digest = d.digest""",
 }
