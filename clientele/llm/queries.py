@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, mix_sources, pack_tokens, url_filter, warc
+from . import decontaminate, fingerprint, language_id, minhash_dedup, mix_sources, pack_tokens, url_filter, warc
 from .common import prepare, shared_path, table
 
 
@@ -53,6 +53,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.mix(docs, mix_sources.source_weights(docs), carry=["doc_id"]).select("row.doc_id", F.col("*")).drop("row")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, with their likeness and that of the next document."""
+    prepare(spark)
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     prepare(spark)
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_tokens": op3_pack_tokens,
     "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
+    "op6_fingerprint": op6_fingerprint,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_warc": op9_warc,
 }
