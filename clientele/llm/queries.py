@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_id, minhash_dedup, mix_sources, pack_tokens, substring_dedup, url_filter, warc
+from . import decontaminate, fingerprint, language_id, minhash_dedup, mix_sources, pack_tokens, substring_dedup, toxicity, url_filter, warc
 from .common import prepare, shared_path, table
 
 
@@ -59,6 +59,15 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document (model fitted on two thirds of the labels)."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), where=_remainder(3) != 1)
+    held = docs.select("doc_id", "text", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"))
+    return toxicity.score(held, model, keep=["doc_id", "held_out"])
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     prepare(spark)
@@ -86,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op6_fingerprint": op6_fingerprint,
+    "op7_toxicity": op7_toxicity,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_warc": op9_warc,
     "op10_suffix_dedup": op10_suffix_dedup,
