@@ -69,6 +69,12 @@ def _totals(scored: DataFrame, label: str) -> Column:
                                F.count_if(F.col(label) != 1).alias("n")).alias("t")).scalar()
 
 
+def _wide_product(a: Column | str, b: Column | str) -> Column:
+    """Exact product of two counts: 2·P·N passes BIGINT at some billion rows of each class."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return (a.cast("decimal(18,0)") * b.cast("decimal(19,0)")).cast("decimal(37,0)")
+
+
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
             num_partitions: int | None = None) -> DataFrame:
     """ROC-AUC with tied scores counted half (Mann–Whitney), from
@@ -76,9 +82,9 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
     t = _totals(scored, label)
     curve = score_curve(scored, label, score, num_partitions)
     below = t.getField("n") - F.col("fp")
-    terms = curve.select((F.col("pos") * (F.lit(2) * below + F.col("neg"))).alias("_t"))
+    terms = curve.select(_wide_product("pos", F.lit(2) * below + F.col("neg")).alias("_t"))
     num = terms.agg(F.sum("_t").alias("_num"))
-    return num.select(ratio("_num", F.lit(2) * t.getField("p") * t.getField("n")).alias("roc_auc"))
+    return num.select(ratio("_num", F.lit(2) * _wide_product(t.getField("p"), t.getField("n"))).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, label: str = "label", score: str = "score",
@@ -189,10 +195,10 @@ def grouped_metrics(scored: DataFrame, groups: list[str], threshold: float = 0.5
     """Per group: roc_auc, average_precision, accuracy, precision, recall, f1."""
     curve = grouped_curve(scored, groups, label, score, num_partitions)
     terms = curve.select(*groups, "P", "N",
-                         (F.col("pos") * (F.lit(2) * (F.col("N") - F.col("fp")) + F.col("neg"))).alias("_a"),
+                         _wide_product("pos", F.lit(2) * (F.col("N") - F.col("fp")) + F.col("neg")).alias("_a"),
                          (ratio("pos", "P") * ratio("tp", F.col("tp") + F.col("fp"))).alias("_ap"))
     rank_part = terms.groupBy(*groups).agg(
-        ratio(F.sum("_a"), F.lit(2) * F.first("P") * F.first("N")).alias("roc_auc"),
+        ratio(F.sum("_a"), F.lit(2) * _wide_product(F.first("P"), F.first("N"))).alias("roc_auc"),
         F.sum("_ap").alias("average_precision"))
     t = F.lit(float(threshold))
     pred, y = F.col(score) >= t, F.col(label) == 1

@@ -47,7 +47,3 @@ def weekday_hour(df: DataFrame, ts: str, amount: str) -> DataFrame:
     out = grid.join(F.broadcast(per), ["weekday_ord", "hour"], "left")
     return out.select("weekday_ord", "weekday", "hour",
                       F.coalesce(F.col("_amt").cast("double"), F.lit(0.0)).alias("revenue"))
-
-
-def weekday_hour_pivot(long: DataFrame) -> DataFrame:
-    return long.groupBy("weekday_ord", "weekday").pivot("hour", list(range(24))).agg(F.first("revenue"))

@@ -36,10 +36,12 @@ def impute_median(df: DataFrame, column: str) -> DataFrame:
 
 
 def categorical_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct levels per categorical column.  The result is
-    metadata (a few values per column), gathered by one aggregate."""
-    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
-    return {c: list(row[c] or []) for c in columns}
+    """Sorted distinct levels per categorical column, from one distinct over
+    (column, level) rows; only the level names reach the driver."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("level"))
+                      for i, c in enumerate(columns)])
+    found = df.select(F.explode(cells).alias("c")).select("c.*").where("level IS NOT NULL").distinct().collect()
+    return {c: sorted(r["level"] for r in found if r["i"] == i) for i, c in enumerate(columns)}
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list[str]] | None = None) -> DataFrame:
@@ -106,7 +108,9 @@ def business_insights(labelled: DataFrame, importances: DataFrame | None = None,
     cols = [F.col("overall_churn_rate"), risk_s.alias("highest_risk"), gaps_s.alias("service_gaps")]
     if importances is not None:
         drivers = (importances.orderBy(F.col("importance").desc(), F.col("feature")).limit(top)
-                   .agg(F.collect_list(F.struct("feature", "importance"))).scalar())
+                   .agg(F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("o"), "feature", "importance")))
+                        .alias("d")).select(F.transform("d", lambda x: F.struct(
+                            x["feature"].alias("feature"), x["importance"].alias("importance")))).scalar())
         cols.append(drivers.alias("top_model_drivers"))
     return doc.select(*cols)
 

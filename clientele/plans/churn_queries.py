@@ -50,14 +50,14 @@ def _best(spark, sf_dir) -> DataFrame:
 QUERIES = {
     "churn_customers": churn_customers,
     "churn_label": lambda s, d: labelled(s, d).select(ID, "churn", "label"),
-    "churn_nulls": lambda s, d: quality.null_counts(churn_customers(s, d)),
-    "class_distribution": lambda s, d: quality.value_counts(churn_customers(s, d), "churn"),
+    "churn_nulls": lambda s, d: quality.null_counts(labelled(s, d).drop("label")),
+    "class_distribution": lambda s, d: quality.value_counts(labelled(s, d), "churn"),
     "label_quality_distribution": lambda s, d: quality.value_counts(table(s, d, "labels"), "quality"),
     "numeric_summary": lambda s, d: quality.numeric_summary(
-        churn_customers(s, d), ["tenure_days", "avg_order_value", "total_spend"]),
-    "impute_median": lambda s, d: churn.impute_median(churn_customers(s, d), "avg_days_between_orders").select(
+        labelled(s, d), ["tenure_days", "avg_order_value", "total_spend"]),
+    "impute_median": lambda s, d: churn.impute_median(labelled(s, d), "avg_days_between_orders").select(
         ID, "avg_days_between_orders"),
-    "one_hot": lambda s, d: churn.one_hot(churn_customers(s, d).select(ID, *CATEGORICAL), CATEGORICAL),
+    "one_hot": lambda s, d: churn.one_hot(labelled(s, d).select(ID, *CATEGORICAL), CATEGORICAL),
     "churn_rate_by_segment": lambda s, d: churn.churn_rates(labelled(s, d)),
     "highest_risk_segment": lambda s, d: churn.highest_risk(churn.churn_rates(labelled(s, d))),
     "service_gap": lambda s, d: churn.service_gap(labelled(s, d)),

@@ -23,15 +23,12 @@ def user_cohort(clean: DataFrame) -> DataFrame:
 def cohort_counts(clean: DataFrame) -> DataFrame:
     """Distinct users per (cohort, period index).
 
-    One pass over the lines: distinct (customer, month) pairs; a customer's
-    cohort is the smallest of their months, taken from the same pairs (a
-    per-customer aggregate of at most one row per month), so the line table
-    is not scanned and joined a second time."""
-    active = (clean.select("customer_id", F.trunc("invoice_date", "MM").alias("order_start"))
-              .dropDuplicates(["customer_id", "order_start"]))
-    first = active.groupBy("customer_id").agg(F.min("order_start").alias("cohort_start"))
-    j = active.join(first, "customer_id")
-    return (j.groupBy(F.date_format("cohort_start", "yyyy-MM").alias("cohort_month"),
+    One scan and one exchange: each customer's set of months (at most one
+    entry per month of the data) is collected with map-side partial sets, and
+    the cohort is its smallest entry."""
+    months = clean.groupBy("customer_id").agg(F.collect_set(F.trunc("invoice_date", "MM")).alias("months"))
+    active = months.select(F.array_min("months").alias("cohort_start"), F.explode("months").alias("order_start"))
+    return (active.groupBy(F.date_format("cohort_start", "yyyy-MM").alias("cohort_month"),
                       month_index("cohort_start", "order_start").alias("period_index"))
             .agg(F.count(F.lit(1)).alias("users")))
 
@@ -48,10 +45,11 @@ def cohort_retention(clean: DataFrame) -> DataFrame:
                     pct_rounded("users", "cohort_size", 1).alias("retention_rate")))
 
 
-def cohort_matrix(retention: DataFrame) -> DataFrame:
-    """Cohorts × period index, cells = retention rate (null = no users).
-    The period list is taken from the (small) long table."""
-    return retention.groupBy("cohort_month").pivot("period_index").agg(F.first("retention_rate"))
+def cohort_matrix(retention: DataFrame, max_period: int) -> DataFrame:
+    """Cohorts × period index 0..max_period, cells = retention rate (null = no users).
+    The period list is given, so no job runs while the plan is built."""
+    return retention.groupBy("cohort_month").pivot("period_index", list(range(max_period + 1))).agg(
+        F.first("retention_rate"))
 
 
 def retention_insight(retention: DataFrame, periods=(1, 3)) -> DataFrame:

@@ -29,12 +29,15 @@ def new_users_by_month(users: DataFrame) -> DataFrame:
 def monthly_user_stats(clean: DataFrame, users: DataFrame) -> DataFrame:
     """A5 + J2: MAU, revenue, distinct orders and new users per month.
 
-    An invoice belongs to one customer and one month, so the month's
-    distinct orders are the sum of the per-customer distinct counts.
+    Lines are reduced to (month, invoice, customer) first; the two distinct
+    counts then run on that table, not on the lines.  An invoice of two
+    customers is one order of the month.
     """
-    months = user_months(clean).groupBy("year_month").agg(
-        F.count(F.lit(1)).alias("mau"), F.sum("revenue").alias("total_revenue"),
-        F.sum("orders").alias("total_orders"))
+    orders = (clean.groupBy(year_month("invoice_date").alias("year_month"), "invoice", "customer_id")
+              .agg(F.sum("revenue").alias("revenue")))
+    months = orders.groupBy("year_month").agg(
+        F.count_distinct("customer_id").alias("mau"), F.sum("revenue").alias("total_revenue"),
+        F.count_distinct("invoice").alias("total_orders"))
     return (months.join(new_users_by_month(users), "year_month", "left")
             .select("year_month", "mau", "total_revenue", "total_orders",
                     F.coalesce(F.col("new_users"), F.lit(0)).cast("long").alias("new_users")))

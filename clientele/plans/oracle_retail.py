@@ -7,7 +7,18 @@ place" are rounded half-up on integers (``pct``).
 """
 from __future__ import annotations
 
-from .retail_queries import HALF_YEAR_CUT
+# Fixed values, restated here on purpose: a wrong constant in the plans must not pass on both sides.
+HALF_YEAR_CUT = "1998-06-01 00:00:00"
+SPEND_EDGES = [0, 100, 500, 1000, 3000, 5000, 10000, float("inf")]
+SPEND_LABELS = ["<100", "100-500", "500-1K", "1K-3K", "3K-5K", "5K-10K", ">10K"]
+FREQUENCY_EDGES = [0, 1, 2, 5, 10, 20, 50, float("inf")]
+FREQUENCY_LABELS = ["1", "2", "3-5", "6-10", "11-20", "21-50", "50+"]
+INTERVAL_EDGES = [0, 7, 14, 30, 60, 90, 180, float("inf")]
+INTERVAL_LABELS = ["<7d", "7-14d", "14-30d", "30-60d", "60-90d", "90-180d", ">180d"]
+SEGMENT_LABELS = {"Champions": "High-value champions", "Loyal": "Loyal customers", "Potential": "Potential loyalists",
+                  "AtRisk": "At risk", "Lost": "Lost", "New": "New customers", "Average": "Average customers"}
+SEGMENTS = list(SEGMENT_LABELS)
+STAGES = ["New", "Active", "VIP", "Growing", "Normal", "AtRisk"]
 
 
 def pct(num: str, den: str, places: int = 1) -> str:
@@ -120,10 +131,6 @@ GROUP BY v.band_ord, v.band"""
 
 
 def _sql() -> dict[str, str]:
-    from .users import FREQUENCY_EDGES, FREQUENCY_LABELS, INTERVAL_EDGES, INTERVAL_LABELS, SPEND_EDGES, SPEND_LABELS
-    from .rfm import SEGMENTS, SEGMENT_LABELS
-    from .strategy import STAGES
-
     seg_ord = "CASE rfm_segment " + " ".join(f"WHEN '{s}' THEN {i + 1}" for i, s in enumerate(SEGMENTS)) + " END"
     seg_lbl = "CASE rfm_segment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_LABELS.items()) + \
         " ELSE rfm_segment END"
@@ -145,9 +152,11 @@ def _sql() -> dict[str, str]:
         f"count(*) AS n FROM tx_raw"
         for i, c in enumerate(["invoice", "stock_code", "description", "quantity", "invoice_date", "price",
                                "customer_id", "country"]))
+    scan = (f"WITH {TX_RAW} SELECT invoice, stock_code, description, quantity, invoice_date, "
+            "CAST(price AS DOUBLE) AS price, customer_id, country FROM tx_raw")
     return {
-        "scan_transactions": f"WITH {TX_RAW} SELECT invoice, stock_code, description, quantity, invoice_date, "
-                             "CAST(price AS DOUBLE) AS price, customer_id, country FROM tx_raw",
+        "scan_transactions": scan,
+        "csv_roundtrip": scan,
         "clean_transactions": f"WITH {TX} SELECT invoice, stock_code, description, quantity, invoice_date, "
                               "CAST(price AS DOUBLE) AS price, customer_id, country, CAST(revenue AS DOUBLE) AS revenue "
                               "FROM tx",
@@ -374,8 +383,9 @@ ORDER BY sum(revenue) DESC, description LIMIT 10""",
             "WITH src AS (SELECT ts, value AS amt FROM events WHERE event_type = 'purchase')"),
         "user_cohort": f"""WITH {TX} SELECT customer_id, strftime(min(invoice_date), '%Y-%m') AS cohort_month FROM tx GROUP BY 1""",
         "cohort_retention": f"WITH {COHORT} SELECT cohort_month, period_index, users, cohort_size, retention_rate FROM ret",
-        "cohort_matrix": f"""WITH {COHORT}, p AS (SELECT cohort_month, period_index, retention_rate FROM ret)
-PIVOT p ON period_index USING first(retention_rate) GROUP BY cohort_month""",
+        "cohort_matrix": f"""WITH {COHORT} SELECT cohort_month, {", ".join(
+            f'max(CASE WHEN period_index = {i} THEN retention_rate END) AS "{i}"' for i in range(80))}
+  FROM ret GROUP BY cohort_month""",
         "cohort_unpivot": f"WITH {COHORT} SELECT cohort_month, period_index, retention_rate FROM ret",
         "retention_insight": f"""WITH {COHORT} SELECT period_index, count(*) AS cohorts,
   {r6(div('sum(retention_rate)', 'count(*)'))} AS mean_rate, max(retention_rate) AS best_rate,

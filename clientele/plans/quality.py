@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct_rounded, ratio, year_month
-from ..operators.ranking import exact_quantiles
+from ..operators.ranking import global_rank
 from ..sources.retail import revenue
 
 # Cleaning rules, applied in this order; a row failing several counts for
@@ -51,16 +51,21 @@ def with_date_parts(df: DataFrame, ts: str = "invoice_date") -> DataFrame:
 
 
 def overview(raw: DataFrame) -> DataFrame:
-    """Rows, columns, exact distinct customers/products/orders/countries, time range."""
-    return raw.agg(
-        F.count(F.lit(1)).alias("row_count"),
+    """Rows, columns, exact distinct customers/products/orders/countries, time range.
+
+    Lines are first reduced to invoices (and, on their own branch, to
+    products); the distinct counts run on those smaller tables."""
+    invoices = raw.groupBy("invoice", "customer_id", "country").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("invoice_date").alias("first"), F.max("invoice_date").alias("last"))
+    products = raw.select("stock_code").where("stock_code IS NOT NULL").distinct().agg(F.count(F.lit(1))).scalar()
+    return invoices.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("row_count"),
         F.lit(len(raw.columns)).cast("long").alias("column_count"),
         F.count_distinct("customer_id").alias("customers"),
-        F.count_distinct("stock_code").alias("products"),
         F.count_distinct("invoice").alias("orders"),
         F.count_distinct("country").alias("countries"),
-        F.min("invoice_date").alias("first_date"),
-        F.max("invoice_date").alias("last_date"))
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date")).select("*", products.alias("products"))
 
 
 def schema_listing(df: DataFrame) -> DataFrame:
@@ -114,21 +119,40 @@ def cleaning_waterfall(raw: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``describe()`` with exact interpolated quartiles (not the
     approximate ones of ``DataFrame.summary``); text that is not a number
-    becomes null first (``try_cast``)."""
-    parts = []
-    for pos, c in enumerate(columns):
-        x = F.expr(f"try_cast(`{c}` AS DOUBLE)")
-        base = df.select(x.alias("_x"))
-        moments = base.agg(F.count("_x").alias("count"), F.avg("_x").alias("mean"),
-                           F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"))
-        qs = exact_quantiles(base, "_x", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).scalar()
-        parts.append(moments.select(F.lit(pos + 1).alias("position"), F.lit(c).alias("column_name"), "count",
-                                    "mean", "std", "min", qs.getField("p25").alias("p25"),
-                                    qs.getField("p50").alias("p50"), qs.getField("p75").alias("p75"), "max"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    becomes null first (``try_cast``).
+
+    One pass over the table for all columns: values are counted per (column,
+    value) map-side, and moments and order statistics are read from that
+    table of distinct values and their running counts."""
+    cells = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.expr(f"try_cast(`{c}` AS DOUBLE)").alias("x"))
+                      for i, c in enumerate(columns)])
+    values = (df.select(F.explode(cells).alias("c")).select("c.*").where("x IS NOT NULL")
+              .groupBy("position", "x").agg(F.count(F.lit(1)).alias("n")))
+    ranked = global_rank(values, ["position", "x"], running={"upto": "n"})
+    totals = ranked.groupBy("position").agg(F.sum("n").alias("count"), F.min(F.col("upto") - F.col("n")).alias("before"),
+                                            ratio(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("mean"),
+                                            F.min("x").alias("min"), F.max("x").alias("max"))
+    # At most one row per column from here on, joined to the distinct values.
+    j = ranked.join(F.broadcast(totals.select("position", "count", "before", "mean")), "position").withColumn(
+        "stop", F.col("upto") - F.col("before"))
+    names = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+    def at(p: float, above: int):
+        """Value of the ascending sequence at floor((count - 1) * p) + above, 0-based."""
+        k = F.least(F.floor((F.col("count") - 1) * F.lit(p)) + above, F.col("count") - 1)
+        return F.max(F.when((k >= F.col("stop") - F.col("n")) & (k < F.col("stop")), F.col("x")))
+
+    stats = j.groupBy("position").agg(
+        F.sum((F.col("x") - F.col("mean")) ** 2 * F.col("n")).alias("square"),
+        *[at(p, side).alias(f"{name}_{side}") for name, p in names.items() for side in (0, 1)])
+    quantiles = [(F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0"))
+                  * ((F.col("count") - 1) * F.lit(p) - F.floor((F.col("count") - 1) * F.lit(p)))).alias(name)
+                 for name, p in names.items()]
+    std = F.sqrt(ratio("square", F.nullif(F.col("count") - 1, F.lit(0)))).alias("std")
+    labels = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("p", "column_name"))
+    labels = labels.select((F.col("p") + 1).alias("position"), "column_name")
+    return labels.join(totals, "position", "left").join(stats, "position", "left").select(
+        "position", "column_name", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "mean", std, "min", *quantiles, "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

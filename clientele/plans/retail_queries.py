@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..sources import retail
+from ..sources import retail, sinks
 from ..sources.tables import table
 from . import breakdowns, clusters, cohort, monthly, quality, report, rfm, strategy, users
 from .materialize import materialized as _materialized
@@ -24,12 +24,16 @@ HALF_YEAR_CUT = "1998-06-01 00:00:00"
 _BASE = ["invoice", "quantity", "invoice_date", "price", "customer_id"]
 
 
+# Months between the first and the last order of the test data (1995-01 .. 2001-08).
+MAX_PERIOD = 79
+
+
 def raw(spark, sf_dir, cols=None) -> DataFrame:
     return retail.from_tpch(spark, sf_dir, cols)
 
 
 def clean(spark, sf_dir, extra=()) -> DataFrame:
-    return quality.clean(raw(spark, sf_dir, _BASE + [c for c in extra if c not in _BASE]))
+    return quality.clean(retail.from_tpch(spark, sf_dir, _BASE + [c for c in extra if c not in _BASE], valid_only=True))
 
 
 def user_table(spark, sf_dir) -> DataFrame:
@@ -45,6 +49,14 @@ def monthly_table(spark, sf_dir) -> DataFrame:
     return monthly.monthly_user_stats(clean(spark, sf_dir), user_table(spark, sf_dir))
 
 
+def event_value(spark, sf_dir, event_type: str | None = None) -> DataFrame:
+    """A23 on the event table: value by weekday and hour, of one event type if named."""
+    events = table(spark, sf_dir, "events")
+    if event_type is not None:
+        events = events.where(F.col("event_type") == event_type)
+    return breakdowns.weekday_hour(events, "ts", "value")
+
+
 def _cut():
     return F.lit(HALF_YEAR_CUT).cast("timestamp_ntz")
 
@@ -67,18 +79,32 @@ def _stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cohort_unpivot(spark, sf_dir) -> DataFrame:
-    """The wide cohort matrix turned back into long form."""
-    wide = cohort.cohort_matrix(cohort.cohort_retention(clean(spark, sf_dir)))
-    cols = [c for c in wide.columns if c != "cohort_month"]
-    long = wide.unpivot("cohort_month", cols, "period_index", "retention_rate")
-    return long.where(F.col("retention_rate").isNotNull()).select(
-        "cohort_month", F.col("period_index").cast("int").alias("period_index"), "retention_rate")
+    """The wide cohort matrix written as CSV and read back into long form."""
+    base = ensure_checkpoint_dir(spark, local_default=True)
+    path = f"{base.rstrip('/')}/sinks/cohort-matrix-{uuid.uuid4().hex}"
+    sinks.write_csv(cohort.cohort_matrix(cohort.cohort_retention(clean(spark, sf_dir)), MAX_PERIOD), path)
+    return sinks.read_wide(spark, path, "cohort_month", "period_index", "retention_rate")
+
+
+def _csv_roundtrip(spark, sf_dir) -> DataFrame:
+    """The transactions as a user's CSV export (other column order and names, float ids, own date
+    format), read back by ``retail.read_csv``."""
+    base = ensure_checkpoint_dir(spark, local_default=True)
+    path = f"{base.rstrip('/')}/sinks/transactions-{uuid.uuid4().hex}"
+    date_format = "dd/MM/yyyy HH:mm:ss"
+    sinks.write_csv(raw(spark, sf_dir).select(
+        F.col("stock_code").alias("StockCode"), F.col("invoice").alias("Invoice"), F.col("country").alias("Country"),
+        F.col("quantity").cast("double").alias("Quantity"), F.date_format("invoice_date", date_format).alias("InvoiceDate"),
+        F.col("price").alias("Price"), F.concat(F.col("customer_id").cast("string"), F.lit(".0")).alias("Customer ID"),
+        F.col("description").alias("Description")), path)
+    return retail.read_csv(spark, path, date_format)
 
 
 QUERIES = {
     # sources, profiling, cleaning
     "scan_transactions": lambda s, d: raw(s, d),
-    "clean_transactions": lambda s, d: quality.clean(raw(s, d)),
+    "csv_roundtrip": _csv_roundtrip,
+    "clean_transactions": lambda s, d: quality.clean(retail.from_tpch(s, d, valid_only=True)),
     "date_parts": lambda s, d: quality.with_date_parts(clean(s, d)).select(
         "invoice", "invoice_date", "year", "month", "week", "day", "year_month"),
     "dq_overview": lambda s, d: quality.overview(raw(s, d)),
@@ -140,12 +166,11 @@ QUERIES = {
     "country_matrix": lambda s, d: breakdowns.country_matrix(clean(s, d, ["country"])),
     "top_products": lambda s, d: breakdowns.top_products(clean(s, d, ["description"])),
     "weekday_hour_revenue": lambda s, d: breakdowns.weekday_hour(clean(s, d), "invoice_date", "revenue"),
-    "weekday_hour_event_value": lambda s, d: breakdowns.weekday_hour(
-        table(s, d, "events").where(F.col("event_type") == "purchase"), "ts", "value"),
+    "weekday_hour_event_value": lambda s, d: event_value(s, d, event_type="purchase"),
     # cohorts
     "user_cohort": lambda s, d: cohort.user_cohort(clean(s, d)).select("customer_id", "cohort_month"),
     "cohort_retention": lambda s, d: cohort.cohort_retention(clean(s, d)),
-    "cohort_matrix": lambda s, d: cohort.cohort_matrix(cohort.cohort_retention(clean(s, d))),
+    "cohort_matrix": lambda s, d: cohort.cohort_matrix(cohort.cohort_retention(clean(s, d)), MAX_PERIOD),
     "cohort_unpivot": _cohort_unpivot,
     "retention_insight": lambda s, d: cohort.retention_insight(cohort.cohort_retention(clean(s, d))),
     "retention_curve": lambda s, d: cohort.retention_curve(cohort.cohort_retention(clean(s, d))),

@@ -138,7 +138,3 @@ def kpi_summary(clean: DataFrame, users: DataFrame, monthly: DataFrame, segments
                     (ratio(seg.getField("champ"), tx.getField("rev")) * 100).alias("champion_revenue_pct"),
                     seg.getField("risk").alias("at_risk_users"),
                     (ratio("_rep", "users") * 100).alias("repeat_pct"), "active_30d")
-
-
-def stage_labels(stages: DataFrame, labels: dict[str, str]) -> DataFrame:
-    return stages.select("customer_id", "life_stage", translate(F.col("life_stage"), labels).alias("stage_label"))

@@ -5,7 +5,6 @@ what changes results (UTC) or the physical plan (AQE, skew handling).
 """
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,6 +35,8 @@ def build_session(master: str | None = None, app_name: str = "clientele",
         builder = builder.master(master)
     conf = dict(RUNTIME_CONF)
     conf["spark.ui.enabled"] = "false"
+    # Checkpoints of tables that are no longer referenced are removed.
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -76,14 +77,3 @@ def ensure_checkpoint_dir(spark: SparkSession, local_default: bool = False) -> s
         configured = tempfile.mkdtemp(prefix="clientele-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

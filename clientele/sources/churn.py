@@ -42,9 +42,9 @@ def churn_customers(spark: SparkSession, sf_dir: str, horizon_days: int = HORIZO
     prio = (flagged.where("_before").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("_c"))
             .groupBy("o_custkey").agg(F.min_by("o_orderpriority", F.struct(-F.col("_c"), F.col("o_orderpriority")))
                                       .alias("priority")))
-    region = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-                         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-                         .select("n_nationkey", "r_name"))  # 25 rows by definition
+    region = (table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+              .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+              .select("n_nationkey", "r_name"))
     cust = (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
             .join(region, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
     base = (per.where(F.col("n_orders") > 0).join(prio, "o_custkey", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import year_month
+from .tables import read_header_csv
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -32,8 +33,21 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV with a declared schema (never inferred)."""
-    return spark.read.option("header", True).schema(schema).csv(path)
+    """Header CSV with a declared schema (never inferred); columns are found by their (trimmed) name."""
+    raw = read_header_csv(spark, path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {raw.columns}")
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def read_wide(spark: SparkSession, path: str, id_col: str, name_col: str, value_col: str) -> DataFrame:
+    """A wide CSV (one id column, one numeric column per integer name) in long form; empty cells are left out."""
+    raw = read_header_csv(spark, path)
+    cols = [c for c in raw.columns if c != id_col]
+    long = raw.unpivot(id_col, cols, name_col, value_col)
+    return long.select(id_col, F.expr(f"try_cast(`{name_col}` AS INT)").alias(name_col),
+                       F.expr(f"try_cast(`{value_col}` AS DOUBLE)").alias(value_col)).where(F.col(value_col).isNotNull())
 
 
 def write_json(doc: DataFrame, path: str) -> None:
@@ -42,17 +56,10 @@ def write_json(doc: DataFrame, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read a result document back with its schema."""
-    return spark.read.schema(schema).json(path)
+    """Read result documents back with their schema: one document per file, on one line or indented."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def json_roundtrip(doc: DataFrame, path: str) -> DataFrame:
     write_json(doc, path)
     return read_json(doc.sparkSession, path, doc.schema)
-
-
-def tidy_for_csv(df: DataFrame) -> DataFrame:
-    """Nested columns become JSON text so a document can go to CSV too."""
-    cols = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
-            else F.col(f.name) for f in df.schema.fields]
-    return df.select(*cols)

@@ -1,8 +1,8 @@
 """Scans of the test-data Parquet tables with declared schemas.
 
-Every scan names its schema, so a drifting file fails loudly instead of
-being silently re-typed, and Catalyst still prunes columns and pushes
-filters into the Parquet reader.
+Every Parquet scan names its schema, so a column of another type fails
+instead of being silently re-typed, and Catalyst still prunes columns and
+pushes filters into the reader.  CSV columns are bound by header name.
 """
 from __future__ import annotations
 
@@ -35,10 +35,6 @@ SCHEMAS = {
     "documents": _schema(("doc_id", _L), ("text", _S), ("lang", _S), ("source", _S), ("n_chars", _L)),
 }
 
-# Dimension tables whose row count is fixed by the TPC-H specification,
-# independent of the scale factor: the only ones broadcast by name.
-FIXED_SIZE_TABLES = {"nation": 25, "region": 5}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -49,6 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(path)
 
 
-def strip_header_names(df: DataFrame) -> DataFrame:
-    """S3: trim blanks around column names (CSV headers often carry them)."""
-    return df.toDF(*[c.strip() for c in df.columns])
+def read_header_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A header CSV as text columns, blanks around the header's names trimmed."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.toDF(*[c.strip() for c in raw.columns])

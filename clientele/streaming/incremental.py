@@ -11,6 +11,8 @@ the same code usable as a scheduled batch.
 """
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,22 @@ from ..session import ensure_checkpoint_dir
 from ..sources.retail import TRANSACTION_SCHEMA
 
 
+def default_checkpoint(spark: SparkSession, sink_dir: str) -> str:
+    """Checkpoint folder of a sink, the same in every process: below the configured ``spark.checkpoint.dir``
+    (not the per-application folder Spark makes in it) and named by a digest of the sink's path."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        raise RuntimeError("spark.checkpoint.dir is not set; name a checkpoint folder for the stream")
+    digest = hashlib.sha256(sink_dir.rstrip("/").encode()).hexdigest()[:32]
+    return f"{base.rstrip('/')}/streams/clean-{digest}"
+
+
 def clean_stream(spark: SparkSession, raw_dir: str, sink_dir: str, checkpoint: str | None = None,
                  max_files_per_trigger: int | None = None):
     """Start the stream raw Parquet files → cleaned, partitioned Parquet.
     Returns the ``StreamingQuery`` (call ``awaitTermination``)."""
-    base = ensure_checkpoint_dir(spark)
-    ckpt = checkpoint or f"{base.rstrip('/')}/streams/clean-{abs(hash(sink_dir))}"
+    ckpt = checkpoint or default_checkpoint(spark, sink_dir)
     reader = spark.readStream.schema(TRANSACTION_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
