@@ -1,52 +1,25 @@
 """SMOTE oversampling as Spark jobs (M3).
 
 For every minority row: its ``k`` nearest minority neighbours (Euclidean,
-exact); then synthetic rows ``x + u·(neighbour − x)`` until the minority
-class matches the majority.
+exact, see ``neighbours``); then synthetic rows ``x + u·(neighbour − x)``
+until the minority class matches the majority.
 
-Exact neighbours without an all-pairs join:
+Identical vectors are searched once and expanded afterwards, so a hot group
+of copies stays linear.
 
-1. project every point on a fixed random unit direction ``w`` and number
-   the points along it (range-partitioned global rank);
-2. the ``2k`` points nearest *in rank* give each point an upper bound
-   ``r`` on its k-th neighbour distance (an equi-join on rank offsets);
-3. since ``|w·(x−y)| ≤ ‖x−y‖``, every true neighbour lies in the slab
-   ``|w·y − w·x| ≤ r``: points are bucketed along ``w`` and each query
-   point joins only the buckets its slab touches.  Distances are computed
-   for those candidates only, and the k best kept per point.
-
-Identical vectors are searched once and expanded afterwards (see
-``nearest_neighbours``), so a hot group of copies stays linear.  Dense
-clusters of *distinct* near-identical points still widen the slab; that
-is the remaining cost driver.
-
-The draw is hash-seeded (no ``rand()``), so retries and re-runs give the
-same rows: row at position ``pos`` of ``m`` minority rows makes
-``S div m`` (+1 while ``pos < S mod m``) synthetic rows, each with a
-hashed neighbour index and gap.
+The draws come from md5 of the row's id and the draw's number, so retries and
+re-runs give the same rows and any SQL engine can recompute them: the row at
+position ``pos`` (by id) of ``m`` minority rows makes ``S div m`` (+1 while
+``pos < S mod m``) synthetic rows, each with a hashed neighbour rank and gap.
 """
 from __future__ import annotations
 
-import math
-import random
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import exact_quantiles, global_rank
-
-
-def _unit_direction(dim: int, seed: int) -> list[float]:
-    rng = random.Random(seed)
-    v = [rng.gauss(0.0, 1.0) for _ in range(dim)]
-    norm = math.sqrt(sum(x * x for x in v)) or 1.0
-    return [x / norm for x in v]
-
-
-def _dot(arr_col: str, w: list[float]):
-    return F.aggregate(F.zip_with(F.col(arr_col), F.array(*[F.lit(x) for x in w]), lambda a, b: a * b),
-                       F.lit(0.0), lambda acc, x: acc + x)
+from .neighbours import distinct_neighbours
+from .ranking import global_rank
 
 
 def _dist(a: str, b: str):
@@ -54,46 +27,12 @@ def _dist(a: str, b: str):
                               F.lit(0.0), lambda acc, x: acc + x))
 
 
-def _distinct_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int, k: int = 5, seed: int = 42,
-                         num_partitions: int | None = None) -> DataFrame:
-    """k nearest other points by (distance, id), for points with distinct vectors."""
-    w = _unit_direction(dim, seed)
-    proj = points.select(id_col, arr_col, _dot(arr_col, w).alias("_p"))
-    ranked = global_rank(proj, ["_p", id_col], rank_col="_rn", num_partitions=num_partitions)
-    # Step 2: 2k rank neighbours → radius bound.
-    offs = F.explode(F.array(*[F.lit(o) for o in range(-k, k + 1) if o != 0])).alias("_o")
-    probes = ranked.select(F.col(id_col).alias("_qid"), F.col(arr_col).alias("_qa"), "_rn", offs).select(
-        "_qid", "_qa", (F.col("_rn") + F.col("_o")).alias("_rn"))
-    near = probes.join(ranked.select("_rn", F.col(arr_col).alias("_ca")), "_rn")
-    near = near.select("_qid", _dist("_qa", "_ca").alias("_d"))
-    # k-th smallest of at most 2k distances (all of them when fewer exist).
-    radius = near.groupBy("_qid").agg(F.sort_array(F.collect_list("_d")).alias("_ds")).select(
-        "_qid", F.element_at("_ds", F.least(F.lit(k), F.size("_ds"))).alias("_r"))
-    # Step 3: slab candidates through buckets along w.
-    q = ranked.join(radius, ranked[id_col] == radius["_qid"]).select("_qid", F.col(arr_col).alias("_qa"), "_p", "_r")
-    # Bucket width: the exact median radius — deterministic, so query and
-    # candidate sides always bucket with the same value.
-    med = exact_quantiles(radius, "_r", {"m": 0.5}, num_partitions=num_partitions).scalar().getField("m")
-    width = F.greatest(F.coalesce(med, F.lit(1.0)), F.lit(1e-9))
-    qb = q.select("*", F.explode(F.sequence(F.floor((F.col("_p") - F.col("_r")) / width).cast("long"),
-                                            F.floor((F.col("_p") + F.col("_r")) / width).cast("long"))).alias("_b"))
-    cands = ranked.select(F.col(id_col).alias("_cid"), F.col(arr_col).alias("_ca"), F.col("_p").alias("_cp"),
-                          F.floor(F.col("_p") / width).cast("long").alias("_b"))
-    pairs = (qb.join(cands, "_b").where((F.col("_cid") != F.col("_qid")) &
-                                        (F.abs(F.col("_cp") - F.col("_p")) <= F.col("_r")))
-             .select("_qid", "_cid", "_ca", _dist("_qa", "_ca").alias("_d")))
-    best = Window.partitionBy("_qid").orderBy("_d", "_cid")
-    return (pairs.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k)
-            .select(F.col("_qid").alias(id_col), (F.col("_k") - 1).cast("int").alias("nbr_rank"),
-                    F.col("_cid").alias("nbr_id"), F.col("_ca").alias("nbr_arr")))
-
-
-def nearest_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int, k: int = 5, seed: int = 42,
+def nearest_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int, k: int = 5,
                        num_partitions: int | None = None) -> DataFrame:
     """(id, nbr_rank 0..k-1, nbr_id, nbr_arr): exact k nearest other points,
     ties broken by neighbour id.
 
-    Identical vectors ("copies") are searched once: the slab search runs on
+    Identical vectors ("copies") are searched once: the search runs on
     distinct vectors (represented by their smallest id), and each copy group
     is expanded through its first k+1 ids only.  A group of copies holding a
     third of all rows therefore costs k+1 candidates per row, not a third of
@@ -103,7 +42,10 @@ def nearest_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int, k
     """
     pts = points.select(F.col(id_col).alias("_id"), F.col(arr_col).alias("_a"))
     reps = pts.groupBy("_a").agg(F.min("_id").alias("_rep"))
-    near = _distinct_neighbours(reps, "_rep", "_a", dim, k, seed, num_partitions)
+    near = distinct_neighbours(reps.select(F.col("_rep").alias("id"), F.col("_a").alias("x")), dim, k)
+    # Vectors come back for the k kept, not for the candidates.
+    near = near.join(reps.select(F.col("_rep").alias("nbr_id"), F.col("_a").alias("nbr_arr")), "nbr_id").select(
+        F.col("qid").alias("_rep"), "nbr_arr")
     # Position of every row inside its copy group, from one global rank.
     ranked = global_rank(pts, ["_a", "_id"], rank_col="_g", num_partitions=num_partitions)
     starts = ranked.groupBy("_a").agg(F.min("_g").alias("_g0"))
@@ -123,10 +65,10 @@ def nearest_neighbours(points: DataFrame, id_col: str, arr_col: str, dim: int, k
                     F.col("_cid").alias("nbr_id"), F.col("_ca").alias("nbr_arr")))
 
 
-def _unit_hash(*cols, seed: int):
-    """Deterministic uniform in [0, 1) from a 64-bit hash."""
-    h = F.xxhash64(*cols, F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 52)).cast("double")) / float(1 << 52)
+def _draw(purpose: str, digits: int, seed: int, id_col: str):
+    """The first hexadecimal digits of an md5 over (id, draw number, purpose, seed), as a number."""
+    text = F.concat_ws("|", F.col(id_col).cast("string"), F.col("_t").cast("string"), F.lit(purpose), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
 def smote(train: DataFrame, id_col: str = "customer_id", label: str = "label", features: str = "features",
@@ -134,7 +76,9 @@ def smote(train: DataFrame, id_col: str = "customer_id", label: str = "label", f
     """Balance ``train`` (binary ``label``) with synthetic minority rows.
 
     Returns the original rows plus synthetic ones (``synthetic`` = true,
-    id = null) with columns (id, label, features, synthetic).
+    id = null) with columns (id, label, features, synthetic, origin, draw):
+    ``origin`` is the id of the row a synthetic row starts from, ``draw`` its
+    number among that row's.
     """
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     cls = counts.agg(F.struct(F.min_by(label, F.struct("_c", label)).alias("minor"),
@@ -143,20 +87,21 @@ def smote(train: DataFrame, id_col: str = "customer_id", label: str = "label", f
         dim = len(train.select(features).first()[0])  # feature width: metadata of one row
     minor = (train.where(F.col(label) == cls.getField("minor"))
              .select(id_col, vector_to_array(features).alias("_x")))
-    nbrs = nearest_neighbours(minor, id_col, "_x", dim, k, seed, num_partitions)
+    nbrs = nearest_neighbours(minor, id_col, "_x", dim, k, num_partitions)
     pos = global_rank(minor.select(id_col, "_x"), [id_col], rank_col="_pos", num_partitions=num_partitions)
     S = cls.getField("n_major") - cls.getField("n_minor")
     m = cls.getField("n_minor")
     reps = F.floor(S / m).cast("long") + F.when((F.col("_pos") - 1) < (S % m), 1).otherwise(0)
     draws = pos.where(reps > 0).select(id_col, "_x", F.explode(F.sequence(F.lit(1).cast("long"), reps)).alias("_t"))
     draws = draws.select(id_col, "_x", "_t",
-                         F.pmod(F.xxhash64(id_col, "_t", F.lit(seed)), F.least(F.lit(k), m - 1)).cast("int")
-                         .alias("nbr_rank"),
-                         _unit_hash(id_col, "_t", F.lit("gap"), seed=seed).alias("_u"))
+                         (_draw("neighbour", 8, seed, id_col) % F.nullif(F.least(F.lit(k), m - 1), F.lit(0))).cast("int").alias("nbr_rank"),
+                         (_draw("gap", 13, seed, id_col).cast("double") / float(1 << 52)).alias("_u"))
     j = draws.join(nbrs, [id_col, "nbr_rank"])
     synth = j.select(F.lit(None).cast(train.schema[id_col].dataType).alias(id_col),
                      cls.getField("minor").cast(train.schema[label].dataType).alias(label),
                      array_to_vector(F.zip_with("_x", "nbr_arr", lambda a, b: a + F.col("_u") * (b - a)))
-                     .alias(features), F.lit(True).alias("synthetic"))
-    real = train.select(id_col, label, features, F.lit(False).alias("synthetic"))
+                     .alias(features), F.lit(True).alias("synthetic"),
+                     F.col(id_col).cast("long").alias("origin"), F.col("_t").alias("draw"))
+    real = train.select(id_col, label, features, F.lit(False).alias("synthetic"),
+                        F.lit(None).cast("long").alias("origin"), F.lit(None).cast("long").alias("draw"))
     return real.unionByName(synth)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 _MATERIALIZED: dict = {}
-_LOCK = threading.RLock()
+_KEY_LOCKS: dict = {}
+_LOCK = threading.Lock()
 
 
 def input_stamp(spark: SparkSession, sf_dir: str) -> tuple:
@@ -29,10 +30,12 @@ def once(spark: SparkSession, sf_dir: str, name, build):
     """``build()`` once per (application, input files, name); concurrent callers wait for the first."""
     key = (input_stamp(spark, sf_dir), name)
     with _LOCK:
+        # Entries of ended sessions hold frames nobody can use.
+        for old in [k for k in _MATERIALIZED if k[0][0] != key[0][0]]:
+            del _MATERIALIZED[old]
+        own = _KEY_LOCKS.setdefault(key, threading.RLock())
+    with own:
         if key not in _MATERIALIZED:
-            # Entries of ended sessions hold frames nobody can use.
-            for old in [k for k in _MATERIALIZED if k[0][0] != key[0][0]]:
-                del _MATERIALIZED[old]
             _MATERIALIZED[key] = build()
         return _MATERIALIZED[key]
 

@@ -9,15 +9,17 @@ tables; the data never passes through the driver.
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics, split
+from ..operators.ranking import global_rank
 from ..operators.smote import smote
 from ..session import ensure_checkpoint_dir
 from ..sources.churn import CATEGORICAL, ID
@@ -28,6 +30,9 @@ CV_FOLDS = 5
 TEST_FRACTION = 0.2
 VALIDATION_FRACTION = 0.2
 ROWS_PER_PARTITION = 200_000
+# Bins per feature of the boosters (255 and 256 in the reference) and of the forest, which the reference
+# splits exactly; a leaf of the first booster holds at least 20 rows there (its 31-leaf limit has no MLlib setting).
+BINS = 256
 
 # Model keys and display names of the reference.
 DISPLAY_NAMES = {
@@ -53,33 +58,39 @@ def feature_table(labelled: DataFrame) -> tuple[DataFrame, list[str]]:
 def estimator(key: str, n_train: int):
     """M8–M11 with the reference's hyper-parameters mapped onto MLlib."""
     if key == "logistic_regression":
-        # liblinear, C=1: sum of losses + ½‖w‖²  ⇔  mean loss + (1/n)·½‖w‖².  Features are
-        # standardised inside the solver (spend is ~10⁶ here), coefficients reported unscaled.
+        # liblinear, C=1: sum of losses + ½‖w‖²  ⇔  mean loss + (1/n)·½‖w‖², n the rows fitted on.
+        # The penalty is on the unscaled weights; the solver still scales internally.
         return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                  standardization=True, featuresCol="features", labelCol="label")
+                                  standardization=False, featuresCol="features", labelCol="label")
     if key == "random_forest":
         return RandomForestClassifier(numTrees=300, maxDepth=8, minInstancesPerNode=3, featureSubsetStrategy="sqrt",
-                                      seed=SEED, featuresCol="features", labelCol="label")
+                                      seed=SEED, maxBins=BINS, cacheNodeIds=True, featuresCol="features", labelCol="label")
     if key == "hist_gradient_boosting":
-        return GBTClassifier(maxIter=250, stepSize=0.08, maxDepth=6, seed=SEED, checkpointInterval=10,
-                             featuresCol="features", labelCol="label")
+        return GBTClassifier(maxIter=250, stepSize=0.08, maxDepth=6, minInstancesPerNode=20, seed=SEED, maxBins=BINS,
+                             maxMemoryInMB=512, checkpointInterval=25, featuresCol="features", labelCol="label")
     if key == "xgboost":
         return GBTClassifier(maxIter=400, stepSize=0.05, maxDepth=4, subsamplingRate=0.85,
-                             featureSubsetStrategy="0.85", minInstancesPerNode=3, seed=SEED, checkpointInterval=10,
-                             featuresCol="features", labelCol="label")
+                             featureSubsetStrategy="0.85", minInstancesPerNode=3, seed=SEED, maxBins=BINS,
+                             maxMemoryInMB=512, checkpointInterval=25, featuresCol="features", labelCol="label")
     raise KeyError(key)
 
 
-def fit(key: str, train: DataFrame, n_train: int, dim: int, use_smote: bool = True):
-    """M7: SMOTE on the training rows, then the model (weights would be a
-    no-op after balancing, so none are used)."""
-    data = smote(train, ID, "label", "features", dim=dim) if use_smote else train
-    # Iterative learners run one or more jobs per iteration: size the input
-    # by rows (~ROWS_PER_PARTITION each) so small sets are not spread over
-    # many near-empty tasks and large ones still use the whole cluster.
-    parts = max(1, math.ceil(2 * n_train / ROWS_PER_PARTITION))
-    data = data.repartition(parts).checkpoint(eager=True)
-    return Pipeline(stages=[estimator(key, n_train)]).fit(data)
+def balanced(train: DataFrame, dim: int) -> DataFrame:
+    """M7: the training rows plus SMOTE rows, stored once for all models fitted on them.
+
+    (Class weights would be a no-op after balancing, so none are used.)  Partitions are sized by rows
+    (about ROWS_PER_PARTITION each) and dealt by a hash of the row's key, so a row's partition does not
+    depend on how the input arrived; tree bagging is reproducible for a given number of partitions.
+    """
+    data = smote(train, ID, "label", "features", dim=dim)
+    parts = max(1, math.ceil(2 * train.count() / ROWS_PER_PARTITION))
+    ensure_checkpoint_dir(train.sparkSession, local_default=True)
+    return data.repartition(parts, F.xxhash64(ID, "origin", "draw")).select(ID, "label", "features").checkpoint(eager=True)
+
+
+def fit(key: str, data: DataFrame):
+    """Fit one model on (balanced) rows; the number of rows sets the logistic penalty."""
+    return Pipeline(stages=[estimator(key, data.count())]).fit(data)
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -99,125 +110,100 @@ def split_features(labelled: DataFrame):
     return parts.checkpoint(eager=True), names
 
 
-def cv_leaderboard(train: DataFrame, keys: list[str], n_train: int, dim: int) -> DataFrame:
-    """Per model, mean and population std of ROC-AUC, F1, precision,
-    recall and AP over stratified folds; highest mean AUC first."""
-    folds = split.stratified_folds(train, "label", ID, CV_FOLDS, SEED).checkpoint(eager=True)
-    scored = None
-    for key in keys:
-        for f in range(CV_FOLDS):
-            model = fit(key, folds.where(F.col("fold") != f).drop("fold"), n_train * (CV_FOLDS - 1) // CV_FOLDS, dim)
-            s = score(model, folds.where(F.col("fold") == f)).select(F.lit(key).alias("model_key"),
-                                                                      F.lit(f).alias("fold"), "label", "score")
-            scored = s if scored is None else scored.unionByName(s)
-    per_fold = metrics.grouped_metrics(scored, ["model_key", "fold"])
-    stats = [F.avg(m).alias(f"cv_{m}_mean") for m in ("roc_auc", "f1", "precision", "recall", "average_precision")]
-    stats += [F.stddev_pop(m).alias(f"cv_{m}_std") for m in ("roc_auc", "f1", "precision", "recall",
-                                                             "average_precision")]
-    board = per_fold.groupBy("model_key").agg(*stats)
-    names = F.create_map(*[F.lit(x) for kv in DISPLAY_NAMES.items() for x in kv])
-    return board.select("model_key", F.coalesce(F.element_at(names, F.col("model_key")), F.col("model_key"))
-                        .alias("model"), *[c for c in board.columns if c != "model_key"])
-
-
-def feature_importance(model, names: list[str]) -> DataFrame:
-    """Tree importances, else |coefficients|; descending."""
+def feature_importance(model, names: list[str]) -> DataFrame | None:
+    """Tree importances, else |coefficients|, ranked; None for a model that has neither."""
     m = model.stages[-1]
     if hasattr(m, "featureImportances"):
         vals = m.featureImportances.toArray().tolist()
-    else:
+    elif hasattr(m, "coefficients"):
         vals = [abs(x) for x in m.coefficients.toArray().tolist()]
-    spark = model_spark()
-    rows = [(n, float(v)) for n, v in zip(names, vals)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    else:
+        return None
+    rows = sorted(((n, float(v)) for n, v in zip(names, vals)), key=lambda x: (-x[1], x[0]))
+    return SparkSession.getActiveSession().createDataFrame(
+        [(i + 1, n, v) for i, (n, v) in enumerate(rows)], "rank int, feature string, importance double")
 
 
-def model_spark():
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
+def ranked_by(df: DataFrame, value: str, *ties: str) -> DataFrame:
+    """A small result table with its ``rank``: highest ``value`` first."""
+    return df.select(F.row_number().over(Window.orderBy(F.col(value).desc_nulls_last(), *ties)).alias("rank"), "*")
+
+
+def _feature_names(names: list[str]):
+    return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
 
 
 def permutation_importance(model, test: DataFrame, names: list[str], repeats: int = 10,
                            seed: int = SEED) -> DataFrame:
     """Mean drop in ROC-AUC when one feature's values are permuted
-    across the test rows, ``repeats`` times per feature — every permuted
-    copy is scored in one job and all AUCs come from one grouped query."""
-    from pyspark.ml.functions import array_to_vector
-    from ..operators.ranking import global_rank
-    base = test.select(ID, "label", vector_to_array("features").alias("_x"))
-    ident = global_rank(base, [ID], rank_col="_i")
-    copies = ident.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_f"),
-                          ).select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"))
-    # Position of each row in the permuted order of its (feature, repeat) copy.
-    keyed = copies.withColumn("_h", F.md5(F.concat_ws("|", F.col(ID).cast("string"), F.col("_f").cast("string"),
-                                                        F.col("_r").cast("string"), F.lit(str(seed)))))
-    perm = global_rank(keyed, ["_f", "_r", "_h", ID], rank_col="_g")
-    groups = keyed.groupBy("_f", "_r").agg(F.count(F.lit(1)).alias("_c"))
-    from pyspark.sql import Window
-    w = Window.orderBy("_f", "_r").rowsBetween(Window.unboundedPreceding, -1)
-    offs = groups.select("_f", "_r", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
-    perm = perm.join(F.broadcast(offs), ["_f", "_r"]).withColumn("_pi", F.col("_g") - F.col("_o"))
-    donor = perm.select("_f", "_r", F.col("_pi").alias("_i"),
-                        F.element_at("_x", F.col("_f") + 1).alias("_v"))
-    # Cut lineage here: the permuted copies are scored and ranked again
-    # below, and every later pass should read this one computed table.
-    swapped = copies.join(donor, ["_f", "_r", "_i"]).checkpoint(eager=True)
-    swapped = swapped.select(ID, "label", "_f", "_r", array_to_vector(F.transform(
-        "_x", lambda x, j: F.when(j == F.col("_f"), F.col("_v")).otherwise(x))).alias("features"))
+    across the test rows, ``repeats`` times per feature; every permuted
+    copy is scored in one job and all AUCs come from one grouped query.
+
+    Rows are numbered 0..n-1 in the order of a hash; the permutation of copy
+    (feature, repeat) is the bijection i -> (a·i + b) mod n with its own a
+    (coprime to n) and b, so no copy is sorted and only the donor's one
+    value travels.
+    """
+    n = test.count()
+    base = global_rank(test.select(ID, "label", vector_to_array("features").alias("_x")),
+                       [F.md5(F.concat(F.col(ID).cast("string"), F.lit(str(seed)))), F.col(ID)], rank_col="_i")
+    base = base.withColumn("_i", F.col("_i") - 1)
+    rng = random.Random(seed)
+
+    def coprime() -> int:
+        while math.gcd(a := rng.randrange(1, max(n, 2)), n) != 1:
+            pass
+        return a
+    keys = F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"), F.lit(coprime()).cast("long").alias("_a"),
+                              F.lit(rng.randrange(max(n, 1))).cast("long").alias("_b"))
+                     for f in range(len(names)) for r in range(repeats)])  # one entry per feature and repeat
+    copies = base.select("_i", F.explode(keys).alias("k")).select(
+        "_i", "k._f", "k._r", F.expr("(k._a * _i + k._b) % %d" % max(n, 1)).alias("_donor"))
+    values = base.select(F.col("_i").alias("_donor"), F.posexplode("_x").alias("_f", "_v"))
+    swapped = copies.join(values, ["_donor", "_f"]).join(base, "_i").select(
+        ID, "label", "_f", "_r", array_to_vector(F.transform(
+            "_x", lambda x, j: F.when(j == F.col("_f"), F.col("_v")).otherwise(x))).alias("features"))
     scored = model.transform(swapped).select("_f", "_r", F.col("label").cast("int").alias("label"),
                                              vector_to_array("probability")[1].alias("score"))
     aucs = metrics.grouped_metrics(scored, ["_f", "_r"]).select("_f", "_r", "roc_auc")
     base_auc = metrics.roc_auc(score(model, test)).select(F.struct("roc_auc").alias("s")).scalar()
     diffs = aucs.select("_f", (base_auc.getField("roc_auc") - F.col("roc_auc")).alias("_drop"))
     drops = diffs.groupBy("_f").agg(F.avg("_drop").alias("importance"))
-    names_map = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
-    return drops.select(F.element_at(names_map, F.col("_f")).alias("feature"), "importance")
+    return ranked_by(drops.select(F.element_at(_feature_names(names), F.col("_f")).alias("feature"), "importance"),
+                     "importance", "feature")
 
 
-def shapley_importance(model, rows: DataFrame, background: DataFrame, names: list[str], permutations: int = 8,
+def shapley_importance(model, rows: DataFrame, background: DataFrame, names: list[str], permutations: int,
                        seed: int = SEED) -> DataFrame:
     """M28 (re-aimed): sampled Shapley values as one scoring job.
 
-    For each row and each of ``permutations`` feature orders, features are
-    switched from the background (training means) to the row's values one
-    at a time; the score change at each switch is that feature's
-    contribution.  Averages over orders estimate Shapley values (their sum
-    is exactly score(row) − score(background) for every order).  Output:
-    mean |contribution| per feature.
+    Each row takes ``permutations`` feature orders and background rows of its
+    own; along an order the features are switched from the background row to
+    the row's values one at a time, and the score change at each switch is
+    that feature's contribution (they add up to score(row) − score(background
+    row)).  Errors of different rows are independent, so the mean over rows
+    converges with rows × permutations.  Output: mean |contribution| per feature.
     """
-    from pyspark.ml.functions import array_to_vector
     d = len(names)
-    bg = background.agg(F.array(*[F.avg(F.col("_x")[i]) for i in range(d)]).alias("bg")) if "_x" in background.columns \
-        else background.select(vector_to_array("features").alias("_x")).agg(
-            F.array(*[F.avg(F.col("_x")[i]) for i in range(d)]).alias("bg"))
-    bgv = bg.scalar()
-    x = rows.select(ID, vector_to_array("features").alias("_x"))
-    # Feature order per permutation: sort features by a seeded hash.
-    perm_rank = lambda p, j: F.xxhash64(F.lit(p), j, F.lit(seed))
-    expanded = x.select(ID, "_x", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_p"))
-    expanded = expanded.withColumn("_order", F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                                 lambda j: F.struct(perm_rank(F.col("_p"), j).alias("h"), j.alias("j")))),
-        lambda s: s["j"]))
-    # The background vector rides along as a column: lambdas cannot hold subqueries.
-    steps = expanded.select("*", bgv.alias("_bg"), F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
-    # Feature j takes the row's value once it is among the first k of the order.
+    pool = global_rank(background.select(ID, vector_to_array("features").alias("_bg")), [ID], rank_col="_n")
+    pool = pool.select((F.col("_n") - 1).alias("_pick"), "_bg")
+    size = background.count()
+    x = rows.select(ID, vector_to_array("features").alias("_x"), F.explode(
+        F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_p"))
+    x = x.withColumn("_pick", F.pmod(F.xxhash64(ID, "_p", F.lit(seed), F.lit("background")), F.lit(size)))
+    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.struct(
+        F.xxhash64(F.col(ID), F.col("_p"), j, F.lit(seed)).alias("h"), j.alias("j")))), lambda s: s["j"])
+    # d + 1 score points per (row, order); each takes its features from the row or the background.
+    steps = x.join(pool, "_pick").select(ID, "_p", "_x", "_bg", order.alias("_order")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.when(
         F.array_position("_order", j) <= F.col("_k"), F.element_at("_x", j + 1)).otherwise(F.element_at("_bg", j + 1)))
-    filled = steps.select(ID, "_p", "_k", "_order", array_to_vector(vec).alias("features"))
-    scored = model.transform(filled).select(ID, "_p", "_k", "_order",
-                                            vector_to_array("probability")[1].alias("_s"))
-    from pyspark.sql import Window
+    last = F.when(F.col("_k") > 0, F.element_at("_order", F.greatest(F.col("_k"), F.lit(1))))
+    scored = model.transform(steps.select(ID, "_p", "_k", last.alias("_f"), array_to_vector(vec).alias("features"))).select(
+        ID, "_p", "_k", "_f", vector_to_array("probability")[1].alias("_s"))
     w = Window.partitionBy(ID, "_p").orderBy("_k")  # d + 1 rows per (row, order)
-    contrib = (scored.withColumn("_prev", F.lag("_s").over(w)).where(F.col("_k") > 0)
-               .select(ID, "_p", F.element_at("_order", F.col("_k")).alias("_f"),
-                       (F.col("_s") - F.col("_prev")).alias("_c")))
+    contrib = scored.withColumn("_c", F.col("_s") - F.lag("_s").over(w)).where(F.col("_k") > 0)
     phi = contrib.groupBy(ID, "_f").agg(F.avg("_c").alias("_phi"))
     imp = phi.groupBy("_f").agg(F.avg(F.abs("_phi")).alias("mean_abs_shap"))
-    names_map = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
-    return imp.select(F.element_at(names_map, F.col("_f")).alias("feature"), "mean_abs_shap")
-
-
-def best_of(results: DataFrame, metric: str = "roc_auc") -> str:
-    """Key of the best row of a small metric table (a decision, not data)."""
-    return results.orderBy(F.col(metric).desc(), F.col("model_key")).first()["model_key"]
+    return ranked_by(imp.select(F.element_at(_feature_names(names), F.col("_f")).alias("feature"), "mean_abs_shap"),
+                     "mean_abs_shap", "feature")

@@ -59,6 +59,49 @@ LEVELS = {
 }
 
 
+# The numeric features in the order of the feature vector.
+NUMERIC_FEATURES = ["tenure_days", "n_orders", "avg_order_value", "total_spend", "recency_days", "account_balance",
+                    "avg_days_between_orders"]
+
+
+def _features() -> tuple[str, str]:
+    """(list expression of the feature vector over ``lab``, list of the feature names)."""
+    values, names = [], []
+    for c in NUMERIC_FEATURES:
+        x = f"CAST({c} AS DOUBLE)"
+        if c == "avg_days_between_orders":
+            x = f"coalesce({x}, (SELECT quantile_cont(avg_days_between_orders, 0.5) FROM churn))"
+        values.append(x)
+        names.append(c)
+    for c, levels in LEVELS.items():
+        for level in levels:
+            values.append(f"CASE WHEN {c} = '{level}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
+            names.append(f"{c}_{level}")
+    return f"[{', '.join(values)}]", "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+def _smote(split: str) -> str:
+    """Brute force: all pairs of minority rows, then the md5 draws."""
+    vector, names = _features()
+    hexa = lambda what, n: (f"CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '|' || CAST(t AS VARCHAR) || '|{what}|42'), 1, {n}) "
+                            "AS BIGINT)")
+    return f"""WITH {CHURN}, {split}, ft AS (SELECT customer_id, label, {vector} AS x FROM lab),
+tr AS (SELECT ft.* FROM ft JOIN sp USING (customer_id) WHERE split = 'train'),
+cl AS (SELECT label, count(*) AS c FROM tr GROUP BY label),
+nn AS (SELECT min(c) AS m, max(c) AS mj, arg_min(label, (c, label)) AS minor FROM cl),
+mi AS (SELECT customer_id, x, row_number() OVER (ORDER BY customer_id) AS pos FROM tr WHERE label = (SELECT minor FROM nn)),
+nb AS (SELECT a.customer_id, b.x AS y, row_number() OVER (PARTITION BY a.customer_id ORDER BY sqrt(list_reduce(list_transform(
+         list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda s, v: s + v)), b.customer_id) - 1 AS r
+       FROM mi a JOIN mi b ON a.customer_id <> b.customer_id),
+dr AS (SELECT customer_id, x, unnest(range(1, (mj - m) // m + CASE WHEN pos - 1 < (mj - m) % m THEN 2 ELSE 1 END)) AS t FROM mi, nn),
+dw AS (SELECT *, {hexa('neighbour', 8)} % least(5, (SELECT m - 1 FROM nn)) AS r, CAST({hexa('gap', 13)} AS DOUBLE) / 4503599627370496.0 AS u FROM dr),
+sy AS (SELECT 's' || dw.customer_id || '-' || t AS row_key, (SELECT minor FROM nn) AS label, true AS synthetic,
+         list_transform(list_zip(x, y), lambda p: p[1] + u * (p[2] - p[1])) AS x
+       FROM dw JOIN nb ON nb.customer_id = dw.customer_id AND nb.r = dw.r),
+al AS (SELECT * FROM sy UNION ALL SELECT 'r' || customer_id, label, false, x FROM tr)
+SELECT row_key, label, synthetic, unnest({names}) AS feature, round(unnest(x), 6) AS value FROM al"""
+
+
 def _prf(tp, fp, fn):
     p = f"coalesce({div(tp, f'{tp} + {fp}')}, 0.0)"
     r = f"coalesce({div(tp, f'{tp} + {fn}')}, 0.0)"
@@ -124,6 +167,9 @@ FROM labels WHERE quality IS NOT NULL GROUP BY quality""",
   SELECT customer_id, label,
          row_number() OVER (PARTITION BY label ORDER BY md5(CAST(customer_id AS VARCHAR) || '42'), customer_id) AS pos
   FROM sp WHERE split = 'train')""",
+        "churn_features": f"""{w}, {split} SELECT customer_id, sp.label, sp.split, unnest({_features()[1]}) AS feature,
+  round(unnest({_features()[0]}), 6) AS value FROM lab JOIN sp USING (customer_id)""",
+        "smote_oversample": _smote(split),
         "classification_metrics": f"""{w} SELECT 0.5 AS threshold, {r6(div('tp + tn', 'tp + fp + tn + fn'))} AS accuracy,
   (SELECT {r6(div('sum(pos * (2 * ((SELECT N FROM tot) - fp) + neg))', '2 * (SELECT P FROM tot) * (SELECT N FROM tot)'))} FROM curve) AS roc_auc,
   {r6(p1)} AS precision, {r6(rc1)} AS recall, {r6(f1)} AS f1,
