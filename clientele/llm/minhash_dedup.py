@@ -12,10 +12,10 @@
    documents in shared buckets gives their full sets and a wide sketch; edges
    that sizes or the sketch do not rule out are confirmed on the full sets.
 4. Stars alone would lose a link between two documents that both differ from
-   the bucket's centre.  So in buckets that are not one component after
-   point 3, the members outside the centre's component are compared, as a
-   query set in blocks, with the bucket's other members: by sketch inside the
-   task, which returns only pairs worth confirming.
+   the bucket's centre.  So the members that point 3 did not tie to the
+   bucket's centre are compared, as a query set in blocks, with the bucket's
+   other members: by sketch inside the task, which returns only pairs worth
+   confirming.
 5. Components by large-star/small-star rounds.
 
 Skew: a hot set digest meets a partial aggregate; a hot bucket only gives star
@@ -149,6 +149,16 @@ def _residual_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
     return as_query.union(as_data).groupBy("key", "qb", "db").applyInArrow(compare, "u long, v long").distinct()
 
 
+def _nearby_label(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node within two links, a cheap lower bound of the components.
+
+    Equal labels prove one component; it only saves comparisons that not all components are told apart.
+    """
+    both = links.union(links.select("v", "u"))
+    near = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).toDF("v", "label")
+    return checkpointed(both.join(near, "v").groupBy("u").agg(F.min("label").alias("label")).toDF("node", "label"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -167,12 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold = percent / 100
     star = members.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
     links = checkpointed(_confirmed(_plausible(star, sets, threshold), sets, percent))
-    labels = connected_components(links)
-    more = _confirmed(_residual_pairs(members, labels, sets, threshold), sets, percent)
-    more = checkpointed(more)
-    if more.limit(1).count():
-        labels = connected_components(links.union(more))
-    labels = checkpointed(labels)
+    more = _confirmed(_residual_pairs(members, _nearby_label(links), sets, threshold), sets, percent)
+    labels = connected_components(links.union(more))
     # From sets back to documents: only sets with copies need the class, only linked nodes the component.
     shared = classes.where("copies > 1").select("digest", "rep")
     node = profile.select("id", "n", "digest").join(shared, "digest", "left").select(
