@@ -33,9 +33,10 @@ def top_products(clean: DataFrame, k: int = 10) -> DataFrame:
         "description", F.col("revenue").cast("double").alias("revenue"))
 
 
-def weekday_hour(df: DataFrame, ts: str, amount: str) -> DataFrame:
-    """Amount per (ISO weekday, hour), all 7 × 24 cells, empty → 0.
-    Long form; ``weekday_hour_pivot`` gives the matrix."""
+def weekday_hour(df: DataFrame, ts: str, amount: str, weekdays: list[int] | None = None) -> DataFrame:
+    """Amount per (ISO weekday, hour), all 7 × 24 cells, empty → 0, in
+    long form.  ``weekdays`` (1 = Monday) keeps only those days, as the
+    reference does without Saturday."""
     t = F.col(ts)
     per = df.groupBy((F.weekday(t) + 1).alias("weekday_ord"), F.hour(t).alias("hour")).agg(
         F.sum(amount).alias("_amt"))
@@ -44,6 +45,8 @@ def weekday_hour(df: DataFrame, ts: str, amount: str) -> DataFrame:
                                                  (F.col("id") % 24).cast("int").alias("hour"))
     grid = grid.select((F.col("_d") + 1).alias("weekday_ord"), "hour",
                        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("_d")), "EEEE").alias("weekday"))
-    out = grid.join(F.broadcast(per), ["weekday_ord", "hour"], "left")
+    if weekdays is not None:
+        grid = grid.where(F.col("weekday_ord").isin(list(weekdays)))
+    out = grid.join(F.broadcast(per), ["weekday_ord", "hour"], "left")  # at most 168 rows
     return out.select("weekday_ord", "weekday", "hour",
                       F.coalesce(F.col("_amt").cast("double"), F.lit(0.0)).alias("revenue"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import format_rate, ratio
@@ -64,7 +64,10 @@ def churn_rates(labelled: DataFrame, dims: Sequence[str] = RATE_DIMENSIONS) -> D
         cond = F.col(f"_g_{d}") == 0
         dim = F.when(cond, F.lit(d)) if dim is None else dim.when(cond, F.lit(d))
         val = F.when(cond, F.col(d)) if val is None else val.when(cond, F.col(d))
-    return g.select(dim.alias("dimension"), val.alias("segment_value"), "customers", "churn_rate")
+    out = g.select(dim.alias("dimension"), val.alias("segment_value"), "customers", "churn_rate")
+    # Highest rate first within a dimension; a dimension has as many rows as levels.
+    order = Window.partitionBy("dimension").orderBy(F.col("churn_rate").desc_nulls_last(), "segment_value")
+    return out.select(F.row_number().over(order).alias("rank"), "*")
 
 
 def highest_risk(rates: DataFrame) -> DataFrame:
@@ -115,6 +118,29 @@ def business_insights(labelled: DataFrame, importances: DataFrame | None = None,
     return doc.select(*cols)
 
 
+def insight_rows(doc: DataFrame) -> DataFrame:
+    """The insight document without model drivers as rows (section, name, item, value, text)."""
+    def row(section, name, item, value=None, text=None):
+        return F.struct(F.lit(section).alias("section"), name.alias("name"), F.lit(item).alias("item"),
+                        (F.lit(None) if value is None else value).cast("double").alias("value"),
+                        (F.lit(None) if text is None else text).cast("string").alias("text"))
+    risks = F.transform(F.map_entries("highest_risk"), lambda e: F.array(
+        row("highest_risk", e["key"], "segment", text=e["value"]["segment"]),
+        row("highest_risk", e["key"], "churn_rate", e["value"]["churn_rate"], e["value"]["churn_rate_text"])))
+    gaps = F.transform(F.map_entries("service_gaps"), lambda e: F.array(
+        row("service_gaps", e["key"], "rate_no", e["value"]["rate_no"]),
+        row("service_gaps", e["key"], "rate_yes", e["value"]["rate_yes"])))
+    overall = F.array(row("overall", F.lit("all"), "churn_rate", F.col("overall_churn_rate")))
+    return doc.select(F.explode(F.concat(overall, F.flatten(risks), F.flatten(gaps))).alias("r")).select("r.*")
+
+
+def impute_from(train: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """Nulls of ``column`` filled with the median over ``train`` only, so that test rows do not shape it."""
+    x = F.expr(f"try_cast(`{column}` AS DOUBLE)")
+    med = exact_quantiles(train.select(x.alias("_x")), "_x", {"m": 0.5}).scalar().getField("m")
+    return df.withColumn(column, F.coalesce(x, med))
+
+
 def model_columns(levels: dict[str, list[str]]) -> list[str]:
     """Feature names after encoding, in table order (numerics, then dummies)."""
     return list(NUMERIC) + [f"{c}_{lv}" for c in CATEGORICAL for lv in levels[c]]

@@ -39,7 +39,7 @@ def _insights_json(spark, sf_dir) -> DataFrame:
     from ..sources import sinks
     base = ensure_checkpoint_dir(spark, local_default=True)
     doc = churn.business_insights(labelled(spark, sf_dir))
-    return sinks.json_roundtrip(doc, f"{base.rstrip('/')}/documents/insights-{uuid.uuid4().hex}")
+    return churn.insight_rows(sinks.json_roundtrip(doc, f"{base.rstrip('/')}/documents/insights-{uuid.uuid4().hex}"))
 
 
 def _best(spark, sf_dir) -> DataFrame:
@@ -63,6 +63,7 @@ QUERIES = {
     "service_gap": lambda s, d: churn.service_gap(labelled(s, d)),
     "churn_rate_overall": lambda s, d: churn.overall_rate(labelled(s, d)),
     "insights_json_roundtrip": lambda s, d: _insights_json(s, d),
+    "business_insights": lambda s, d: churn.insight_rows(churn.business_insights(labelled(s, d))),
     "stratified_split": lambda s, d: split.stratified_split(labelled(s, d).select(ID, "label"), "label", ID),
     "stratified_folds": lambda s, d: split.stratified_folds(
         split.stratified_split(labelled(s, d).select(ID, "label"), "label", ID).where("split = 'train'")

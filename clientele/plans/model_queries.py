@@ -241,6 +241,5 @@ QUERIES = {
     "feature_importance": feature_importance,
     "permutation_importance": permutation_importance,
     "shapley_importance": shapley_importance,
-    "business_insights": business_insights,
     "model_summary": model_summary,
 }

@@ -43,9 +43,14 @@ DISPLAY_NAMES = {
 }
 
 
-def feature_table(labelled: DataFrame) -> tuple[DataFrame, list[str]]:
-    """impute, one-hot (all levels), assemble → (id, label DOUBLE, features)."""
-    imputed = churn.impute_median(labelled, "avg_days_between_orders")
+def feature_table(labelled: DataFrame, train: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """impute, one-hot (all levels), assemble → (id, label DOUBLE, features).
+
+    The median is taken over ``train`` if given, else over all rows as in the reference."""
+    if train is None:
+        imputed = churn.impute_median(labelled, "avg_days_between_orders")
+    else:
+        imputed = churn.impute_from(train, labelled, "avg_days_between_orders")
     levels = churn.categorical_levels(imputed, CATEGORICAL)
     encoded = churn.one_hot(imputed, CATEGORICAL, levels)
     names = churn.model_columns(levels)
@@ -99,12 +104,17 @@ def score(model, df: DataFrame) -> DataFrame:
                                       vector_to_array("probability")[1].alias("score"))
 
 
-def split_features(labelled: DataFrame):
+def split_features(labelled: DataFrame, global_impute: bool = True):
     """Feature table with its ``split`` column, checkpointed: every model
     fit, fold and score below reads this table, so its lineage is cut once
     (reliable checkpoint in ``spark.checkpoint.dir``, which survives lost
     executors; never a local checkpoint)."""
-    feats, names = feature_table(labelled)
+    train = None
+    if not global_impute:
+        # The split depends on id and label alone, so it can be drawn before the features exist.
+        ids = split.stratified_split(labelled.select(ID, "label"), "label", ID, TEST_FRACTION, SEED)
+        train = labelled.join(ids.where("split = 'train'").select(ID), ID)
+    feats, names = feature_table(labelled, train)
     parts = split.stratified_split(feats, "label", ID, TEST_FRACTION, SEED)
     ensure_checkpoint_dir(parts.sparkSession, local_default=True)
     return parts.checkpoint(eager=True), names

@@ -43,12 +43,21 @@ def monthly_user_stats(clean: DataFrame, users: DataFrame) -> DataFrame:
                     F.coalesce(F.col("new_users"), F.lit(0)).cast("long").alias("new_users")))
 
 
-def monthly_kpi_summary(monthly: DataFrame) -> DataFrame:
+def complete_months(monthly: DataFrame) -> DataFrame:
+    """The month table without its last month, which the data may end in the middle of."""
+    last = monthly.agg(F.max("year_month")).scalar()
+    return monthly.where(F.col("year_month") < last)
+
+
+def monthly_kpi_summary(monthly: DataFrame, complete_months_only: bool = False) -> DataFrame:
     """A7, A12 (MAU peak) and T3: means over months, peak-MAU month and the
-    latest complete month (second to last)."""
+    latest complete month (second to last).  ``complete_months_only`` leaves
+    the last month out of the means and the peak."""
     desc = Window.orderBy(F.col("year_month").desc())
     latest = (monthly.withColumn("_k", F.row_number().over(desc)).where(F.col("_k") == 2)
               .select(F.struct("year_month", "mau").alias("s")).scalar())
+    if complete_months_only:
+        monthly = complete_months(monthly)
     return monthly.agg(
         F.count(F.lit(1)).alias("months"),
         ratio(F.sum("mau"), F.count(F.lit(1))).alias("avg_mau"),

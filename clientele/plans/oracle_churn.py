@@ -134,6 +134,17 @@ def _sql() -> dict[str, str]:
   FROM (SELECT customer_id, label,
                row_number() OVER (PARTITION BY label ORDER BY md5(CAST(customer_id AS VARCHAR) || '42'), customer_id) AS pos,
                count(*) OVER (PARTITION BY label) AS sz FROM lab))"""
+    # Rates are rounded to 6 places only at the end; the text has one place.
+    exact_rates = " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, {d} AS v, {div('sum(label)', 'count(*)')} AS rate FROM lab GROUP BY {d}"
+        for d in ["segment", "region", "priority"])
+    insights = f"""{w}, er AS ({exact_rates}),
+rk AS (SELECT dimension, arg_min(v, (-rate, v)) AS v, max(rate) AS rate FROM er GROUP BY dimension), gp AS ({gaps})
+SELECT 'overall' AS section, 'all' AS name, 'churn_rate' AS item, {r6(div('sum(label)', 'count(*)'))} AS value, CAST(NULL AS VARCHAR) AS text FROM lab
+UNION ALL SELECT 'highest_risk', dimension, 'segment', NULL, v FROM rk
+UNION ALL SELECT 'highest_risk', dimension, 'churn_rate', round(rate, 6), printf('%.1f%%', rate * 100) FROM rk
+UNION ALL SELECT 'service_gaps', feature, 'rate_no', rate_no, NULL FROM gp
+UNION ALL SELECT 'service_gaps', feature, 'rate_yes', rate_yes, NULL FROM gp"""
     p1, rc1, f1 = _prf("tp", "fp", "fn")
     p0, rc0, f0 = _prf("tn", "fn", "fp")
     best = lambda obj, v: f"""SELECT '{obj}' AS objective, threshold, {r6(v)} AS score, {r6('precision')} AS precision,
@@ -156,7 +167,8 @@ FROM labels WHERE quality IS NOT NULL GROUP BY quality""",
         "impute_median": f"""{w} SELECT customer_id, {r6('coalesce(avg_days_between_orders, (SELECT quantile_cont(avg_days_between_orders, 0.5) FROM churn))')}
   AS avg_days_between_orders FROM churn""",
         "one_hot": f"{w} SELECT customer_id, {dummies} FROM churn",
-        "churn_rate_by_segment": f"{w} {rates}",
+        "churn_rate_by_segment": f"""{w} SELECT row_number() OVER (PARTITION BY dimension ORDER BY churn_rate DESC, segment_value) AS rank, *
+  FROM ({rates})""",
         "highest_risk_segment": f"""{w}, r AS ({rates}) SELECT dimension, arg_min(segment_value, (-churn_rate, segment_value)) AS segment,
   max(churn_rate) AS churn_rate FROM r GROUP BY dimension""",
         "service_gap": f"{w} {gaps}",
@@ -167,6 +179,8 @@ FROM labels WHERE quality IS NOT NULL GROUP BY quality""",
   SELECT customer_id, label,
          row_number() OVER (PARTITION BY label ORDER BY md5(CAST(customer_id AS VARCHAR) || '42'), customer_id) AS pos
   FROM sp WHERE split = 'train')""",
+        "insights_json_roundtrip": insights,
+        "business_insights": insights,
         "churn_features": f"""{w}, {split} SELECT customer_id, sp.label, sp.split, unnest({_features()[1]}) AS feature,
   round(unnest({_features()[0]}), 6) AS value FROM lab JOIN sp USING (customer_id)""",
         "smote_oversample": _smote(split),

@@ -154,7 +154,7 @@ def _sql() -> dict[str, str]:
                                "customer_id", "country"]))
     scan = (f"WITH {TX_RAW} SELECT invoice, stock_code, description, quantity, invoice_date, "
             "CAST(price AS DOUBLE) AS price, customer_id, country FROM tx_raw")
-    return {
+    sqls = {
         "scan_transactions": scan,
         "csv_roundtrip": scan,
         "clean_transactions": f"WITH {TX} SELECT invoice, stock_code, description, quantity, invoice_date, "
@@ -362,6 +362,10 @@ m AS (
     {div('coalesce((SELECT sum(total_revenue) FROM top WHERE rk <= (SELECT count(*) FROM users) // 5), 0)', '(SELECT sum(total_revenue) FROM users)')} * 100
   UNION ALL SELECT 'monthly', 'avg_mau', {div('sum(mau)', 'count(*)')} FROM monthly
   UNION ALL SELECT 'monthly', 'avg_new_users', {div('sum(new_users)', 'count(*)')} FROM monthly
+  UNION ALL SELECT 'monthly', 'peak_mau', max(mau) FROM monthly
+  UNION ALL SELECT 'monthly', 'latest_complete_mau', (SELECT mau FROM monthly ORDER BY year_month DESC LIMIT 1 OFFSET 1)
+  UNION ALL SELECT 'monthly', 'max_new_users', max(new_users) FROM monthly
+  UNION ALL SELECT 'monthly', 'min_new_users', min(new_users) FROM monthly
   UNION ALL SELECT 'rfm', 'champions_users', count(*) FILTER (WHERE rfm_segment = 'Champions') FROM segs
   UNION ALL SELECT 'rfm', 'champions_revenue_pct',
     {div("sum(monetary) FILTER (WHERE rfm_segment = 'Champions')", 'sum(monetary)')} * 100 FROM segs
@@ -398,6 +402,16 @@ FROM ret WHERE period_index IN (1, 3) GROUP BY 1""",
   {r6(div('sum(retention_rate)', '(SELECT count(*) FROM ret WHERE period_index = 0)'))} AS avg_retention_zero_filled
 FROM ret WHERE period_index <= 12 GROUP BY 1""",
     }
+    grouped = [("cleaning_waterfall", "cleaning", "rule", ["removed", "rows_out", "kept_pct_of_raw"]),
+               ("segment_profile", "segments", "rfm_segment",
+                ["users", "user_pct", "avg_recency", "avg_frequency", "avg_monetary", "revenue", "revenue_pct"]),
+               ("purchase_funnel", "funnel", "stage", ["users", "pct_of_first", "step_rate"]),
+               ("report_tiers", "tiers", "tier_kind || ' ' || tier", ["users", "pct"]),
+               ("lifecycle_distribution", "stages", "life_stage", ["users", "pct"])]
+    sqls["report_metrics"] = f"SELECT * FROM ({sqls['report_metrics']})" + "".join(
+        f" UNION ALL SELECT '{section}', {name} || '.{v}', round(CAST({v} AS DOUBLE), 6) FROM ({sqls[key]})"
+        for key, section, name, values in grouped for v in values)
+    return sqls
 
 
 def _weekday_hour(prefix: str) -> str:

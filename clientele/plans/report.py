@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from . import cohort, monthly, strategy, users as users_plan
+from . import cohort, monthly, quality, rfm, strategy, users as users_plan
 
 
 def tidy(df: DataFrame, section: str) -> DataFrame:
@@ -19,8 +19,16 @@ def tidy(df: DataFrame, section: str) -> DataFrame:
     return df.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def tidy_groups(df: DataFrame, section: str, key: str, values: list[str]) -> DataFrame:
+    """One row per (group, value column), named ``<group>.<value>``."""
+    rows = F.array(*[F.struct(F.lit(section).alias("section"), F.concat(F.col(key), F.lit(f".{v}")).alias("metric"),
+                              F.col(v).cast("double").alias("value")) for v in values])
+    return df.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def report_metrics(raw: DataFrame, clean: DataFrame, users: DataFrame, monthly_stats: DataFrame,
-                   segments: DataFrame) -> DataFrame:
+                   segments: DataFrame, complete_months_only: bool = False) -> DataFrame:
+    """All figures of the report; ``raw`` needs the columns of the cleaning rules."""
     data = clean.agg(F.count(F.lit(1)).alias("clean_rows"), F.count_distinct("customer_id").alias("customers"),
                      F.count_distinct("stock_code").alias("products"), F.count_distinct("country").alias("countries"),
                      F.sum("revenue").alias("revenue"))
@@ -28,7 +36,9 @@ def report_metrics(raw: DataFrame, clean: DataFrame, users: DataFrame, monthly_s
     rep = users_plan.repeat_purchase(users).select("repeat_pct", "mean_orders")
     spend = users_plan.spend_summary(users).select("mean_spend", "median_spend")
     top = strategy.top20_share(users).select("top_share_pct")
-    kpi = monthly.monthly_kpi_summary(monthly_stats).select("avg_mau", "avg_new_users")
+    kpi = monthly.monthly_kpi_summary(monthly_stats, complete_months_only).select(
+        "avg_mau", "avg_new_users", "peak_mau", "latest_complete_mau")
+    months = monthly.best_worst_month(monthly_stats).select("max_new_users", "min_new_users")
     champ = F.col("rfm_segment") == "Champions"
     rfm_part = segments.agg(F.count_if(champ).alias("champions_users"),
                             (ratio(F.sum(F.when(champ, F.col("monetary"))), F.sum("monetary")) * 100)
@@ -37,8 +47,15 @@ def report_metrics(raw: DataFrame, clean: DataFrame, users: DataFrame, monthly_s
     m1 = cohort.retention_curve(ret).where("period_index = 1").select(F.col("avg_retention").alias("month1_mean"))
     m1z = cohort.retention_zero_filled(ret).where("period_index = 1").select(
         F.col("avg_retention_zero_filled").alias("month1_zero_filled"))
+    tiers = users_plan.report_tiers(users).select(F.concat_ws(" ", "tier_kind", "tier").alias("tier"), "users", "pct")
     parts = [tidy(data, "data"), tidy(rep, "users"), tidy(spend, "users"), tidy(top, "users"),
-             tidy(kpi, "monthly"), tidy(rfm_part, "rfm"), tidy(m1, "retention"), tidy(m1z, "retention")]
+             tidy(kpi, "monthly"), tidy(months, "monthly"), tidy(rfm_part, "rfm"), tidy(m1, "retention"), tidy(m1z, "retention"),
+             tidy_groups(quality.cleaning_waterfall(raw), "cleaning", "rule", ["removed", "rows_out", "kept_pct_of_raw"]),
+             tidy_groups(rfm.segment_profile(segments), "segments", "rfm_segment",
+                         ["users", "user_pct", "avg_recency", "avg_frequency", "avg_monetary", "revenue", "revenue_pct"]),
+             tidy_groups(strategy.purchase_funnel(users), "funnel", "stage", ["users", "pct_of_first", "step_rate"]),
+             tidy_groups(tiers, "tiers", "tier", ["users", "pct"]),
+             tidy_groups(strategy.lifecycle_distribution(strategy.lifecycle_stage(users)), "stages", "life_stage", ["users", "pct"])]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

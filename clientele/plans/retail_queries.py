@@ -186,7 +186,7 @@ def _cluster_profile(spark, sf_dir) -> DataFrame:
 def _report(spark, sf_dir) -> DataFrame:
     c = clean(spark, sf_dir, ["stock_code", "country"])
     u = user_table(spark, sf_dir)
-    return report.report_metrics(raw(spark, sf_dir, ["invoice"]), c, u, monthly.monthly_user_stats(c, u),
+    return report.report_metrics(raw(spark, sf_dir, _BASE), c, u, monthly.monthly_user_stats(c, u),
                                  segments(spark, sf_dir))
 
 

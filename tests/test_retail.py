@@ -57,21 +57,26 @@ def test_segment_rules_cover_all_score_triples(spark):
     got = {(x.r, x.f, x.m): x.s for x in df.select("r", "f", "m", rfm.segment_rule(
         F.col("r"), F.col("f"), F.col("m")).alias("s")).collect()}
 
-    def rule(r, f, m):
-        if r >= 4 and f >= 4 and m >= 4:
-            return "Champions"
-        if r >= 3 and f >= 3 and m >= 3:
-            return "Loyal"
-        if r >= 4 and f <= 2:
-            return "Potential"
-        if r <= 2 and f >= 3 and m >= 3:
-            return "AtRisk"
-        if r <= 2 and f <= 2:
-            return "Lost"
-        if r >= 3 and f <= 2 and m <= 2:
-            return "New"
-        return "Average"
-    assert all(got[t] == rule(*t) for t in triples)
+    # (recency score, frequency score): segment for monetary scores 1 to 4.
+    expected = {
+        (1, 1): "Lost Lost Lost Lost",
+        (1, 2): "Lost Lost Lost Lost",
+        (1, 3): "Average Average AtRisk AtRisk",
+        (1, 4): "Average Average AtRisk AtRisk",
+        (2, 1): "Lost Lost Lost Lost",
+        (2, 2): "Lost Lost Lost Lost",
+        (2, 3): "Average Average AtRisk AtRisk",
+        (2, 4): "Average Average AtRisk AtRisk",
+        (3, 1): "New New Average Average",
+        (3, 2): "New New Average Average",
+        (3, 3): "Average Average Loyal Loyal",
+        (3, 4): "Average Average Loyal Loyal",
+        (4, 1): "Potential Potential Potential Potential",
+        (4, 2): "Potential Potential Potential Potential",
+        (4, 3): "Average Average Loyal Loyal",
+        (4, 4): "Average Average Loyal Champions",
+    }
+    assert all(got[r, f, m] == expected[r, f].split()[m - 1] for r, f, m in triples)
 
 
 def test_rfm_properties_on_test_data(spark):
