@@ -6,6 +6,7 @@ batch in one buffer, the word boundaries in it and a 64-bit hash per word.
 """
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import numpy as np
@@ -35,15 +36,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_PATHS: set[str] = set()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark, local_default=True)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared checkpoint folder; what is left of it goes when this process ends."""
+    path = f"{ensure_checkpoint_dir(spark, local_default=True)}/{name}-{uuid.uuid4().hex}"
+    _OWN_PATHS.add(path)
+    return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder this library wrote below the shared checkpoint folder."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _OWN_PATHS.discard(path)
+
+
+@atexit.register
+def _delete_own_paths() -> None:
+    spark = SparkSession.getActiveSession()
+    # After spark.stop() nothing can be deleted any more: the folder is the application's own checkpoint folder.
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in list(_OWN_PATHS):
+            delete_path(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ from .common import checkpointed
 
 BLOCK_DOCS = 16
 PERIOD = 1000
-# Hash ranges each source is cut into; an order-preserving cut, so results do not depend on it.
+# Hash ranges each source is cut into (a power of 2 up to 4096); an order-preserving cut, so results do not depend on it.
 RANGES = 1 << 10
 # Rows (sources x ranges, some 40 bytes each) up to which the ranges' counts are broadcast.
 BROADCAST_ROWS = 1 << 20
@@ -105,8 +105,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
     rows = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-                       F.xxhash64(F.col(id_col), F.lit("mix")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
-    cut = F.expr(f"shiftright(h, {64 - (RANGES - 1).bit_length()})").alias("part")
+                       F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|mix"))).alias("h"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
+    # The first 12 bits of the hash, cut to RANGES ranges in its order.
+    cut = F.expr(f"cast(conv(substr(h, 1, 3), 16, 10) as int) div {4096 // RANGES}").alias("part")
     sizes = checkpointed(rows.groupBy("source", cut).agg(F.count("*").alias("n")))
     before = sizes.select("source", "part", F.coalesce(F.sum("n").over(
         Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
