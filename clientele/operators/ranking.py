@@ -85,42 +85,54 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], *, rank_col: str =
     return out.drop("_range", "_local", "_n_before")
 
 
+# Rank error of the sketch that brackets a quantile, as a share of the rows: 1 / ACCURACY.
+ACCURACY = 100_000
+
+
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float], *,
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """One row with one struct column ``quantiles`` holding a DOUBLE field
     per entry of ``probs`` (use ``.scalar().getField(name)``): the exact,
     linearly interpolated quantile (``percentile`` / ``quantile_cont``).
 
     With ``h = (n-1)·p``, ``lo = floor(h)``: ``x[lo] + (x[lo+1] - x[lo])·(h - lo)``
-    on the ascending values (nulls ignored).  Only the two order statistics
-    per probability are fetched, by an equi-join on the global row number —
-    no buffer of all values in one task.
+    on the ascending values (nulls ignored).
+
+    No sort of all values: a quantile sketch (whose rank error is guaranteed)
+    gives two values that enclose both order statistics; one aggregate then
+    counts the rows below that bracket and the distinct values inside it —
+    0.02 % of a large table at most — and the order statistics are read off
+    their running counts.  ``num_partitions`` spreads the input's scan, if given.
     """
     v = F.col(value) if isinstance(value, str) else value
-    # The row id only splits runs of equal values across ranges (a value
-    # held by a third of the rows would otherwise land in one range); equal
-    # values are interchangeable, so the quantiles do not depend on it.
-    xs = (df.select(v.cast("double").alias("_x")).where(F.col("_x").isNotNull())
-          .withColumn("_t", F.monotonically_increasing_id()))
-    ranked = global_rank(xs, ["_x", "_t"], rank_col="_rn", num_partitions=num_partitions)
-    n = ranked.agg(F.count(F.lit(1)).alias("_cnt"))
-    # |probs| rows: the count with each probability attached.
-    pairs = F.array(*[F.struct(F.lit(k).alias("_q"), F.lit(float(p)).alias("_p")) for k, p in probs.items()])
-    pos = (n.select("_cnt", F.explode(pairs).alias("_qp")).select("_cnt", "_qp._q", "_qp._p")
-           .withColumn("_h", (F.col("_cnt") - 1).cast("double") * F.col("_p"))
-           .withColumn("_lo", F.floor("_h").cast("long"))
-           .withColumn("_frac", F.col("_h") - F.col("_lo"))
-           .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_cnt") - 1))
-           .where(F.col("_cnt") > 0))
-    wanted = pos.select("_q", "_frac", F.explode(F.array(
-        F.struct(F.lit("lo").alias("_side"), (F.col("_lo") + 1).alias("_pos")),
-        F.struct(F.lit("hi").alias("_side"), (F.col("_hi") + 1).alias("_pos")))).alias("_w"))
-    wanted = wanted.select("_q", "_frac", "_w._side", "_w._pos")
-    hits = ranked.join(F.broadcast(wanted), ranked["_rn"] == wanted["_pos"])
-    per_q = hits.groupBy("_q").agg(
-        F.max(F.when(F.col("_side") == "lo", F.col("_x"))).alias("_xlo"),
-        F.max(F.when(F.col("_side") == "hi", F.col("_x"))).alias("_xhi"),
-        F.max("_frac").alias("_frac"))
-    per_q = per_q.withColumn("_val", F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_frac"))
-    return per_q.agg(F.struct(*[F.max(F.when(F.col("_q") == k, F.col("_val"))).alias(k) for k in probs])
-                     .alias("quantiles"))
+    xs = df.select(v.cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    if num_partitions:
+        xs = xs.repartition(num_partitions)
+    names, ps = list(probs), [float(p) for p in probs.values()]
+    # The bracket must reach past the sketch's error and the next row: the narrowest margin that does is taken,
+    # which depends on the number of rows and so is chosen inside the plan.
+    margins = [m for m in (1.0, 0.1, 0.01, 0.001, 0.0001) if m == 1.0 or m >= 4.0 / accuracy]
+    grid = [min(max(p + side * m, 0.0), 1.0) for p in ps for m in margins for side in (-1, 1)]
+    sketch = xs.agg(F.struct(F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", grid, accuracy).alias("q")).alias("s")).scalar()
+    level = F.lit(0)
+    for j, m in enumerate(margins[1:], 1):
+        level = F.when(F.lit(m) >= F.lit(2.0 / accuracy) + F.lit(3.0) / F.col("_n"), j).otherwise(level)
+    brackets = F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(p).alias("p"), F.element_at("_q", F.lit(2 * len(margins) * i + 1) + 2 * F.col("_level")).alias("lo"),
+        F.element_at("_q", F.lit(2 * len(margins) * i + 2) + 2 * F.col("_level")).alias("hi")) for i, p in enumerate(ps)])
+    marked = xs.select("_x", sketch.getField("n").alias("_n"), sketch.getField("q").alias("_q")).withColumn("_level", level)
+    cells = marked.select(
+        "_x", "_n", F.explode(brackets).alias("b")).select("_x", "_n", "b.*").where(F.col("_x") <= F.col("hi"))
+    # The null key counts everything below the bracket.
+    counted = cells.groupBy("i", "p", "_n", F.when(F.col("_x") >= F.col("lo"), F.col("_x")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("i").orderBy(F.col("k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    at = (counted.withColumn("stop", F.sum("c").over(upto)).withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
+          .withColumn("r0", F.floor("_h").cast("long")).withColumn("r1", F.least(F.col("r0") + 1, F.col("_n") - 1)))
+
+    def holds(rank: str) -> Column:
+        return (F.col("stop") - F.col("c") <= F.col(rank)) & (F.col(rank) < F.col("stop"))
+    found = at.groupBy("i").agg(F.max(F.when(holds("r0"), F.col("k"))).alias("a"), F.max(F.when(holds("r1"), F.col("k"))).alias("b"),
+                                F.max(F.col("_h") - F.col("r0")).alias("part"))
+    values = found.select("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+    return values.agg(F.struct(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(names)])
+                      .alias("quantiles"))

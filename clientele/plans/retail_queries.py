@@ -57,6 +57,11 @@ def event_value(spark, sf_dir, event_type: str | None = None) -> DataFrame:
     return breakdowns.weekday_hour(events, "ts", "value")
 
 
+def stored_months(spark, sf_dir) -> DataFrame:
+    """The month table, for queries that combine it with others (it has one row per month)."""
+    return _materialized(spark, sf_dir, "months", lambda: monthly_table(spark, sf_dir))
+
+
 def _cut():
     return F.lit(HALF_YEAR_CUT).cast("timestamp_ntz")
 
@@ -186,11 +191,11 @@ def _cluster_profile(spark, sf_dir) -> DataFrame:
 def _report(spark, sf_dir) -> DataFrame:
     c = clean(spark, sf_dir, ["stock_code", "country"])
     u = user_table(spark, sf_dir)
-    return report.report_metrics(raw(spark, sf_dir, _BASE), c, u, monthly.monthly_user_stats(c, u),
+    return report.report_metrics(raw(spark, sf_dir, _BASE), c, u, stored_months(spark, sf_dir),
                                  segments(spark, sf_dir))
 
 
 def _kpi(spark, sf_dir) -> DataFrame:
     c = clean(spark, sf_dir)
     u = user_table(spark, sf_dir)
-    return strategy.kpi_summary(c, u, monthly.monthly_user_stats(c, u), segments(spark, sf_dir))
+    return strategy.kpi_summary(c, u, stored_months(spark, sf_dir), segments(spark, sf_dir))

@@ -42,3 +42,14 @@ def test_global_rank_on_shuffled_input_is_a_permutation(spark, parts):
     exp = out.sort_values(["k", "id"])
     assert (exp.rn.values == np.arange(1, 5001)).all()
     assert (exp.cum.values == exp.k.cumsum().values).all()
+
+
+@pytest.mark.parametrize("accuracy", [50, 1000])
+def test_exact_quantiles_with_a_coarse_sketch(spark, accuracy):
+    rng = np.random.default_rng(accuracy)
+    vals = np.where(rng.random(20_000) < 0.3, 5.0, rng.lognormal(1, 2, 20_000).round(3))  # a third in one value
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
+    probs = {f"p{i}": p for i, p in enumerate([0.001, 0.1, 0.25, 0.5, 0.62, 0.9, 0.9999])}
+    got = exact_quantiles(df, "x", probs, accuracy=accuracy).first()["quantiles"]
+    for k, p in probs.items():
+        assert got[k] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-9)
