@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_stream, mix64, utf8_buffers
+from .common import U64, checkpointed, hash_stream, mix64, utf8_buffers
 
 ORDERS = (1, 2, 3, 4)
 UNDETERMINED = "und"
-_PIECE = 1 << 19  # code points whose n-grams are held at once
+# Rows of the per-language counts up to which they are broadcast (a few MB).
+MAX_BROADCAST_LANGS = 100_000
+_PIECE = 1 << 18  # bytes decoded, and code points whose n-grams are held at once
 
 
 @dataclass
@@ -45,22 +47,45 @@ class LanguageModel:
     bits: int
 
 
+def _decode(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, byte position of each) of UTF-8 bytes that end with a whole character."""
+    at = np.flatnonzero((raw & 0xC0) != 0x80)
+    b = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32)
+    cp = b[at]
+    wide = np.flatnonzero(cp >= 0x80)
+    p, c0 = at[wide], cp[wide]
+    c1, c2, c3 = b[p + 1] & 0x3F, b[p + 2] & 0x3F, b[p + 3] & 0x3F
+    cp[wide] = np.where(c0 < 0xE0, ((c0 & 0x1F) << 6) | c1, np.where(
+        c0 < 0xF0, ((c0 & 0x0F) << 12) | (c1 << 6) | c2, ((c0 & 0x07) << 18) | (c1 << 12) | (c2 << 6) | c3))
+    return cp, at
+
+
 def _code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of a UTF-8 buffer, one int per character, and the row offsets in characters."""
-    lead = (raw & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
-    b = raw.astype(np.uint32)
-    b = np.concatenate([b, np.zeros(3, np.uint32)])
-    c0, c1, c2, c3 = b[at], b[at + 1] & 0x3F, b[at + 2] & 0x3F, b[at + 3] & 0x3F
-    cp = np.where(c0 < 0x80, c0, np.where(c0 < 0xE0, ((c0 & 0x1F) << 6) | c1, np.where(
-        c0 < 0xF0, ((c0 & 0x0F) << 12) | (c1 << 6) | c2, ((c0 & 0x07) << 18) | (c1 << 12) | (c2 << 6) | c3)))
-    return cp, np.searchsorted(at, offsets)
+    """Normalised code points of a UTF-8 buffer and the row offsets in characters, decoded piece by piece."""
+    parts, first, done, lo = [], np.zeros(len(offsets), np.int64), 0, 0
+    while lo < len(raw):
+        hi = min(len(raw), lo + _PIECE)
+        while hi < len(raw) and (raw[hi] & 0xC0) == 0x80:
+            hi += 1
+        cp, at = _decode(raw[lo:hi])
+        inside = slice(np.searchsorted(offsets, lo), np.searchsorted(offsets, hi))
+        first[inside] = done + np.searchsorted(at, offsets[inside] - lo)
+        parts.append(_normalise(cp))
+        done += len(cp)
+        lo = hi
+    first[np.searchsorted(offsets, len(raw)):] = done
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32), first
+
+
+# ASCII letters in lower case, all else a blank.
+_ASCII = np.array([ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 
 
 def _normalise(cp: np.ndarray) -> np.ndarray:
     """Lower-case ASCII letters; all other ASCII characters become a blank."""
-    cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp)
-    return np.where((cp < 128) & ~((cp >= 97) & (cp <= 122)), 32, cp)
+    ascii_ = np.flatnonzero(cp < 128)
+    cp[ascii_] = _ASCII[cp[ascii_]]
+    return cp
 
 
 _FACTOR = hash_stream(max(ORDERS), 7) | U64(1)
@@ -69,6 +94,7 @@ _FACTOR = hash_stream(max(ORDERS), 7) | U64(1)
 def _buckets(cp: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Bucket of the n-gram that starts at each of the ``len(cp) - order + 1`` positions."""
     n = len(cp) - order + 1
+    cp = cp.astype(U64)
     with np.errstate(over="ignore"):
         h = np.full(max(n, 0), U64(order * 0x51ED270B), U64)
         for i in range(order):
@@ -115,8 +141,7 @@ def _gram_rows(cp: np.ndarray, first: np.ndarray, bits: int):
 
 
 def _prepare(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    cp, first = _code_points(*utf8_buffers(column))
-    return _normalise(cp).astype(U64), first
+    return _code_points(*utf8_buffers(column))
 
 
 def _row_sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -137,7 +162,9 @@ def train(docs: DataFrame, where: Column | None = None, text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                        (F.lit(True) if where is None else where).alias("use"))
     rows = rows.where("use and text is not null and lang is not null and id is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    if counts.count() <= MAX_BROADCAST_LANGS:
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language-sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(counts, "lang").where(draw * F.col("n") < sample_per_lang).select("lang", "text")
 
