@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import round6
 from ..session import apply_runtime_conf
 
 
@@ -16,7 +17,7 @@ def finalize(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = round6(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

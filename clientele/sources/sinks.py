@@ -7,11 +7,11 @@ result documents are one-row nested DataFrames written as JSON.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import year_month
+from ..functions.columns import nan_to_null, year_month
 from .tables import read_header_csv
 
 
@@ -50,9 +50,23 @@ def read_wide(spark: SparkSession, path: str, id_col: str, name_col: str, value_
                        F.expr(f"try_cast(`{value_col}` AS DOUBLE)").alias(value_col)).where(F.col(value_col).isNotNull())
 
 
+def json_safe(value: Column, kind: T.DataType) -> Column:
+    """``value`` with every number in it that JSON cannot hold replaced by null, at any depth."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return nan_to_null(value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[json_safe(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: json_safe(x, kind.valueType))
+    return value
+
+
 def write_json(doc: DataFrame, path: str) -> None:
-    """A result document (one row of structs/maps/arrays) as JSON."""
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    """A result document (one row of structs/maps/arrays) as JSON; NaN and infinities become null."""
+    safe = [json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in doc.schema.fields]
+    doc.select(*safe).coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

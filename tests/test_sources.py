@@ -52,6 +52,13 @@ def test_indented_json_document(spark, tmp_path):
     assert [r.asDict(recursive=True) for r in got] == [doc]
 
 
+def test_json_documents_hold_no_nan(spark, tmp_path):
+    doc = spark.sql("""SELECT double('NaN') AS a, named_struct('b', double('Infinity'), 'c', 1.5D) AS s,
+        array(1.0D, double('-Infinity')) AS l, map('k', double('NaN')) AS m, CAST(NULL AS STRUCT<x: DOUBLE>) AS n, 'NaN' AS t""")
+    got = sinks.json_roundtrip(doc, f"file://{tmp_path}/doc").first().asDict(recursive=True)
+    assert got == {"a": None, "s": {"b": None, "c": 1.5}, "l": [1.0, None], "m": {"k": None}, "n": None, "t": "NaN"}
+
+
 def test_wide_cohort_file(spark, tmp_path):
     path = write(tmp_path / "wide.csv", "cohort_month, 0 ,1,2\n2010-01,100.0,35.3,\n2010-02,100.0,,\n")
     got = sorted(tuple(r) for r in sinks.read_wide(spark, path, "cohort_month", "period_index", "retention_rate").collect())
