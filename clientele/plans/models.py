@@ -168,7 +168,8 @@ def permutation_importance(model, test: DataFrame, names: list[str], repeats: in
                               F.lit(rng.randrange(max(n, 1))).cast("long").alias("_b"))
                      for f in range(len(names)) for r in range(repeats)])  # one entry per feature and repeat
     copies = base.select("_i", F.explode(keys).alias("k")).select(
-        "_i", "k._f", "k._r", F.expr("(k._a * _i + k._b) % %d" % max(n, 1)).alias("_donor"))
+        "_i", "k._f", "k._r", F.expr(
+            f"cast((cast(k._a as decimal(18,0)) * cast(_i as decimal(18,0)) + k._b) % {max(n, 1)} as bigint)").alias("_donor"))
     values = base.select(F.col("_i").alias("_donor"), F.posexplode("_x").alias("_f", "_v"))
     swapped = copies.join(values, ["_donor", "_f"]).join(base, "_i").select(
         ID, "label", "_f", "_r", array_to_vector(F.transform(

@@ -147,3 +147,25 @@ def test_grouped_metrics_match_per_group(spark):
         sub = [(y, s) for gg, y, s in rows if gg == g]
         assert got[g].roc_auc == pytest.approx(brute_auc(sub))
         assert got[g].average_precision == pytest.approx(brute_ap(sub))
+
+
+def test_importances_of_a_fitted_model(spark):
+    """A model that reads one feature only: that feature ranks first by coefficient, permutation and attribution."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+    from clientele.plans import models
+    rnd = random.Random(21)
+    rows = []
+    for i in range(160):
+        x = [rnd.random() for _ in range(3)]
+        rows.append((i, float(x[1] > 0.5), Vectors.dense(x)))
+    schema = StructType([StructField("customer_id", LongType()), StructField("label", DoubleType()), StructField("features", VectorUDT())])
+    df = spark.createDataFrame(rows, schema).repartition(3).cache()
+    model = models.fit("logistic_regression", df)
+    names = ["a", "b", "c"]
+    for table, value in ((models.feature_importance(model, names), "importance"),
+                         (models.permutation_importance(model, df, names, repeats=4), "importance"),
+                         (models.shapley_importance(model, df, df, names, permutations=6), "mean_abs_shap")):
+        found = sorted(table.collect(), key=lambda r: r["rank"])
+        assert [r["rank"] for r in found] == [1, 2, 3] and found[0]["feature"] == "b"
+        assert found[0][value] > 3 * max(abs(r[value]) for r in found[1:])
