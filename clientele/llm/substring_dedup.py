@@ -187,7 +187,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     matched = matches[0]
     for more in matches[1:]:
         matched = matched.union(more)
-    hits = stored(runs.join(matched.distinct(), "key", "left_semi").drop("batch"), "matched-runs")
+    # Stored first: the join then reads plain exchanges on both sides, which Spark can split at a hot key.
+    matched = stored(matched.distinct(), "matched-keys")
+    hits = stored(runs.join(matched, "key", "left_semi").drop("batch"), "matched-runs")
     delete_path(spark, path)
 
     counted = stored(hits.groupBy("key", "a", "b").agg(
