@@ -7,12 +7,23 @@ the released block of the earliest deadline runs (ties: the later next
 release, then the source's name).  So after any number of slots each source
 is less than one block away from its share.
 
-Weights are rounded to multiples of ``1 / period`` (largest remainder, every
-source at least one), so the schedule repeats after ``period`` slots.  That
-one period is worked out from the weights alone and joined back as a table of
-``period`` rows: a proven bound, whatever the size of the corpus.  All rows of
-the corpus then get their slot by arithmetic: block ``j`` of a source with
-``a`` blocks a period runs in slot ``(j div a) * period + slot(j mod a)``.
+Where multiples of ``1 / period`` meet every weight to ``TOLERANCE`` (largest
+remainder, few sources of like size), the schedule repeats after ``period``
+slots.  That one period is worked out from the weights alone and joined back
+as a table of ``period`` rows.  All rows of the corpus then get their slot by
+arithmetic: block ``j`` of a source with ``a`` blocks a period runs in slot
+``(j div a) * period + slot(j mod a)``.
+
+Any other weights (many sources, or a very small one) go through a Huffman
+tree of the sources, which needs no period.  Of the first ``k`` slots of a
+node, ``round(k * p)`` are its first child's (share ``p``) and the rest the
+other's, so the slot of a child's block is known in closed form, and the slot
+of a source's block by one step of integer arithmetic per node above it.  A
+node adds half a block at most, times the source's share of the node below
+it; these shares fall off like Fibonacci numbers on the way up, so after any
+number of slots each source is less than 1.2 blocks away from its share, for
+any number of sources.  ``release`` and ``deadline`` are the bounds above, of
+the source's own weight; a slot may lie that fifth of a block outside them.
 
 No row is dropped or repeated.  The weights hold up to the slot in which the
 first source runs dry (``in_target``); later slots of dry sources stay unused
@@ -32,6 +43,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +51,12 @@ from .common import checkpointed
 
 BLOCK_DOCS = 16
 PERIOD = 1000
+# Relative error of a source's weight up to which the schedule of one period is used.
+TOLERANCE = 0.02
+# Shares in the tree are multiples of 1 / ONE of their node; 2 * ONE * ONE fits a long.
+ONE = 1 << 30
+# Steps (8 bytes each) of all sources' paths together up to which they are broadcast.
+BROADCAST_STEPS = 1 << 21
 # Hash ranges each source is cut into (a power of 2 up to 4096); an order-preserving cut, so results do not depend on it.
 RANGES = 1 << 10
 # Rows (sources x ranges, some 40 bytes each) up to which the ranges' counts are broadcast.
@@ -84,6 +102,47 @@ def schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def meets(quota: dict[str, int], weights: dict[str, float]) -> bool:
+    """Whether every quota is within TOLERANCE of its weight."""
+    period, total = sum(quota.values()), sum(weights.values())
+    return all(abs(quota[s] * total - w * period) <= TOLERANCE * w * period for s, w in weights.items())
+
+
+def paths(weights: dict[str, float]) -> dict[str, list[int]]:
+    """Steps from each source up to the root of the Huffman tree: its share of the node in 1 / ONE, negative for the first child."""
+    names = sorted(weights)
+    heap = [(weights[s], i) for i, s in enumerate(names)]
+    heapq.heapify(heap)
+    above: dict[int, tuple[int, int]] = {}  # node -> (step, node above)
+    node = len(names)
+    while len(heap) > 1:
+        (v, first), (w, second) = heapq.heappop(heap), heapq.heappop(heap)
+        share = min(max(round(v / (v + w) * ONE), 1), ONE - 1)
+        above[first], above[second] = (-share, node), (ONE - share, node)
+        heapq.heappush(heap, (v + w, node))
+        node += 1
+    out = {}
+    for i, s in enumerate(names):
+        steps, at = [], i
+        while at in above:
+            step, at = above[at]
+            steps.append(step)
+        out[s] = steps
+    return out
+
+
+def path_slot(path: list[int], block: int) -> int:
+    """Slot of a source's block; ``_PATH_SLOT`` is the same in SQL."""
+    for step in path:
+        a = abs(step)
+        block = block // a * ONE + (ONE * (2 * (block % a) + 1) - (step < 0)) // (2 * a)
+    return block
+
+
+_PATH_SLOT = (f"aggregate(path, block, (k, step) -> k div abs(step) * {ONE}L"
+              f" + ({ONE}L * (2 * (k % abs(step)) + 1) - if(step < 0, 1, 0)) div (2 * abs(step)))")
+
+
 def source_weights(docs: DataFrame, source_col: str = "source", exponent: float = 0.7) -> dict[str, float]:
     """Target weights count ** exponent: below 1, small sources are read more often than their size."""
     rows = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("s")).count().collect()
@@ -119,24 +178,37 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
         weights = {s: weights.get(s, 0) if weights.get(s, 0) > 0 else least for s in present}
     if not present:
         present, weights = {"": 0}, {"": 1.0}
-    quota = quotas(weights, period)
-    whole = sum(quota.values())
-    before = before.join(_literals(spark, ["source", "a"], list(quota.items())), "source")
     if len(present) * RANGES <= BROADCAST_ROWS:
         before = F.broadcast(before)
     numbered = rows.withColumn("part", cut).join(before, ["source", "part"]).withColumn(
         "number", F.col("before") + F.row_number().over(Window.partitionBy("source", "part").orderBy("h")) - 1)
-    block = F.expr(f"number div {block_docs}")
-    runs = schedule(quota)
-    pattern = _literals(spark, ["p_source", "p_block", "p_release", "p_deadline", "p_slot"], runs)
-    out = numbered.withColumn("block", block).join(F.broadcast(pattern), F.expr("source = p_source and block % a = p_block"))
+    out = numbered.withColumn("block", F.expr(f"number div {block_docs}"))
+    place = F.expr(f"int(number % {block_docs})").alias("place")
+    quota = quotas(weights, period) if len(weights) <= period else {}
+    # ``dry``: the first slot that would need a block beyond a source's last full one.
+    if not quota or not meets(quota, weights):
+        steps, total = paths(weights), sum(weights.values())
+        dry = min(path_slot(steps[s], n // block_docs) for s, n in present.items())
+        names = sorted(steps)
+        tree = checkpointed(spark.createDataFrame(pa.table({
+            "p_source": pa.array(names, pa.string()), "w": pa.array([weights[s] / total for s in names], pa.float64()),
+            "path": pa.array([steps[s] for s in names], pa.list_(pa.int64()))})))
+        if sum(map(len, steps.values())) <= BROADCAST_STEPS:
+            tree = F.broadcast(tree)
+        out = out.join(tree, F.expr("source = p_source")).withColumn("slot", F.expr(_PATH_SLOT))
+        return out.select("row", "source", "block", F.floor(F.col("block") / F.col("w")).alias("release"),
+                          F.ceil((F.col("block") + 1) / F.col("w")).alias("deadline"), "slot", place,
+                          (F.col("slot") < dry).alias("in_target"))
+    whole, runs = sum(quota.values()), schedule(quota)
+    pattern = _literals(spark, ["p_source", "a", "p_block", "p_release", "p_deadline", "p_slot"],
+                        [(s, quota[s], *run) for s, *run in runs])
+    out = out.join(F.broadcast(pattern), F.expr("source = p_source and block % a = p_block"))
     turn = F.expr(f"(block div a) * {whole}")
-    # The first slot that would need a block beyond a source's last full one.
     slots = {(s, b): t for s, b, _, _, t in runs}
     dry = min((n // block_docs // quota[s] * whole + slots[s, n // block_docs % quota[s]] for s, n in present.items()), default=0)
     return out.select("row", "source", "block", (turn + F.col("p_release")).alias("release"),
                       (turn + F.col("p_deadline")).alias("deadline"), (turn + F.col("p_slot")).alias("slot"),
-                      F.expr(f"int(number % {block_docs})").alias("place"), (turn + F.col("p_slot") < dry).alias("in_target"))
+                      place, (turn + F.col("p_slot") < dry).alias("in_target"))
 
 
 def interleave(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",

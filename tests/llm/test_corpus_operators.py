@@ -249,6 +249,42 @@ def test_mix_keeps_all_rows_and_the_weights(spark):
         assert all(abs(done[s] - (t + 1) * q / whole) < 1 for s, q in quota.items())
 
 
+def test_mix_meets_the_weights_of_many_sources(spark):
+    """2000 sources, one at a third: the deviation from the given weights, not from rounded ones."""
+    rows = [(i, "hot") for i in range(5000)] + [(i, f"s{i % 1999}") for i in range(1999 * 4)]
+    weights = {"hot": 1000.0 - 0.5} | {f"s{i}": 1.0 + (i % 7) / 100 for i in range(1999)}
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    placed = mix_sources.mix(docs, weights, block_docs=1, carry=["doc_id"]).select("row.doc_id", "*").drop("row").cache()
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+    got = placed.collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
+    assert len({r["slot"] for r in got}) == len(got)
+    target = sorted(r["slot"] for r in got if r["in_target"])
+    assert target == list(range(len(target))) and len(target) > 9000
+    total = sum(weights.values())
+    paths = mix_sources.paths(weights)
+    for r in got:  # a source is furthest from its share just before and just after one of its blocks
+        w = weights[r["source"]] / total
+        assert abs(r["block"] - r["slot"] * w) < 1.2 and abs(r["block"] + 1 - (r["slot"] + 1) * w) < 1.2
+        assert r["slot"] == mix_sources.path_slot(paths[r["source"]], r["block"])
+
+
+def test_tree_schedule_of_uneven_weights():
+    rng = np.random.default_rng(9)
+    for weights in (rng.random(700) ** 9 + 1e-9, np.array([1.0]), np.array([1.0, 1e-7]), np.r_[1e6, np.ones(1500)], 0.6 ** np.arange(40)):
+        weights = {f"s{i}": float(w) for i, w in enumerate(weights)}
+        total, end, seen = sum(weights.values()), 20_000, []
+        for s, path in mix_sources.paths(weights).items():
+            w, block = weights[s] / total, 0
+            while (slot := mix_sources.path_slot(path, block)) < end:
+                assert abs(block - slot * w) < 1.2 and abs(block + 1 - (slot + 1) * w) < 1.2
+                seen.append(slot)
+                block += 1
+            assert end * w - block < 1.2
+        assert sorted(seen) == list(range(end))
+
+
 def test_mix_awkward_rows(awkward, empty):
     out = mix_sources.interleave(awkward, mix_sources.source_weights(awkward))
     assert out.columns == awkward.columns
