@@ -45,9 +45,16 @@ def cohort_retention(clean: DataFrame) -> DataFrame:
                     pct_rounded("users", "cohort_size", 1).alias("retention_rate")))
 
 
+def last_period(retention: DataFrame) -> int:
+    """Months between the first cohort and the last month with an order: no cell has a larger period index."""
+    month = month_index(F.lit("1970-01-01").cast("date"), F.to_date("cohort_month", "yyyy-MM"))
+    last = retention.agg((F.max(month + F.col("period_index")) - F.min(month)).alias("last")).first()["last"]
+    return last or 0
+
+
 def cohort_matrix(retention: DataFrame, max_period: int) -> DataFrame:
     """Cohorts × period index 0..max_period, cells = retention rate (null = no users).
-    The period list is given, so no job runs while the plan is built."""
+    The period list is given (``last_period``), so the pivot runs no query for it."""
     return retention.groupBy("cohort_month").pivot("period_index", list(range(max_period + 1))).agg(
         F.first("retention_rate"))
 

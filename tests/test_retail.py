@@ -99,6 +99,19 @@ def test_pareto_ends_at_100_and_retention_period0_is_100(spark):
     assert {r.retention_rate for r in ret.where("period_index = 0").collect()} == {100.0}
 
 
+def test_cohort_matrix_holds_every_period_of_the_data(spark, tmp_path, monkeypatch):
+    """A history of 103 months: the matrix and the long form read back from it lose no cell."""
+    from clientele.plans import retail_queries as rq
+    lines = tx(spark, [(str(i), "a", "x", 1, ts(f"{day} 10:00:00"), Decimal("1.00"), customer, "UK") for i, (day, customer) in enumerate(
+        [("1995-01-31", 1), ("2003-07-01", 1), ("1995-03-01", 2), ("2001-09-30", 2), ("2003-07-31", 3)])])
+    monkeypatch.setattr(rq, "clean", lambda s, d: quality.clean(lines))
+    matrix = {r["cohort_month"]: r.asDict() for r in rq.QUERIES["cohort_matrix"](spark, f"file://{tmp_path}/long").collect()}
+    assert set(matrix["1995-01"]) == {"cohort_month", *map(str, range(103))}
+    cells = {(c, int(p), v) for c, r in matrix.items() for p, v in r.items() if p != "cohort_month" and v is not None}
+    assert cells == {("1995-01", 0, 100.0), ("1995-01", 102, 100.0), ("1995-03", 0, 100.0), ("1995-03", 78, 100.0), ("2003-07", 0, 100.0)}
+    assert {tuple(r) for r in rq.QUERIES["cohort_unpivot"](spark, f"file://{tmp_path}/long").collect()} == cells
+
+
 def test_golden_month1_retention(spark):
     """Golden replay: the reference's committed month-1 retention column
     (one cohort without month 1).  Existing-cohort mean 20.5, zero-filled 18.9."""
