@@ -20,7 +20,8 @@ larger benchmark means more blocks, not a larger broadcast.
 Defined results: null and empty texts have no words and are not contaminated;
 items without a word have no window; rows of documents are keyed by id and
 text, so repeated rows repeat their result; null ids are ids like any other;
-null item ids are ignored; other columns are ignored.
+items without an id count as one item in n_items and are left out of the item
+list; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -57,7 +58,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(item, words) for every window of every item."""
     n = F.size("w")
-    return items.where(F.col(item_col).isNotNull()).select(
+    return items.select(
         F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(n > 0).select(
         "item", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))),
                                       lambda i: F.slice("w", i, F.least(n, F.lit(window))))).alias("words"))
@@ -99,21 +100,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = window_hits(rows, windows)
     found = hits.join(of_item.select("window_key", "item"), "window_key").groupBy("id", "text_key").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"),
-        F.sort_array(F.collect_set("item")).alias("items"))
+        F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("long")).alias("unnamed"))
     # Spans sorted by start: each adds what lies beyond the furthest stop so far.
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("stop")),
         lambda a, s: F.struct((a["sum"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], a["stop"]))).alias("sum"),
                               F.greatest(a["stop"], s["stop"]).alias("stop")),
         lambda a: a["sum"])
-    found = found.select(F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key"), covered.alias("n_hit"), "items")
+    found = found.select(F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key"), covered.alias("n_hit"), "items", "unnamed")
     sized = rows.select("id", "text_key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("n_words"))
     out = sized.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
     none = F.array().cast("array<string>")
     return out.select(
         F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.size("items") + F.col("unnamed"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"),
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"))

@@ -3,11 +3,13 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from clientele.llm import (common, decontaminate, fingerprint, language_id, pack_tokens, toxicity, toxicity_model)
+from clientele.llm.queries import ORACLE_SQL
 from tests.conftest import SMOKE_DIR
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -114,6 +116,21 @@ def test_decontamination_matches_brute_force(spark, awkward, monkeypatch, block)
     assert Counter(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == clean
 
 
+def test_items_without_an_id_are_decontaminated(spark):
+    """Against the query's own SQL: they hit, count as one item together and are not in the list."""
+    docs = spark.createDataFrame([(1, "here stands alpha beta gamma"), (2, "delta alone"), (3, "clean text"), (4, "alpha beta delta")],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "alpha beta"), (None, "delta"), (7, "Alpha, beta")], "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        con.register(f"{name}_rows", df.toArrow())
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM {name}_rows")
+    got = as_rows(decontaminate.contamination(docs, bench).drop("items"))
+    assert Counter(got) == Counter(con.execute(ORACLE_SQL["op2_decontaminate"]).fetchall())
+    assert {r[0]: r[2:4] for r in got} == {1: (2, 2), 2: (1, 1), 3: (0, 0), 4: (3, 2)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_decontamination_empty_tables(spark, awkward, empty):
     no_items = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in decontaminate.contamination(awkward, no_items).collect())
