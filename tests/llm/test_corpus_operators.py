@@ -1,5 +1,6 @@
 """Near duplicates, substring removal, URL rules, mixing, WARC, pipeline: awkward rows and brute force."""
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -8,10 +9,12 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from clientele.llm import (minhash_dedup, minhash_kernel, mix_sources, substring_dedup, substring_kernel, url_filter, warc)
+from clientele.llm import (language_id, minhash_dedup, minhash_kernel, mix_sources, pack_tokens, substring_dedup, substring_kernel,
+                           url_filter, warc)
 from clientele.llm.common import shared_path, shingles
 from clientele.llm.components import connected_components
 from tests.conftest import SMOKE_DIR
+from tests.llm.test_text_operators import words_of
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -374,6 +377,64 @@ def test_pipeline_stages(spark):
     assert sorted({d for r in packed.select("doc_ids").collect() for d in r[0]}) == sorted(r["doc_id"] for r in now.collect())
 
 
+def stage_input(spark):
+    """The smoke documents, their ids unique, with texts that the first stages must judge one by one."""
+    docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet")
+    passage = spark.read.parquet(f"{SMOKE_DIR}/benchmark.parquet").where("text is not null").first()["text"]
+    texts = [None, "", "123 !!! 45", "\n\t", "Si", "De.", "a", "no", "words before " + passage + " words after", "clean words " * 9]
+    made = spark.createDataFrame([(10**9 + i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    return docs.unionByName(made, allowMissingColumns=True)
+
+
+def test_language_stage_keeps_what_brute_force_keeps(spark):
+    docs = stage_input(spark)
+    model = language_id.train(docs)
+    expected = set()
+    for r in docs.collect():
+        if any(c.isalpha() for c in r["text"] or ""):
+            total, chars = language_id.score_batch(model, pa.array([r["text"]]))
+            odds = [math.exp((x - max(total[0])) / math.sqrt(max(chars[0], 1))) for x in total[0]]
+            if max(odds) / sum(odds) >= corpus_pipeline.MIN_LANGUAGE_SCORE:
+                expected.add(r["doc_id"])
+    got = [r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SMOKE_DIR).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert not expected & set(range(10**9, 10**9 + 4)) and len(expected) >= 0.9 * docs.count() - 10
+
+
+def test_decontamination_stage_keeps_what_brute_force_keeps(spark):
+    docs = stage_input(spark)
+    windows = set()
+    for r in spark.read.parquet(f"{SMOKE_DIR}/benchmark.parquet").collect():
+        w = words_of(r["text"])
+        windows |= {tuple(w[i:i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    expected, sizes = set(), {len(g) for g in windows}
+    for r in docs.collect():
+        w = words_of(r["text"])
+        if not any(tuple(w[i:i + k]) in windows for k in sizes for i in range(len(w) - k + 1)):
+            expected.add(r["doc_id"])
+    got = [r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, SMOKE_DIR).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert 10**9 + 8 not in expected and 10**9 + 9 in expected
+
+
+def test_packed_rows_decode_to_the_texts_of_the_stage_input(spark):
+    docs = stage_input(spark)
+    ranks = pack_tokens.load_ranks()
+    token = {rank: piece for piece, rank in ranks.items()}
+    pieces = {}
+    for r in corpus_pipeline.pack_token_ids(spark, docs, SMOKE_DIR).collect():
+        ids, cu = pack_tokens.matrix([r["ids"]], pack_tokens.SEQ_LEN)[0], r["cu_seqlens"]
+        for a, b, doc, piece in zip(cu, cu[1:], r["doc_ids"], r["pieces"]):
+            assert (doc, piece) not in pieces
+            pieces[doc, piece] = ids[a:b].tolist()
+    whole = defaultdict(list)
+    for (doc, _), ids in sorted(pieces.items()):
+        whole[doc] += ids
+    assert all(ids[-1] == len(ranks) for ids in whole.values())
+    assert {doc: b"".join(token[i] for i in ids[:-1]).decode() for doc, ids in whole.items()} == {
+        r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+
 def test_pipeline_stages_on_awkward_rows(spark, awkward, empty):
     for docs in (awkward, empty):
         now = docs
