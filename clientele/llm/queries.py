@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_id, minhash_dedup, mix_sources, pack_tokens, substring_dedup, toxicity, url_filter, warc
+from . import (best_fit, collocations, decontaminate, fingerprint, language_id, minhash_dedup, mix_sources, pack_tokens,
+               source_divergence, substring_dedup, toxicity, url_filter, warc)
 from .common import prepare, shared_path, table
 
 
@@ -88,6 +89,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's distance from the others of its language, and the terms that mark it off."""
+    prepare(spark)
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document, packed into sequences of 4096 tokens."""
+    prepare(spark)
+    return best_fit.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of each language."""
+    prepare(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -99,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_warc": op9_warc,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -180,4 +202,46 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN o.origin <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN o.origin <> d.page_id THEN o.origin END AS refers_to
         FROM d LEFT JOIN o ON o.n = d.n AND o.digest = d.digest""",
+    "op11_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+        g AS (SELECT d.lang, d.source, coalesce(any_value(s.n), 0)::HUGEINT AS n, coalesce(any_value(v.v), 0)::HUGEINT AS v
+              FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s USING (lang, source)
+              LEFT JOIN v ON v.lang = d.lang GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v) AS p
+              FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pair AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // y.p)
+                   FROM p x JOIN p y ON x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.lang = b.lang AND y.source = b.source), 0) AS value
+                 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+        q AS (SELECT kept.lang, term, 1 + (1000000000::HUGEINT * (kept.n + 1)) // (v.n + v.v) AS q FROM kept JOIN v ON v.lang = kept.lang),
+        term AS (SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term
+                 WHERE p.n > 0 AND p > q),
+        r AS (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' FROM term)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM r QUALIFY part = 'pair' OR rank <= 200""",
+    "op13_collocations": rf"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+        s AS (SELECT i, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+        w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM s),
+        g AS (SELECT lang, 1 AS m, unnest(w) AS g FROM w
+              UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda p: array_to_string(w[p:p + 1], ' '))) FROM w
+              UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda p: array_to_string(w[p:p + 2], ' '))) FROM w),
+        f AS (SELECT lang, m, g, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING m = 1 OR count(*) >= 10),
+        n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+        cut AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        scored AS (SELECT c.lang, c.m, c.g, c.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f * y.f) AS score
+                   FROM cut c JOIN f x ON x.lang = c.lang AND x.g = array_to_string(w[1:k], ' ')
+                   JOIN f y ON y.lang = c.lang AND y.g = array_to_string(w[k + 1:], ' ')),
+        worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        inside AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, f AS a, unnest([array_to_string(string_split(g, ' ')[1:2], ' '),
+                     array_to_string(string_split(g, ' ')[2:3], ' ')]) AS g FROM f WHERE m = 3) GROUP BY ALL),
+        kept AS (SELECT worst.* FROM worst LEFT JOIN inside USING (lang, g) WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, CAST(a AS BIGINT) AS a,
+               CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000""",
 }
