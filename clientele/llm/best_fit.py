@@ -11,9 +11,9 @@
    ``WINDOW_ROWS`` rows, so a length that a third of all pieces have is no
    single task) and every number has its place by arithmetic.
 
-Encoding goes word by word: the tokenizer never joins text across white space,
-so the ids of a text are the ids of its words in a row, and each distinct word
-of a batch is encoded once.
+Encoding goes word by word: the vocabulary's tokenizer never joins text across
+white space, so the ids of a text are the ids of its words in a row, and each
+distinct word of a batch is encoded once.
 
 Defined results: a null or empty text is the end marker alone; a null id stays
 null; rows of equal id are packed separately (equal rows are interchangeable);
@@ -21,6 +21,9 @@ texts of any length are cut, never dropped; an empty table gives no rows; other
 """
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -36,8 +39,8 @@ SEQ_LEN = 4096
 END_ID = 1
 WINDOW_ROWS = 1 << 18
 VOCABULARY = "word_bpe_49k.json"
-# Words (of at most 64 bytes) whose ids a task remembers, about 60 MB.
-CACHE_WORDS = 1 << 18
+# Words (of at most 64 bytes) whose ids a task remembers, about 100 MB.
+CACHE_WORDS = 1 << 19
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -45,29 +48,76 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+# A word of Latin letters, and marks behind it: neither is changed by the tokenizer's normaliser but for A-Z,
+# and its split pattern cuts between them.
+_PLAIN = re.compile("([A-Za-zß-öø-ÿ]+)([.,;:!?]*)")
+# The steps of a vocabulary file whose text is cut at white space for certain.
+_BY_WORD = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"]}
+
+
+def _steps(part: dict | None) -> list[str]:
+    return [x["type"] for x in ((part or {}).get("normalizers") or (part or {}).get("pretokenizers") or [])]
+
+
 class WordEncoder:
-    """Token ids of whole batches of texts, each distinct word encoded once."""
+    """Token ids of whole batches of texts, each distinct word encoded once.
+
+    Words of plain letters go to the vocabulary's merge model directly, all others through the whole tokenizer.
+    A vocabulary of another kind encodes whole texts.
+    """
 
     def __init__(self, definition: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(definition)
+        parts = json.loads(definition)
+        self.by_word = all(_steps(parts.get(name)) == steps for name, steps in _BY_WORD.items()) and not parts.get("post_processor")
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({chr(c): bytes_of.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)})
         self.cache: dict[bytes, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+
+    def _plain(self, text: str) -> bytes:
+        ids = self.plain.get(text)
+        if ids is None:
+            if text[0] in ".,;:!?":
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            else:
+                found = [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else text.translate(self.letters))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(text) <= 64 and len(self.plain) < CACHE_WORDS:
+                self.plain[text] = ids
+        return ids
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        if len(word) <= 64 and len(self.cache) < CACHE_WORDS:
+            self.cache[word] = ids
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache, new = {}, words
-        found = {}
-        for at in range(0, len(new), 1 << 14):
-            part = new[at:at + (1 << 14)]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids = np.array(coded.ids, "<u4").tobytes()
-                (self.cache if len(word) <= 64 and len(self.cache) < CACHE_WORDS else found)[word] = ids
-        return [self.cache[w] if w in self.cache else found[w] for w in words]
+        out, other = [self.cache.get(w) for w in words], []
+        for i, ids in enumerate(out):
+            if ids is not None:
+                continue
+            plain = _PLAIN.fullmatch(words[i].decode())
+            if plain:
+                letters, marks = plain.groups()
+                out[i] = self._plain(letters.lower()) + (self._plain(marks) if marks else b"")
+                self._keep(words[i], out[i])
+            else:
+                other.append(i)
+        for at in range(0, len(other), 1 << 14):
+            part = other[at:at + (1 << 14)]
+            for i, coded in zip(part, self.tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)):
+                out[i] = struct.pack(f"<{len(coded.ids)}I", *coded.ids)
+                self._keep(words[i], out[i])
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, position where each text begins, and the end)."""
+        if not self.by_word:
+            coded = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            at = np.cumsum([0, *[len(c.ids) for c in coded]])
+            return np.array([i for c in coded for i in c.ids], "<u4"), at
         words = WordCodes(texts, WORD_BYTES["space"], lower=False)
         ids = self._ids(words.words.to_pylist())
         size = np.array([len(x) // 4 for x in ids], np.int64)

@@ -240,7 +240,8 @@ def test_packed_sequences_hold_the_ids(awkward, tokenizer):
 
 def test_word_by_word_encoding_equals_the_tokenizer(spark, tokenizer):
     texts = [r["text"] for r in spark.read.parquet(f"{SMOKE_DIR}/documents.parquet").collect()] + [
-        "a<|endoftext|> b <|startoftext|>c", "it's  IT'S x y　z", " ́combining é Å", "ΑΣ ΑΣ. ΑΣ", "\x00 \x1f \x85", "12 34a٣", None, ""]
+        "a<|endoftext|> b <|startoftext|>c", "it's  IT'S x y　z", " ́combining é Å", "ΑΣ ΑΣ. ΑΣ", "\x00 \x1f \x85", "12 34a٣", None, "",
+        "Straße. straße!? ÿ, ÷ é÷ É. Ünder, naïve;: o'Brien's. (x). x).\u0301 a.\u0301 .a ª º <|ENDOFTEXT|> Dž İx ﬁ"]
     with open(best_fit.vocabulary_path(), encoding="utf-8") as f:
         encoder = best_fit.WordEncoder(f.read())
     for _ in range(2):  # the second time from the remembered words
@@ -249,6 +250,17 @@ def test_word_by_word_encoding_equals_the_tokenizer(spark, tokenizer):
             assert ids[at[i]:at[i + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_another_vocabulary_encodes_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        encoder = best_fit.WordEncoder(f.read())
+    texts, plain = ["A  word, and\n another", None, "", "é"], Tokenizer.from_file(path)
+    ids, at = encoder.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_a_length_shared_by_many_pieces_is_numbered_in_parts(spark, monkeypatch):
     monkeypatch.setattr(best_fit, "WINDOW_ROWS", 10)
     df = spark.createDataFrame([(i, "same words here") for i in range(95)] + [(i, "w " * (i % 7)) for i in range(200, 260)], "doc_id long, text string")
