@@ -6,10 +6,11 @@
    shard, so every shard is mined completely at that lowered support: tasks
    pre-aggregate the hashes of all their phrases and ship them as sorted,
    delta-coded runs to a task per (shard, hash range), which sums them.
-   A hash shared by two phrases can only add a candidate, never lose one.
-3. The union of the locally frequent hashes marks the candidates; a second
-   pass counts their occurrences by the phrases' own words, exactly and over all rows.
-   The candidate list is broadcast if it is counted to be small, else joined.
+3. The union of the locally frequent hashes is a bitmap of at most 2^30 bits
+   (128 MB), broadcast to a second pass that counts the occurrences of all
+   marked phrases by their own words, exactly and over all rows.  Shared
+   hashes and shared bits can only add a candidate, never lose one; its exact
+   count decides.  Tasks ship counted phrases as lists, one per hash range.
 4. Candidates are scored at their worst cut by joins with the counts of their
    parts, and phrases that live mostly inside a longer candidate are dropped.
 
@@ -46,9 +47,9 @@ TOP = 2000
 SHARDS = 3
 INSIDE_PERCENT = 50
 UNKNOWN = "und"
-# Entries a task or a reducer holds at once, and candidates that may be broadcast (32 MB).
+# Entries a task or a reducer holds at once; bits of the candidates' bitmap at least and at most.
 HELD = 1 << 22
-BROADCAST_CANDIDATES = 1 << 22
+MARK_BITS = (20, 30)
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
@@ -76,22 +77,22 @@ class Phrases:
             triple = mix64(w[self.triple] * _A + mix64(w[self.triple + 1] * _B + mix64(w[self.triple + 2] * _C)))
         return pair >> U64(64 - bits), triple >> U64(64 - bits)
 
-    def counted(self, in_pair: np.ndarray, in_triple: np.ndarray) -> pa.Table:
-        """(lang, phrase, size, n) of the marked occurrences, told apart by their words."""
+    def counted(self, in_pair: np.ndarray, in_triple: np.ndarray, pair_part: np.ndarray, triple_part: np.ndarray) -> pa.Table:
+        """(lang, part, phrase, n) of the marked occurrences, told apart by their words; ``part`` is their hash range."""
         k = len(self.words)
         text, tables = text_column(self.words), []
         at = self.pair[in_pair]
-        keys, n = np.unique(self.codes[at] * k + self.codes[at + 1], return_counts=True)
-        tables.append((2, [keys // k, keys % k], n))
+        keys, first, n = np.unique(self.codes[at] * k + self.codes[at + 1], return_index=True, return_counts=True)
+        tables.append((pair_part[in_pair][first], [keys // k, keys % k], n))
         at = self.triple[in_triple]
         heads, head = np.unique(self.codes[at] * k + self.codes[at + 1], return_inverse=True)
-        keys, n = np.unique(head * k + self.codes[at + 2], return_counts=True)
+        keys, first, n = np.unique(head * k + self.codes[at + 2], return_index=True, return_counts=True)
         heads = heads[keys // k] if len(keys) else heads[:0]
-        tables.append((3, [heads // k, heads % k, keys % k], n))
+        tables.append((triple_part[in_triple][first], [heads // k, heads % k, keys % k], n))
         return pa.concat_tables([pa.table({
-            "lang": pa.array([self.lang] * len(n), pa.string()),
+            "lang": pa.array([self.lang] * len(n), pa.string()), "part": pa.array(part.astype(np.int64)),
             "phrase": pc.binary_join_element_wise(*[text.take(pa.array(p)) for p in parts], " "),
-            "size": pa.array(np.full(len(n), size, np.int32)), "n": pa.array(n.astype(np.int64))}) for size, parts, n in tables])
+            "n": pa.array(n.astype(np.int64))}) for part, parts, n in tables])
 
 
 def _by_lang(batch: pa.RecordBatch):
@@ -137,16 +138,15 @@ def _runs(keys: np.ndarray, counts: np.ndarray, shard: int, bits: int, range_bit
                                       names=["shard", "part", "n", "steps", "counts"])
 
 
-def _mined(rows: DataFrame, bits: int, range_bits: int, shards: int, support: int, limit: int) -> DataFrame:
-    """(hash) of every phrase that some shard holds ``support`` times."""
-    width = -(-bits // 8)
+def _marks(rows: DataFrame, bits: int, range_bits: int, mark_bits: int, shards: int, support: int, limit: int) -> np.ndarray:
+    """Bitmap over the first ``mark_bits`` bits of the hashes of all phrases that some shard holds ``support`` times."""
+    width, slice_bits = -(-bits // 8), mark_bits - range_bits
 
     def shard_runs(batches):
         shard, held, n_held = TaskContext.get().partitionId() % shards, [], 0
 
         def summed():
-            keys, ones = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            return run_sums(keys, ones)
+            return run_sums(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
         for batch in batches:
             for lang, texts in _by_lang(batch):
                 for h in Phrases(texts, lang).hashes(bits):
@@ -162,73 +162,83 @@ def _mined(rows: DataFrame, bits: int, range_bits: int, shards: int, support: in
         if n_held:
             yield _runs(*summed(), shard, bits, range_bits, width)
 
-    def frequent(table: pa.Table) -> pa.Table:
+    def frequent(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        part = key[1].as_py()
         keys, counts = [], []
         for chunk in table.to_batches():
             for n, steps, c in zip(chunk.column("n").to_pylist(), chunk.column("steps"), chunk.column("counts")):
                 keys.append(np.cumsum(_from_planes(steps.as_buffer(), n, width), dtype=U64))
                 counts.append(_from_planes(c.as_buffer(), n, 5).astype(np.int64))
         keys, total = run_sums(np.concatenate(keys), np.concatenate(counts))
-        return pa.table({"hash": pa.array(keys[total >= support].view(np.int64))})
+        found = np.zeros(1 << slice_bits, bool)
+        found[(keys[total >= support] >> U64(bits - mark_bits)).astype(np.int64) - (part << slice_bits)] = True
+        return pa.table({"part": pa.array([part]), "marks": pa.array([np.packbits(found).tobytes()], pa.binary())})
+
+    def united(table: pa.Table) -> pa.Table:
+        slices = [np.frombuffer(m, np.uint8) for m in table.column("marks").to_pylist()]
+        return pa.table({"part": table.column("part")[:1], "marks": pa.array([np.bitwise_or.reduce(slices).tobytes()], pa.binary())})
 
     runs = rows.mapInArrow(shard_runs, "shard int, part long, n long, steps binary, counts binary")
-    return runs.groupBy("shard", "part").applyInArrow(frequent, "hash long").distinct()
-
-
-def _counted(rows: DataFrame, found: DataFrame, bits: int, broadcast_limit: int) -> DataFrame:
-    """(lang, phrase, size, n) of the candidates, before the rows of all tasks are summed."""
-    spark = rows.sparkSession
-    if found.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        listed = np.sort(np.array(found.toArrow().column("hash").to_numpy(), np.int64).view(U64))
-        low = U64((1 << 23) - 1)
-        shared = spark.sparkContext.broadcast(listed)
-
-        def run(batches):
-            marks = shared.value
-            seen = np.zeros(1 << 23, bool)  # most other phrases fail here already
-            seen[(marks & low).astype(np.int64)] = True
-
-            def listed_in(h):
-                hit = seen[(h & low).astype(np.int64)]
-                at = np.flatnonzero(hit)
-                place = np.minimum(np.searchsorted(marks, h[at]), max(len(marks) - 1, 0))
-                hit[at] = marks[place] == h[at] if len(marks) else False
-                return hit
-            held = TableSums(["lang", "phrase", "size"], ["n"])
-            for batch in batches:
-                for lang, texts in _by_lang(batch):
-                    phrases = Phrases(texts, lang)
-                    pair, triple = phrases.hashes(bits)
-                    yield from batches_of(held.add(phrases.counted(listed_in(pair), listed_in(triple))))
-            yield from batches_of(held.take())
-        return rows.mapInArrow(run, "lang string, phrase string, size int, n long")
-
-    def run_all(batches):
-        # the hash of a phrase is that of its words, worked out again where the phrase is a row
+    found = runs.groupBy("shard", "part").applyInArrow(frequent, "part long, marks binary")
+    slices = stored(found.groupBy("part").applyInArrow(united, "part long, marks binary"), "local-phrases").toArrow()
+    out = np.zeros((1 << range_bits, (1 << slice_bits) // 8), np.uint8)
+    for part, marks in zip(slices.column("part").to_pylist(), slices.column("marks").to_pylist()):
+        out[part] = np.frombuffer(marks, np.uint8)
+    return out.reshape(-1)
+
+
+def _as_lists(table: pa.Table | None):
+    """One row per (lang, part) with its phrases and their counts as lists."""
+    if table is None or not table.num_rows:
+        return
+    table = table.sort_by([("lang", "ascending"), ("part", "ascending")]).combine_chunks()
+    lang, part = table.column("lang").combine_chunks(), table.column("part").to_numpy()
+    code = lang.dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])))
+    ends = pa.array(np.append(first, len(part)).astype(np.int32))
+    yield pa.RecordBatch.from_arrays(
+        [lang.take(pa.array(first)), pa.array(part[first]),
+         *[pa.ListArray.from_arrays(ends, table.column(c).combine_chunks()) for c in ("phrase", "n")]],
+        names=["lang", "part", "phrases", "n"])
+
+
+def _counted(rows: DataFrame, marks: np.ndarray, bits: int, range_bits: int, mark_bits: int, min_count: int) -> DataFrame:
+    """(lang, phrase, size, a) of all phrases with at least ``min_count`` occurrences, counted exactly."""
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def count(batches):
+        found = shared.value
+
+        def marked(h):
+            at = (h >> U64(bits - mark_bits)).astype(np.int64)
+            return (found[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        held = TableSums(["lang", "part", "phrase"], ["n"])
         for batch in batches:
             for lang, texts in _by_lang(batch):
                 phrases = Phrases(texts, lang)
                 pair, triple = phrases.hashes(bits)
-                for h, at, size in ((pair, phrases.pair, 2), (triple, phrases.triple, 3)):
-                    k, text = len(phrases.words), text_column(phrases.words)
-                    order = np.lexsort([phrases.codes[at + i] for i in range(size)])
-                    rows_ = np.stack([phrases.codes[at[order] + i] for i in range(size)]) if len(at) else np.zeros((size, 0), np.int64)
-                    first = np.flatnonzero(np.append(True, (rows_[:, 1:] != rows_[:, :-1]).any(axis=0))) if len(at) else np.zeros(0, np.int64)
-                    n = np.diff(np.append(first, len(at)))
-                    yield from batches_of(pa.table({
-                        "hash": pa.array(h[order][first].view(np.int64)), "lang": pa.array([lang] * len(first), pa.string()),
-                        "phrase": pc.binary_join_element_wise(*[text.take(pa.array(r[first])) for r in rows_], " "),
-                        "size": pa.array(np.full(len(first), size, np.int32)), "n": pa.array(n)}))
-    every = rows.mapInArrow(run_all, "hash long, lang string, phrase string, size int, n long")
-    return every.join(found, "hash", "left_semi").drop("hash")
+                shift = U64(bits - range_bits)
+                yield from _as_lists(held.add(phrases.counted(marked(pair), marked(triple), pair >> shift, triple >> shift)))
+        yield from _as_lists(held.take())
+
+    def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        flat = pa.table({"phrase": pc.list_flatten(table.column("phrases")), "n": pc.list_flatten(table.column("n"))})
+        sums = flat.group_by("phrase").aggregate([("n", "sum")])
+        sums = sums.filter(pc.greater_equal(sums.column("n_sum"), min_count))
+        return pa.table({"lang": pa.array([key[0].as_py()] * sums.num_rows, pa.string()), "phrase": sums.column("phrase"),
+                         "size": pc.add(pc.count_substring(sums.column("phrase"), " "), 1).cast(pa.int32()), "a": sums.column("n_sum")})
+
+    lists = rows.mapInArrow(count, "lang string, part long, phrases array<string>, n array<long>")
+    return lists.groupBy("lang", "part").applyInArrow(total, "lang string, phrase string, size int, a long")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, top: int | None = TOP,
-                 shards: int = SHARDS, broadcast_limit: int = BROADCAST_CANDIDATES, held: int = HELD) -> DataFrame:
+                 shards: int = SHARDS, held: int = HELD, mark_bits: tuple[int, int] = MARK_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best ``top`` phrases (all of them if None).
 
     a, l, r: occurrences of the phrase and of both parts at its worst cut; n: words of the language.
-    ``held``: entries a task holds before it gives runs out, and about what a hash range of a shard has.
+    ``held``: entries a task holds before it gives runs out, and about what a hash range of a shard has;
+    ``mark_bits``: size of the candidates' bitmap at least and at most, as a power of two.
     """
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
@@ -236,9 +246,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     total = words.agg(F.sum("n")).first()[0] or 0
     bits = min(56, max(32, total.bit_length() + 12))
     range_bits = max(0, (2 * total // (shards * held)).bit_length())
-    found = stored(_mined(rows, bits, range_bits, shards, -(-min_count // shards), held), "local-phrases")
-    grams = stored(_counted(rows, found, bits, broadcast_limit).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).where(
-        F.col("a") >= min_count), "phrases")
+    least, most = mark_bits
+    own_bits = max(range_bits + 3, min(most, max(least, total.bit_length() - 1)))
+    marks = _marks(rows, bits, range_bits, own_bits, shards, -(-min_count // shards), held)
+    grams = stored(_counted(rows, marks, bits, range_bits, own_bits, min_count), "phrases")
 
     parts = grams.select("lang", "phrase", "a").union(words.select("lang", "word", "n"))
     word = F.split("phrase", " ")

@@ -114,9 +114,9 @@ def phrase_rows(spark):
 def test_collocations_match_brute_force(phrase_rows, awkward, empty):
     want = brute_collocations(phrase_rows.collect())
     assert want and as_set(collocations.collocations(phrase_rows)) == want
-    # one and many shards, candidates joined instead of broadcast, a cut inside ties
+    # one and many shards, a bitmap far too small, a cut inside ties
     assert as_set(collocations.collocations(phrase_rows, shards=1)) == want
-    assert as_set(collocations.collocations(phrase_rows, shards=20, broadcast_limit=0)) == want
+    assert as_set(collocations.collocations(phrase_rows, shards=20, mark_bits=(3, 4))) == want
     assert as_set(collocations.collocations(phrase_rows, top=7)) == brute_collocations(phrase_rows.collect(), top=7)
     assert as_set(collocations.collocations(phrase_rows, top=None, min_count=4)) == brute_collocations(phrase_rows.collect(), 4, 10**9)
     assert as_set(collocations.collocations(awkward)) == brute_collocations(awkward.collect())
