@@ -12,33 +12,39 @@
    documents in shared buckets gives their full sets and a wide sketch; edges
    that sizes or the sketch do not rule out are confirmed on the full sets.
 4. Stars alone would lose a link between two documents that both differ from
-   the bucket's centre.  So the members that point 3 did not tie to the
-   bucket's centre are compared, as a query set in blocks, with the bucket's
-   other members: by sketch inside the task, which returns only pairs worth
-   confirming.
-5. Components by large-star/small-star rounds.
+   the bucket's centre.  So the members outside the component of the bucket's
+   centre (components of the confirmed star links) are compared, as a query
+   set in blocks of bounded bytes, with the bucket's other members: by sketch,
+   then on the full sets, inside the task, which gives out one row
+   for each component it joined to a smaller one and nothing else.
+5. Components by large-star/small-star rounds: of the star links, then of
+   their components.
 
 Skew: a hot set digest meets a partial aggregate; a hot bucket only gives star
-edges and fixed-size blocks; hot centres are split by the adaptive skew join.
+edges and blocks of bounded bytes; hot centres are split by the adaptive skew join.
 
 Defined results: null and empty texts have no shingles and are linked with
-nothing; a text of fewer than five words is one shingle; rows of equal id
-count as one document; a row without id never represents a group and is
-``kept`` if its text is no copy of another row's; other columns are ignored.
+nothing; a text of fewer than five words is one shingle; very long texts are
+compared on their whole sets; rows that repeat id and text count as one
+document, rows that repeat an id with another text are documents of their own
+(under that id); a row without id never represents a group and is ``kept`` if
+its text is no copy of another row's; an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import global_rank
 from .common import TextBatch, checkpointed, pick, shingles, stored, utf8_buffers
 from .components import connected_components
 from .minhash_kernel import (SKETCH_BINS, band_keys, may_reach, set_digest, signature, sketch)
 
 SHINGLE = 5
-QUERY_BLOCK, DATA_BLOCK = 512, 4096
+# Bytes of sets in a block of queries and in a block they are compared with.
+QUERY_BYTES, DATA_BYTES = 2 << 20, 16 << 20
 
 
 def _shingle_sets(texts: pa.Array):
@@ -81,6 +87,12 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, sketch binary, shingles binary")
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * |A and B| >= percent * |A or B| for two sorted sets."""
+    both_n = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both_n >= percent * (len(a) + len(b) - both_n)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return utf8_buffers(column)[0].reshape(-1, SKETCH_BINS)
 
@@ -106,66 +118,57 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("us"), batch.column("vs")):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both_n = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both_n >= percent * (len(a) + len(b) - both_n))
+            ok = [_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent)
+                  for a, b in zip(batch.column("us"), batch.column("vs"))]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
     return both.select("u", "v", "us", "vs").mapInArrow(run, "u long, v long")
 
 
-def _residual_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs between different components of one bucket, its centre's star left aside."""
+def _residual_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components of the star links: in each block a star to the smallest component joined.
+
+    The members of a bucket outside its centre's component are the queries, all its members but the centre the data,
+    both in blocks of bounded bytes.  Every pair of different components is screened by sketch and confirmed on the
+    full sets inside the task; a confirmed pair joins its components there, so that a block of m rows gives at most
+    m - 1 links.
+    """
     tagged = members.join(labels.toDF("rep", "label"), "rep", "left").select(
         "key", "hub", "rep", F.coalesce("label", "rep").alias("label"))
     hub_label = tagged.where("rep = hub").select("key", F.col("label").alias("hub_label"))
-    marked = tagged.join(hub_label, "key").withColumn("query", F.expr("label <> hub_label"))
+    marked = tagged.join(hub_label, "key").withColumn("query", F.expr("label <> hub_label")).where("rep <> hub").join(
+        sets.select(F.col("id").alias("rep"), (F.col("n") * 8 + SKETCH_BINS).alias("bytes")), "rep")
     blocks = marked.groupBy("key").agg(
-        F.count("*").alias("size"), F.sum(F.col("query").cast("long")).alias("queries")).where(
-        "queries > 0 and size > 2").select(
-        "key", F.expr(f"int(ceil(queries / {QUERY_BLOCK}))").alias("nq"), F.expr(f"int(ceil(size / {DATA_BLOCK}))").alias("nd"))
-    rows = marked.where("rep <> hub").join(blocks, "key").join(sets.select(F.col("id").alias("rep"), "n", "sketch"), "rep")
+        F.count("*").alias("size"), F.sum("bytes").alias("bytes"), F.sum(F.expr("if(query, bytes, 0)")).alias("asked")).where(
+        "asked > 0 and size > 1").select(
+        "key", F.expr(f"int(ceil(asked / {QUERY_BYTES}))").alias("nq"), F.expr(f"int(ceil(bytes / {DATA_BYTES}))").alias("nd"))
+    rows = marked.join(blocks, "key").join(sets.select(F.col("id").alias("rep"), "n", "sketch", "shingles"), "rep")
     own_q, own_d = F.expr("pmod(hash(rep, 1), nq)"), F.expr("pmod(hash(rep, 2), nd)")
-    side = [F.col(c) for c in ("rep", "label", "n", "sketch")]
+    side = [F.col(c) for c in ("label", "n", "sketch", "shingles")]
     as_query = rows.where("query").select("key", own_q.alias("qb"), F.explode(F.sequence(F.lit(0), F.expr("nd - 1"))).alias("db"), F.lit(True).alias("query"), *side)
     as_data = rows.select("key", F.explode(F.sequence(F.lit(0), F.expr("nq - 1"))).alias("qb"), own_d.alias("db"), F.lit(False).alias("query"), *side)
 
     def compare(group: pa.Table) -> pa.Table:
         mask = group.column("query").to_numpy(zero_copy_only=False)
-        rep, label, n = (group.column(c).to_numpy() for c in ("rep", "label", "n"))
+        label, n = (group.column(c).to_numpy() for c in ("label", "n"))
         wide = _matrix(group.column("sketch"))
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        root = label.copy()
         data = np.flatnonzero(~mask)
-        u, v = [], []
         for q in np.flatnonzero(mask):
-            others = data[label[data] != label[q]]
-            hit = others[may_reach(wide[q], n[q], wide[others], n[others], threshold)]
-            u.append(np.maximum(rep[hit], rep[q]))
-            v.append(np.minimum(rep[hit], rep[q]))
-        none = [np.zeros(0, np.int64)]
-        pairs = np.unique(np.stack([np.concatenate(u or none), np.concatenate(v or none)]), axis=1)
-        return pa.table({"u": pa.array(pairs[0]), "v": pa.array(pairs[1])})
+            others = data[root[data] != root[q]]
+            for h in others[may_reach(wide[q], n[q], wide[others], n[others], percent / 100)]:
+                if root[h] != root[q] and _linked(full[q], full[h], percent):
+                    a, b = sorted((root[h], root[q]))
+                    root[root == b] = a
+        moved = root != label
+        u, first = np.unique(label[moved], return_index=True)
+        return pa.table({"u": pa.array(u), "v": pa.array(root[moved][first])})
 
     return as_query.union(as_data).groupBy("key", "qb", "db").applyInArrow(compare, "u long, v long").distinct()
 
 
-def _nearby_label(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node within two links, a cheap lower bound of the components.
-
-    Equal labels prove one component; it only saves comparisons that not all components are told apart.
-    """
-    both = links.union(links.select("v", "u"))
-    near = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).toDF("v", "label")
-    return checkpointed(both.join(near, "v").groupBy("u").agg(F.min("label").alias("label")).toDF("node", "label"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    Two documents are linked if 100 * |A and B| >= percent * |A or B| on their 5-word shingle sets;
-    a component is represented by its smallest id.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _components(rows: DataFrame, percent: int) -> DataFrame:
+    """(id, n, component) for ``rows`` (id, text) whose ids differ unless the texts are equal, too."""
     profile = stored(_profiles(rows), "profiles")
     classes = profile.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -174,31 +177,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = checkpointed(banded.join(hubs, "key").select("key", "hub", "rep"))
     sets = stored(_full_sets(pick(rows, members.select("rep"), "id", "left_semi").dropDuplicates(["id"])), "shingle-sets")
-    threshold = percent / 100
     star = members.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    links = checkpointed(_confirmed(_plausible(star, sets, threshold), sets, percent))
-    more = _confirmed(_residual_pairs(members, _nearby_label(links), sets, threshold), sets, percent)
-    labels = connected_components(links.union(more))
+    links = _confirmed(_plausible(star, sets, percent / 100), sets, percent)
+    stars = checkpointed(connected_components(links).toDF("node", "label"))
+    more = connected_components(_residual_links(members, stars, sets, percent)).toDF("label", "component")
+    labels = stars.join(more, "label", "full").select(
+        F.coalesce("node", "label").alias("node"), F.coalesce("component", "label").alias("component")).union(
+        more.toDF("node", "component")).distinct()
     # From sets back to documents: only sets with copies need the class, only linked nodes the component.
     shared = classes.where("copies > 1").select("digest", "rep")
     node = profile.select("id", "n", "digest").join(shared, "digest", "left").select(
         "id", "n", F.coalesce("rep", "id").alias("node"))
-    out = node.join(labels.toDF("node", "component"), "node", "left")
-    component = F.coalesce("component", "node")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+    return node.join(labels, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows (id, text), None) if no id has several rows; else rows keyed by a number per (id, text) in the order of
+    the ids, and (number, own_id) of those."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    repeated = rows.where("id is not null").groupBy("id").count().where("count > 1")
+    if not repeated.limit(1).count():
+        return rows, None
+    texts = rows.where("id is not null").select(F.col("id").alias("own_id"), _text_key(F.col("text")).alias("text_key")).distinct()
+    numbers = checkpointed(global_rank(texts, ["own_id", "text_key"], rank_col="number"))
+    keyed = rows.withColumn("text_key", _text_key(F.col("text"))).join(
+        numbers.withColumnRenamed("text_key", "key"), F.expr("id = own_id and text_key = key"), "left")
+    return keyed.select(F.col("number").alias("id"), "text"), numbers.select("number", "own_id", "text_key")
+
+
+def _text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("")), 256)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Two documents are linked if 100 * |A and B| >= percent * |A or B| on their 5-word shingle sets;
+    a component is represented by its smallest id.
+    """
+    rows, numbers = _keyed(docs, id_col, text_col)
+    out = _components(rows, percent)
+    if numbers is not None:
+        names = numbers.select("number", "own_id")
+        out = out.join(names.toDF("component", "component_id"), "component", "left").join(
+            names.toDF("id", "own_id"), "id", "left").select(F.col("own_id").alias("id"), "n", F.col("component_id").alias("component"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+                      F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document represents its component, with all their columns.
 
-    Of rows that repeat an id one stays; rows without an id stay unless their text copies another row's.
+    Of rows that repeat both id and text one stays; rows without an id stay unless their text copies another row's.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col)
-    out = pick(docs, dropped, id_col, "left_anti")
-    repeated = checkpointed(docs.groupBy(id_col).count().where(f"`{id_col}` is not null and count > 1").select(id_col))
-    if repeated.limit(1).count():
-        once = pick(out, repeated, id_col, "left_semi").dropDuplicates([id_col])
-        out = pick(out, repeated, id_col, "left_anti").unionByName(once)
-    return out
+    rows, numbers = _keyed(docs, id_col, text_col)
+    found = _components(rows, 75)
+    dropped = found.where("id is not null and not id <=> component").select("id")
+    if numbers is None:
+        return pick(docs, dropped, id_col, "left_anti")
+    named = docs.withColumn("_text_key", _text_key(F.col(text_col).cast("string")))
+    numbered = named.join(numbers.toDF("_number", "_own_id", "_key"),
+                          (F.col(id_col).cast("long") == F.col("_own_id")) & (F.col("_text_key") == F.col("_key")), "left").drop("_own_id", "_key", "_text_key")
+    kept = stored(pick(numbered, dropped, "_number", "left_anti"), "kept-rows")
+    return kept.where("_number is null").unionByName(kept.where("_number is not null").dropDuplicates(["_number"])).drop("_number")

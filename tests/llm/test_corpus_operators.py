@@ -1,12 +1,14 @@
 """Near duplicates, substring removal, URL rules, mixing, WARC, pipeline: awkward rows and brute force."""
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clientele.llm import (language_id, minhash_dedup, minhash_kernel, mix_sources, pack_tokens, substring_dedup, substring_kernel,
@@ -65,11 +67,11 @@ def test_near_duplicates_match_brute_force(awkward, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("blocks", [(512, 4096), (3, 5)])
+@pytest.mark.parametrize("blocks", [(1 << 21, 1 << 24), (6000, 9000)])
 def test_links_between_members_far_from_the_centre(spark, monkeypatch, blocks):
     """A chain of ever more edited copies: neighbours are linked, distant ones are not, centres see few of them."""
-    monkeypatch.setattr(minhash_dedup, "QUERY_BLOCK", blocks[0])
-    monkeypatch.setattr(minhash_dedup, "DATA_BLOCK", blocks[1])
+    monkeypatch.setattr(minhash_dedup, "QUERY_BYTES", blocks[0])
+    monkeypatch.setattr(minhash_dedup, "DATA_BYTES", blocks[1])
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(200)]
     docs = []
@@ -84,6 +86,40 @@ def test_links_between_members_far_from_the_centre(spark, monkeypatch, blocks):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(df).collect()} == expected
 
 
+def test_residual_links_grow_with_the_members(spark):
+    """Copies of one base with five words changed each: linked to few centres, yet at most one link per row and block."""
+    counts = {}
+    for n in (50, 200):
+        rng = np.random.default_rng(4)
+        docs = []
+        for i in range(n):
+            words = [f"w{k}" for k in range(400)]
+            for j in rng.integers(0, 400, 5):
+                words[j] = f"n{i}x{j}"
+            docs.append((i, " ".join(words)))
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(df).collect()} == brute_components(docs)
+        rows = df.withColumnRenamed("doc_id", "id")
+        profile = minhash_dedup._profiles(rows).cache()
+        members = profile.selectExpr("id as rep", "explode(bands) as key")
+        members = members.join(members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1"), "key").select("key", "hub", "rep")
+        none = spark.createDataFrame([], "node long, label long")
+        counts[n] = minhash_dedup._residual_links(members, none, minhash_dedup._full_sets(rows).cache(), 75).count()
+        assert 0 < counts[n] <= members.count() - members.select("key").distinct().count() <= 40 * n
+
+
+def test_repeated_ids_with_other_texts_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    near = text[1].rsplit(" ", 1)[0] + " end"
+    rows = [(7, text[0]), (7, text[1]), (7, text[2]), (7, text[2]), (3, text[0]), (9, near), (4, text[3]), (None, text[4]), (None, None), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = Counter((r["doc_id"], r["component_id"], r["n_shingles"]) for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == Counter([(7, 3, 56), (7, 7, 56), (7, 7, 56), (7, 7, 56), (3, 3, 56), (9, 7, 56), (4, 4, 56), (None, None, 56), (None, None, 0), (5, 5, 0), (5, 5, 0)])
+    kept = Counter(map(tuple, minhash_dedup.drop_near_duplicates(df).collect()))
+    assert kept == Counter([(7, text[1]), (7, text[2]), (3, text[0]), (4, text[3]), (None, text[4]), (None, None), (5, None), (5, "")])
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     for n, share in ((3, 1), (8, 0.5), (400, 0.8)):
