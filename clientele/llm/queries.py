@@ -86,7 +86,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document once all 400-byte strings that repeat are removed."""
     prepare(spark)
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    # The remaining bytes as text; a character that the edge of a removed run cuts shows as a replacement mark.
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumn(
+        "kept_text", F.expr("make_valid_utf8(cast(kept as string))")).drop("kept")
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
