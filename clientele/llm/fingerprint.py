@@ -14,7 +14,8 @@ share both places with odds 1 / TABLE**2.
 
 Defined results: null and empty texts, and texts without a word, have the
 empty fingerprint (all 0), which agrees with nothing but itself; equal texts
-have equal fingerprints.
+have equal fingerprints; very long texts count whole; an empty table gives no
+rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -86,6 +87,16 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     return np.array(rows, np.int32).reshape(-1, SAMPLES)
 
 
+def as_text(prints: np.ndarray) -> pa.Array:
+    """Each fingerprint as 8 hexadecimal digits per sample."""
+    return pa.array([row.tobytes().hex() for row in prints.astype(">i4")], pa.string())
+
+
+def from_text(texts: list[str]) -> np.ndarray:
+    """The samples of fingerprints written by ``as_text``."""
+    return np.array([np.frombuffer(bytes.fromhex(t), ">i4") for t in texts], np.int32).reshape(-1, SAMPLES)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of agreeing samples, row by row."""
     return (a == b).mean(axis=-1)
@@ -96,9 +107,9 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         for batch in batches:
             prints = fingerprints(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.tolist(), pa.list_(pa.int32()))], names=["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), as_text(prints)], names=["id", "fingerprint"])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +190,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             raise ValueError("a range without a closing row")
 
     return ordered.select("cut", "borrowed", "id", "text").mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint array<int>, edited_fingerprint array<int>, "
+        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
              "near_edited double, near_next double").withColumnRenamed("doc_id", id_col)
 
 
@@ -196,6 +207,6 @@ def _finished(ids: list, texts: list, prints: np.ndarray, done: list[int]) -> pa
     return pa.RecordBatch.from_arrays(
         [pa.array([ids[i] for i in done], pa.int64()), pa.array([len(texts[i]) for i in done], pa.int64()),
          pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-         pa.array(own.tolist(), pa.list_(pa.int32())), pa.array(after.tolist(), pa.list_(pa.int32())),
+         as_text(own), as_text(after),
          pa.array(likeness(own, after)), pa.array(likeness(own, following))],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
