@@ -21,8 +21,10 @@ Defined results: a null payload is empty; pages that repeat an id, or have
 none, are records of their own; control characters in a URL are
 percent-encoded and a null URL is empty; an empty table gives an empty
 archive; a record with missing segments, a wrong length, a broken chunk or a
-wrong digest is returned with ``valid`` false and a null payload; other
-columns are ignored.
+wrong digest is returned with ``valid`` false and a null payload; an archive
+that is cut short or whose framing is broken gives the records before the
+break and one row of type ``broken`` with the reason; very long payloads are
+cut into segments and joined again; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -120,7 +122,10 @@ def parse(content: bytes):
         lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         start = end + 4
-        stop = start + int(headers["content-length"])
+        length = headers.get("content-length", "")
+        if not length.isdecimal():
+            raise ValueError(f"record at byte {at} names no length")
+        stop = start + int(length)
         if content[stop:stop + 4] != b"\r\n\r\n":
             raise ValueError(f"record at byte {at} does not end where its length says")
         yield headers, content[start:stop]
@@ -154,17 +159,29 @@ def payload_of(block: bytes) -> bytes | None:
 
 _FIELDS = {"record_id": "warc-record-id", "type": "warc-type", "uri": "warc-target-uri", "page_id": "x-page-id",
            "digest": "warc-payload-digest", "length": "x-payload-length", "refers_to": "warc-refers-to",
-           "number": "warc-segment-number", "origin": "warc-segment-origin-id", "total": "warc-segment-total-length"}
+           "reason": "x-reason", "number": "warc-segment-number", "origin": "warc-segment-origin-id", "total": "warc-segment-total-length"}
 _BATCH_BYTES = 4 << 20
+BROKEN = "broken"
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives below ``path``: the header fields as strings and the block."""
+    """All records of the archives below ``path``: the header fields as strings and the block.
+
+    An archive with broken framing gives its records up to there, then one of type ``broken`` that names the reason;
+    the next archive goes on as usual.
+    """
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for headers, block in parse(content.as_buffer().to_pybytes()):
+                found = parse(content.as_buffer().to_pybytes())
+                while True:
+                    try:
+                        headers, block = next(found)
+                    except StopIteration:
+                        break
+                    except ValueError as error:
+                        headers, block = {"warc-type": BROKEN, "x-reason": str(error)}, b""
                     rows.append((*[headers.get(f) for f in _FIELDS.values()], block))
                     held += len(block)
                     if held >= _BATCH_BYTES:
@@ -184,17 +201,18 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record_type, uri, page_id, refers_to, payload, payload_bytes, payload_digest, valid) per response or revisit.
+    """(record_id, record_type, uri, page_id, refers_to, payload, payload_bytes, payload_digest, valid, reason) per
+    response, revisit or archive that breaks off.
 
     ``payload`` is null for revisits; their length and digest are those their header gives.
     """
     found = records(spark, path)
-    kept = ["record_id", "type", "uri", "page_id", "digest", "length", "refers_to"]
+    kept = ["record_id", "type", "uri", "page_id", "digest", "length", "refers_to", "reason"]
     alone = found.where("number is null").select(*kept, "block", F.lit(True).alias("whole"))
     segments = found.where("number is not null").groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
         *[F.max(F.when(F.col("origin").isNull(), F.col(c))).alias(c) for c in kept[1:]],
-        F.max(F.col("total").cast("long")).alias("total"),
-        F.sort_array(F.collect_list(F.struct(F.col("number").cast("int").alias("number"), "block"))).alias("parts"))
+        F.max(F.col("total").try_cast("long")).alias("total"),
+        F.sort_array(F.collect_list(F.struct(F.col("number").try_cast("int").alias("number"), "block"))).alias("parts"))
     complete = ((F.transform("parts", lambda p: p["number"]) == F.sequence(F.lit(1), F.size("parts")))
                 & (F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["block"])) == F.col("total"))
                 & F.col("type").isNotNull())
@@ -209,17 +227,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 payload = payload_of(block) if whole and kind == "response" else None
                 own = hashlib.sha1(payload).hexdigest() if payload is not None else None
                 ok = whole if kind == "revisit" else own is not None and own == declared
+                length = length if (length or "").isdecimal() else None
                 payloads.append(payload if ok else None)
                 sizes.append(len(payload) if ok and payload is not None else int(length) if ok and length else None)
                 digests.append(declared if ok else None)
                 valid.append(ok)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("record_id", "type", "uri", "page_id", "refers_to")], pa.array(payloads, pa.binary()),
-                 pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(valid, pa.bool_())],
-                names=["record_id", "record_type", "uri", "page_id", "refers_to", "payload", "payload_bytes", "payload_digest", "valid"])
+                 pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(valid, pa.bool_()), batch.column("reason")],
+                names=["record_id", "record_type", "uri", "page_id", "refers_to", "payload", "payload_bytes", "payload_digest", "valid", "reason"])
 
-    out = alone.union(joined).where("type in ('response', 'revisit')").mapInArrow(
+    out = alone.union(joined).where(F.col("type").isin("response", "revisit", BROKEN)).mapInArrow(
         decode, "record_id string, record_type string, uri string, page_id string, refers_to string, payload binary, "
-                "payload_bytes long, payload_digest string, valid boolean")
-    return out.withColumn("page_id", F.col("page_id").cast("long")).withColumn(
+                "payload_bytes long, payload_digest string, valid boolean, reason string")
+    return out.withColumn("page_id", F.col("page_id").try_cast("long")).withColumn(
         "refers_to", F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1).try_cast("long"))

@@ -391,6 +391,30 @@ def test_damaged_archives_are_reported(spark):
     assert warc.dechunk(b"3\r\nabc\r\n0\r\n\r\n") == b"abc" and warc.dechunk(b"4\r\nabc\r\n0\r\n\r\n") is None and warc.dechunk(b"zz") is None
 
 
+def test_cut_archives_keep_the_records_before_the_break(spark, empty):
+    import os
+    path = shared_path(spark, "warc-cut").replace("file:", "")
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(6)], "page_id long, url string, html string")
+    warc.write(pages.coalesce(1), f"file://{path}")
+    name = next(f for f in os.listdir(path) if f.startswith("part-"))
+    with open(f"{path}/{name}", "rb") as f:
+        whole = f.read()
+    folder = shared_path(spark, "warc-cuts").replace("file:", "")
+    os.makedirs(folder)
+    number = whole.replace(b"X-Payload-Length: ", b"X-Payload-Length: x")
+    for k, content in enumerate([whole[:-500], whole, b"no archive", whole.replace(b"Content-Length", b"Content-Size", 1), number]):
+        with open(f"{folder}/{k}.warc", "wb") as f:
+            f.write(content)
+    got = warc.read(spark, f"file://{folder}").collect()
+    broken = [r for r in got if r["record_type"] == warc.BROKEN]
+    assert len(broken) == 3 and all(not r["valid"] and r["payload"] is None and r["reason"] for r in broken)
+    kept = Counter(r["page_id"] for r in got if r["valid"])
+    assert kept[0] == 3 and kept[5] == 2 and 0 < sum(kept.values()) - 12 < 6
+    nothing = shared_path(spark, "warc-none")
+    warc.write(empty.selectExpr("doc_id as page_id", "text as url", "text as html"), nothing)
+    assert warc.read(spark, nothing).count() == 0
+
+
 # -- pipeline ----------------------------------------------------------------
 
 def test_pipeline_stages(spark):
