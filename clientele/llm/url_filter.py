@@ -156,9 +156,11 @@ def _key_hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("second")).alias("h2")]
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Keys a rule for this URL could have, longest first (ties: the longer host)."""
-    labels = F.split(host, r"\.")
+def candidate_keys(host: Column, path: Column, path_lengths: list[int], most_labels: int) -> Column:
+    """Keys a rule for this URL could have, longest first (ties: the longer host).
+
+    No rule's host has more than ``most_labels`` labels, so longer suffixes of the host cannot match."""
+    labels = F.split(F.substring_index(host, ".", -max(most_labels, 1)), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     lengths = F.filter(F.array(*[F.lit(n) for n in path_lengths]).cast("array<int>"), lambda n: n <= F.length(path))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(lengths, lambda n: F.struct(
@@ -175,12 +177,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     spark = pages.sparkSession
     keys = checkpointed(rules.where("host is not null and host <> ''").select(
         F.concat(lower_ascii(F.col("host")), F.coalesce("path", F.lit(""))).alias("key"),
-        F.length(F.coalesce("path", F.lit(""))).alias("path_length"),
+        F.length(F.coalesce("path", F.lit(""))).alias("path_length"), F.size(F.split("host", r"\.")).alias("labels"),
         F.when(F.col("action") == "block", BLOCK).otherwise(ALLOW).alias("code")))
     # Distinct lengths of path prefixes: bounded by the length of a URL.
     lengths = sorted(r[0] for r in keys.select("path_length").distinct().collect())
+    most_labels = keys.agg(F.max("labels")).first()[0] or 0
     parsed = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    named = parsed.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    named = parsed.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths, most_labels))
     asked = named.select(F.explode("keys").alias("key")).select(*_key_hashes(F.col("key")), F.lit(0).alias("code"))
     universe = checkpointed(asked.union(keys.select(*_key_hashes(F.col("key")), "code")).groupBy("h1", "h2").agg(
         F.max("code").alias("code")))

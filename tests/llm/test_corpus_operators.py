@@ -236,6 +236,15 @@ def test_url_rules_match_brute_force(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_urls_of_many_labels(spark):
+    deep = ".".join(["a"] * 20_000)
+    urls = [f"http://{deep}.net/x", f"http://{deep}.example.net/en/", f"http://{deep}/", "http://" + "." * 5000 + "net/", "http://x/" + "y" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {i: brute_verdict(u)[2:] for i, u in enumerate(urls)}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(-1 << 62, 1 << 62, (6000, 2)), axis=0)
