@@ -1,33 +1,23 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
-The documents of a source, in the order of a hash of their id, form blocks of
-``block_docs``.  Block ``j`` (from 0) of a source of weight ``w`` is released
-at slot ``floor(j / w)`` and due by slot ``ceil((j + 1) / w)``; in every slot
-the released block of the earliest deadline runs (ties: the later next
-release, then the source's name).  So after any number of slots each source
-is less than one block away from its share.
-
-Where multiples of ``1 / period`` meet every weight to ``TOLERANCE`` (largest
-remainder, few sources of like size), the schedule repeats after ``period``
-slots.  That one period is worked out from the weights alone and joined back
-as a table of ``period`` rows.  All rows of the corpus then get their slot by
-arithmetic: block ``j`` of a source with ``a`` blocks a period runs in slot
-``(j div a) * period + slot(j mod a)``.
-
-Any other weights (many sources, or a very small one) go through a Huffman
-tree of the sources, which needs no period.  Of the first ``k`` slots of a
-node, ``round(k * p)`` are its first child's (share ``p``) and the rest the
-other's, so the slot of a child's block is known in closed form, and the slot
-of a source's block by one step of integer arithmetic per node above it.  A
-node adds half a block at most, times the source's share of the node below
-it; these shares fall off like Fibonacci numbers on the way up, so after any
-number of slots each source is less than 1.2 blocks away from its share, for
-any number of sources.  ``release`` and ``deadline`` are the bounds above, of
-the source's own weight; a slot may lie that fifth of a block outside them.
-
-No row is dropped or repeated.  The weights hold up to the slot in which the
-first source runs dry (``in_target``); later slots of dry sources stay unused
-and the other sources go on in the same proportions.
+The documents of a source, in the order of a hash of their id, form blocks.
+Block ``j`` (from 0) of a source of share ``w`` (its given weight over the sum
+of all) is released at slot ``floor(j / w)`` and due by slot
+``ceil((j + 1) / w)``; in every slot the released block of the earliest
+deadline runs (ties: the source's name).  Each block then runs inside its
+window, so after any number of slots each source is less than one block away
+from its share.  Weights are taken as they are given: releases and deadlines
+are worked out in whole numbers, without rounding, for any number of sources.
+
+A block holds ``block_docs`` documents, or as many more as keep the whole
+table at about ``MAX_BLOCKS`` blocks.  The schedule of these blocks, at most
+``MAX_BLOCKS`` plus one per source whatever the size of the table, is worked
+out from the sources' weights and sizes alone, written to the shared folder
+and joined back.
+
+No row is dropped or repeated.  The weights hold up to the slot in which a
+source could first lack a full block (``in_target``); a source that has run
+dry leaves its slots unused and the others go on in the same proportions.
 
 Skew: documents are numbered inside (source, hash range), so a source with a
 third of all rows is spread over as many tasks as it has ranges; only the
@@ -37,126 +27,79 @@ Defined results: a null source is a source of its own (named ''); sources
 without a given weight get the smallest weight; a weight for a source that
 has no documents is left out; an empty table gives an empty result; repeated
 rows keep their number, their order among themselves is open; null ids hash
-like any other value; extra columns travel along untouched.
+like any other value; texts are not looked at; extra columns travel along untouched.
 """
 from __future__ import annotations
 
 import heapq
+import json
+import math
+from fractions import Fraction
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shared_path
 
 BLOCK_DOCS = 16
-PERIOD = 1000
-# Relative error of a source's weight up to which the schedule of one period is used.
-TOLERANCE = 0.02
-# Shares in the tree are multiples of 1 / ONE of their node; 2 * ONE * ONE fits a long.
-ONE = 1 << 30
-# Steps (8 bytes each) of all sources' paths together up to which they are broadcast.
-BROADCAST_STEPS = 1 << 21
+# Blocks of the whole table, but for one more per source.
+MAX_BLOCKS = 1 << 17
 # Hash ranges each source is cut into (a power of 2 up to 4096); an order-preserving cut, so results do not depend on it.
 RANGES = 1 << 10
-# Rows (sources x ranges, some 40 bytes each) up to which the ranges' counts are broadcast.
+# Rows (sources x ranges, or blocks, some 40 bytes each) up to which a table is broadcast.
 BROADCAST_ROWS = 1 << 20
 
 
-def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Blocks per period, at least one each, adding up to the period (or the number of sources if larger)."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * period if total > 0 else period / len(weights) for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    by_remainder = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    while (left := period - sum(out.values())) > 0:
-        for s in by_remainder[:left]:
-            out[s] += 1
-    while sum(out.values()) > period:
-        s = max(out, key=lambda s: (out[s] - exact[s], out[s], s) if out[s] > 1 else (float("-inf"), 0, s))
-        out[s] -= 1
+def whole_weights(weights: list[float]) -> list[int]:
+    """The same proportions in whole numbers, exactly."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*[w.denominator for w in exact]) if exact else 1
+    return [int(w * scale) for w in exact]
+
+
+def schedule(weights: list[int], blocks: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of all blocks, by slot: earliest deadline first."""
+    total, out, slot = sum(weights), [], 0
+    waiting = [(0, s) for s, n in enumerate(blocks) if n]  # release of each source's next block
+    following, ready = [0] * len(weights), []
+    heapq.heapify(waiting)
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(following[s] + 1) * total // weights[s]), s, release))
+        deadline, s, release = heapq.heappop(ready)
+        out.append((s, following[s], release, deadline, slot))
+        following[s] += 1
+        if following[s] < blocks[s]:
+            heapq.heappush(waiting, (following[s] * total // weights[s], s))
+        slot += 1
     return out
 
 
-def schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) for one period of earliest-deadline-first."""
-    period = sum(quota.values())
-    waiting: dict[int, list] = {}
-
-    def release(source: str, block: int) -> None:
-        at, due = (block * period) // quota[source], -((-(block + 1) * period) // quota[source])
-        following = ((block + 1) * period) // quota[source]
-        waiting.setdefault(at, []).append((due, -following, source, block, at))
-
-    for source, n in quota.items():
-        for block in range(n):
-            release(source, block)
-    ready: list = []
-    out = []
-    for slot in range(period):
-        for entry in waiting.pop(slot, []):
-            heapq.heappush(ready, entry)
-        due, _, source, block, at = heapq.heappop(ready)
-        out.append((source, block, at, due, slot))
-    return out
-
-
-def meets(quota: dict[str, int], weights: dict[str, float]) -> bool:
-    """Whether every quota is within TOLERANCE of its weight."""
-    period, total = sum(quota.values()), sum(weights.values())
-    return all(abs(quota[s] * total - w * period) <= TOLERANCE * w * period for s, w in weights.items())
-
-
-def paths(weights: dict[str, float]) -> dict[str, list[int]]:
-    """Steps from each source up to the root of the Huffman tree: its share of the node in 1 / ONE, negative for the first child."""
-    names = sorted(weights)
-    heap = [(weights[s], i) for i, s in enumerate(names)]
-    heapq.heapify(heap)
-    above: dict[int, tuple[int, int]] = {}  # node -> (step, node above)
-    node = len(names)
-    while len(heap) > 1:
-        (v, first), (w, second) = heapq.heappop(heap), heapq.heappop(heap)
-        share = min(max(round(v / (v + w) * ONE), 1), ONE - 1)
-        above[first], above[second] = (-share, node), (ONE - share, node)
-        heapq.heappush(heap, (v + w, node))
-        node += 1
-    out = {}
-    for i, s in enumerate(names):
-        steps, at = [], i
-        while at in above:
-            step, at = above[at]
-            steps.append(step)
-        out[s] = steps
-    return out
-
-
-def path_slot(path: list[int], block: int) -> int:
-    """Slot of a source's block; ``_PATH_SLOT`` is the same in SQL."""
-    for step in path:
-        a = abs(step)
-        block = block // a * ONE + (ONE * (2 * (block % a) + 1) - (step < 0)) // (2 * a)
-    return block
-
-
-_PATH_SLOT = (f"aggregate(path, block, (k, step) -> k div abs(step) * {ONE}L"
-              f" + ({ONE}L * (2 * (k % abs(step)) + 1) - if(step < 0, 1, 0)) div (2 * abs(step)))")
-
-
 def source_weights(docs: DataFrame, source_col: str = "source", exponent: float = 0.7) -> dict[str, float]:
     """Target weights count ** exponent: below 1, small sources are read more often than their size."""
     rows = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("s")).count().collect()
-    return {r["s"]: float(r["count"]) ** exponent for r in rows}
+    # Thousandths, so that other engines can work with the same whole numbers.
+    return {r["s"]: float(math.floor(float(r["count"]) ** exponent * 1000)) for r in rows}
 
 
-def _literals(spark, names: list[str], rows: list[tuple]) -> DataFrame:
-    """A small table made of SQL literals."""
-    columns = [F.array(*[F.lit(v) for v in values]).alias(n) for n, values in zip(names, zip(*rows))]
-    return spark.range(1).select(F.explode(F.arrays_zip(*columns)).alias("p")).select("p.*")
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows written to the shared folder as JSON lines and read back."""
+    path = shared_path(spark, "slots")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/slots.json")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        for at in range(0, len(rows), 1 << 15):
+            out.write(bytearray("".join(json.dumps(r) + "\n" for r in rows[at:at + (1 << 15)]).encode()))
+    finally:
+        out.close()
+    return spark.read.schema(schema).json(path)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
-        block_docs: int = BLOCK_DOCS, period: int = PERIOD, carry: list[str] | None = None) -> DataFrame:
+        block_docs: int = BLOCK_DOCS, carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns (default: all, as the struct ``row``) with the place of every document in the mix.
 
     Columns: row, source, block, release, deadline, slot, place (inside the block), in_target.
@@ -176,39 +119,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     else:
         least = min([w for w in weights.values() if w > 0], default=1.0)
         weights = {s: weights.get(s, 0) if weights.get(s, 0) > 0 else least for s in present}
-    if not present:
-        present, weights = {"": 0}, {"": 1.0}
+    block_docs = max(block_docs, -(-sum(present.values()) // MAX_BLOCKS))
     if len(present) * RANGES <= BROADCAST_ROWS:
         before = F.broadcast(before)
     numbered = rows.withColumn("part", cut).join(before, ["source", "part"]).withColumn(
         "number", F.col("before") + F.row_number().over(Window.partitionBy("source", "part").orderBy("h")) - 1)
     out = numbered.withColumn("block", F.expr(f"number div {block_docs}"))
     place = F.expr(f"int(number % {block_docs})").alias("place")
-    quota = quotas(weights, period) if len(weights) <= period else {}
-    # ``dry``: the first slot that would need a block beyond a source's last full one.
-    if not quota or not meets(quota, weights):
-        steps, total = paths(weights), sum(weights.values())
-        dry = min(path_slot(steps[s], n // block_docs) for s, n in present.items())
-        names = sorted(steps)
-        tree = checkpointed(spark.createDataFrame(pa.table({
-            "p_source": pa.array(names, pa.string()), "w": pa.array([weights[s] / total for s in names], pa.float64()),
-            "path": pa.array([steps[s] for s in names], pa.list_(pa.int64()))})))
-        if sum(map(len, steps.values())) <= BROADCAST_STEPS:
-            tree = F.broadcast(tree)
-        out = out.join(tree, F.expr("source = p_source")).withColumn("slot", F.expr(_PATH_SLOT))
-        return out.select("row", "source", "block", F.floor(F.col("block") / F.col("w")).alias("release"),
-                          F.ceil((F.col("block") + 1) / F.col("w")).alias("deadline"), "slot", place,
-                          (F.col("slot") < dry).alias("in_target"))
-    whole, runs = sum(quota.values()), schedule(quota)
-    pattern = _literals(spark, ["p_source", "a", "p_block", "p_release", "p_deadline", "p_slot"],
-                        [(s, quota[s], *run) for s, *run in runs])
-    out = out.join(F.broadcast(pattern), F.expr("source = p_source and block % a = p_block"))
-    turn = F.expr(f"(block div a) * {whole}")
-    slots = {(s, b): t for s, b, _, _, t in runs}
-    dry = min((n // block_docs // quota[s] * whole + slots[s, n // block_docs % quota[s]] for s, n in present.items()), default=0)
-    return out.select("row", "source", "block", (turn + F.col("p_release")).alias("release"),
-                      (turn + F.col("p_deadline")).alias("deadline"), (turn + F.col("p_slot")).alias("slot"),
-                      place, (turn + F.col("p_slot") < dry).alias("in_target"))
+    names = sorted(present)
+    given = whole_weights([weights[s] for s in names])
+    runs = schedule(given, [-(-present[s] // block_docs) for s in names])
+    # The first slot that could need a block beyond a source's last full one.
+    dry = min((present[s] // block_docs * sum(given) // w for s, w in zip(names, given)), default=0)
+    slots = _table(spark, [{"p_source": names[s], "p_block": block, "release": release, "deadline": deadline, "slot": slot}
+                           for s, block, release, deadline, slot in runs],
+                   "p_source string, p_block long, release long, deadline long, slot long")
+    if len(runs) <= BROADCAST_ROWS:
+        slots = F.broadcast(slots)
+    return out.join(slots, F.expr("source = p_source and block = p_block")).select(
+        "row", "source", "block", "release", "deadline", "slot", place, (F.col("slot") < dry).alias("in_target"))
 
 
 def interleave(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",

@@ -156,31 +156,29 @@ ORACLE_SQL: dict[str, str] = {
                  FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
         FROM p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1""",
-    # Sources, weights, largest-remainder quotas (every source has one at least here), one period of earliest
-    # deadline first by recursion, and every document's place by arithmetic.
+    # Sources in name order with whole weights, earliest deadline first by recursion (one block a step), and every
+    # document's place by arithmetic.  A block's rank is (deadline, source); nothing released: on to the next release.
     "op5_mix_sources": """
         WITH RECURSIVE n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
-        x AS (SELECT s, n, pow(n, 0.7) / (SELECT sum(pow(n, 0.7)) FROM n) * 1000 AS x FROM n),
-        q AS (SELECT s, n, CAST(floor(x) AS BIGINT) + CAST(row_number() OVER (ORDER BY floor(x) - x, s)
-                     <= 1000 - (SELECT sum(floor(x)) FROM x) AS BIGINT) AS a FROM x),
-        l AS (SELECT list(s ORDER BY s) AS s, list(a ORDER BY s) AS a FROM q),
+        l AS (SELECT list(s ORDER BY s) AS s, list(CAST((n + b - 1) // b AS BIGINT) ORDER BY s) AS n, list(n // b ORDER BY s) AS full_n,
+                     list(CAST(floor(pow(n, 0.7) * 1000) AS BIGINT) ORDER BY s) AS w, sum(CAST(floor(pow(n, 0.7) * 1000) AS BIGINT))::BIGINT AS total, any_value(b) AS b
+              FROM n, (SELECT greatest(16, (count(*) + 131071) // 131072) AS b FROM documents)),
         edf AS (
-            SELECT CAST(-1 AS BIGINT) AS slot, list_transform(a, lambda v: CAST(0 AS BIGINT)) AS c, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS block FROM l
+            SELECT CAST(-1 AS BIGINT) AS slot, list_transform(w, lambda v: CAST(0 AS BIGINT)) AS c, CAST(0 AS BIGINT) AS pick FROM l
             UNION ALL
-            SELECT slot + 1, list_transform(c, lambda v, i: CASE WHEN i = p THEN v + 1 ELSE v END), p, c[p]
-            FROM (SELECT slot, c, list_min(list_transform(list_filter(range(1, len(a) + 1),
-                             lambda i: c[i] < a[i] AND (c[i] * 1000) // a[i] <= slot + 1),
-                             lambda i: ((((c[i] + 1) * 1000 + a[i] - 1) // a[i]) * 2000 + 1500 - ((c[i] + 1) * 1000) // a[i]) * 1000 + i)) % 1000 AS p
-                  FROM edf, l WHERE slot < 999)),
-        run AS (SELECT l.s[pick] AS s, block, slot, (block * 1000) // l.a[pick] AS release,
-                       ((block + 1) * 1000 + l.a[pick] - 1) // l.a[pick] AS deadline FROM edf, l WHERE slot >= 0),
-        dry AS (SELECT min(n // 16 // a * 1000 + slot) AS t FROM q JOIN run ON run.s = q.s AND run.block = n // 16 % a),
+            SELECT t0, list_transform(c, lambda v, i: CASE WHEN i = p THEN v + 1 ELSE v END), p
+            FROM (SELECT t0, c, list_min(list_transform(list_filter(range(1, len(w) + 1), lambda i: c[i] < n[i] AND (c[i] * total) // w[i] <= t0),
+                             lambda i: (((c[i] + 1) * total + w[i] - 1) // w[i]) * 10000 + i)) % 10000 AS p
+                  FROM (SELECT edf.c, l.*, greatest(slot + 1, list_min(list_transform(list_filter(range(1, len(w) + 1), lambda i: c[i] < n[i]),
+                             lambda i: (c[i] * total) // w[i]))) AS t0 FROM edf, l) WHERE t0 IS NOT NULL AND list_sum(list_transform(range(1, len(w) + 1), lambda i: n[i] - c[i])) > 0)),
+        run AS (SELECT l.s[pick] AS s, c[pick] - 1 AS block, slot, ((c[pick] - 1) * total) // w[pick] AS release, (c[pick] * total + w[pick] - 1) // w[pick] AS deadline
+                FROM edf, l WHERE slot >= 0),
+        dry AS (SELECT list_min(list_transform(range(1, len(w) + 1), lambda i: (full_n[i] * total) // w[i])) AS t FROM l),
         d AS (SELECT doc_id, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '')
                      ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix')) - 1 AS number FROM documents)
-        SELECT doc_id, d.s AS source, number // 16 AS block, number // 16 // a * 1000 + release AS release,
-               number // 16 // a * 1000 + deadline AS deadline, number // 16 // a * 1000 + slot AS slot,
-               CAST(number % 16 AS INTEGER) AS place, number // 16 // a * 1000 + slot < (SELECT t FROM dry) AS in_target
-        FROM d JOIN q ON q.s = d.s JOIN run ON run.s = d.s AND run.block = number // 16 % a""",
+        SELECT doc_id, d.s AS source, run.block, run.release, run.deadline, run.slot, CAST(number % l.b AS INTEGER) AS place,
+               run.slot < (SELECT t FROM dry) AS in_target
+        FROM l, d JOIN run ON run.s = d.s AND run.block = number // (SELECT b FROM l)""",
     "op8_minhash_dedup": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),

@@ -259,18 +259,24 @@ def test_cascade_is_exact_over_its_universe(spark):
 
 # -- mixing ------------------------------------------------------------------
 
-def test_schedule_stays_within_a_block_of_the_weights():
+def test_schedule_stays_within_a_block_of_the_given_weights():
+    """Exact lags against the given weights over a million slots: few, many and very many sources, one at a third."""
     rng = np.random.default_rng(7)
-    for period in (1, 10, 100, 1000):
-        weights = {f"s{i}": float(w) for i, w in enumerate(rng.random(9) ** 4 + 1e-5)}
-        quota = mix_sources.quotas(weights, period)
-        whole = sum(quota.values())
-        assert min(quota.values()) >= 1 and whole == max(period, len(weights))
-        done = dict.fromkeys(quota, 0)
-        for t, (source, block, release, deadline, slot) in enumerate(mix_sources.schedule(quota)):
-            assert slot == t and release <= slot < deadline and block == done[source]
-            done[source] += 1
-            assert all(abs(n - (t + 1) * quota[s] / whole) < 1 for s, n in done.items())
+    third = lambda n: [n / 2, *rng.uniform(0.5, 1.5, n - 1)]
+    cases = [(third(20), 1_000_000), (third(2000), 300_000), (third(20_000), 100_000), (rng.random(9) ** 9 + 1e-6, 20_000), ([1.0], 10),
+             ([1.0, 1e-7], 3000), ([0.1] * 10, 1000)]
+    for weights, slots in cases:
+        whole = mix_sources.whole_weights([float(w) for w in weights])
+        total = sum(whole)
+        blocks = [min(slots, slots * w // total + 1) for w in whole]
+        runs, done = mix_sources.schedule(whole, blocks), [0] * len(whole)
+        assert len(runs) == sum(blocks)
+        for i, (s, block, release, deadline, slot) in enumerate(runs):
+            assert block == done[s] and release == block * total // whole[s] and release <= slot < deadline
+            # a source is furthest from its share just before and just after one of its blocks
+            assert abs(block * total - slot * whole[s]) < total and abs((block + 1) * total - (slot + 1) * whole[s]) < total
+            done[s] += 1
+        assert done == blocks and [r[4] for r in runs[:slots // 2]] == list(range(min(slots // 2, len(runs))))
 
 
 def test_mix_keeps_all_rows_and_the_weights(spark):
@@ -288,13 +294,12 @@ def test_mix_keeps_all_rows_and_the_weights(spark):
     slots = sorted({(r["slot"], r["source"]) for r in placed})
     assert len({s for s, _ in slots}) == len(slots)  # one block a slot
     given = {s: w for s, w in weights.items() if s != "gone"} | {"": 0.01}
-    quota = mix_sources.quotas(given)
-    whole, done = sum(quota.values()), Counter()
+    whole, done = sum(given.values()), Counter()
     target = sorted({(r["slot"], r["source"]) for r in placed if r["in_target"]})
     assert [s for s, _ in target] == list(range(len(target)))
     for t, (_, source) in enumerate(target):
         done[source] += 1
-        assert all(abs(done[s] - (t + 1) * q / whole) < 1 for s, q in quota.items())
+        assert all(abs(done[s] - (t + 1) * w / whole) < 1 for s, w in given.items())
 
 
 def test_mix_meets_the_weights_of_many_sources(spark):
@@ -311,26 +316,18 @@ def test_mix_meets_the_weights_of_many_sources(spark):
     target = sorted(r["slot"] for r in got if r["in_target"])
     assert target == list(range(len(target))) and len(target) > 9000
     total = sum(weights.values())
-    paths = mix_sources.paths(weights)
     for r in got:  # a source is furthest from its share just before and just after one of its blocks
         w = weights[r["source"]] / total
-        assert abs(r["block"] - r["slot"] * w) < 1.2 and abs(r["block"] + 1 - (r["slot"] + 1) * w) < 1.2
-        assert r["slot"] == mix_sources.path_slot(paths[r["source"]], r["block"])
-
-
-def test_tree_schedule_of_uneven_weights():
-    rng = np.random.default_rng(9)
-    for weights in (rng.random(700) ** 9 + 1e-9, np.array([1.0]), np.array([1.0, 1e-7]), np.r_[1e6, np.ones(1500)], 0.6 ** np.arange(40)):
-        weights = {f"s{i}": float(w) for i, w in enumerate(weights)}
-        total, end, seen = sum(weights.values()), 20_000, []
-        for s, path in mix_sources.paths(weights).items():
-            w, block = weights[s] / total, 0
-            while (slot := mix_sources.path_slot(path, block)) < end:
-                assert abs(block - slot * w) < 1.2 and abs(block + 1 - (slot + 1) * w) < 1.2
-                seen.append(slot)
-                block += 1
-            assert end * w - block < 1.2
-        assert sorted(seen) == list(range(end))
+        assert abs(r["block"] - r["slot"] * w) < 1 + 1e-9 and abs(r["block"] + 1 - (r["slot"] + 1) * w) < 1 + 1e-9
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mix_sources, "MAX_BLOCKS", 10)
+    monkeypatch.setattr(mix_sources, "BROADCAST_ROWS", 0)
+    rows = [(i, 's"x\\é' if i % 3 else f"s{i % 4}") for i in range(1000)]
+    got = mix_sources.mix(spark.createDataFrame(rows, "doc_id long, source string"), carry=["doc_id"]).select("row.doc_id", "*").collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
+    assert max(r["place"] for r in got) == 99 and len({r["slot"] for r in got}) <= 10 + 5
 
 
 def test_mix_awkward_rows(awkward, empty):
