@@ -19,7 +19,8 @@ the log-probability matrix in numpy.
 Defined results: null texts and texts without a letter are ``und`` with score
 0; an empty training set makes every text ``und``; ties go to the language
 that sorts first; rows are scored one by one, so repeated rows repeat their
-result.  Columns other than the named ones are ignored.
+result; very long texts are scored whole, in pieces; an empty table gives no
+rows.  Columns other than the named ones are ignored.
 """
 from __future__ import annotations
 
@@ -153,12 +154,8 @@ def _row_sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, where: Column | None = None, text_col: str = "text", lang_col: str = "lang",
-          id_col: str = "doc_id", sample_per_lang: int = 1500, bits: int = 16, alpha: float = 0.5) -> LanguageModel:
-    """Fit on rows of ``docs`` with text, id and language (and ``where``, if given).
-
-    ``sample_per_lang`` bounds the expected number of documents read per language.
-    """
+def _sample(docs: DataFrame, where: Column | None, text_col: str, lang_col: str, id_col: str, per_lang: int) -> DataFrame:
+    """(lang, text) of about ``per_lang`` labelled rows of each language, drawn by a hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                        (F.lit(True) if where is None else where).alias("use"))
     rows = rows.where("use and text is not null and lang is not null and id is not null")
@@ -166,7 +163,16 @@ def train(docs: DataFrame, where: Column | None = None, text_col: str = "text",
     if counts.count() <= MAX_BROADCAST_LANGS:
         counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language-sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(counts, "lang").where(draw * F.col("n") < sample_per_lang).select("lang", "text")
+    return rows.join(counts, "lang").where(draw * F.col("n") < per_lang).select("lang", "text")
+
+
+def train(docs: DataFrame, where: Column | None = None, text_col: str = "text", lang_col: str = "lang",
+          id_col: str = "doc_id", sample_per_lang: int = 1500, bits: int = 16, alpha: float = 0.5) -> LanguageModel:
+    """Fit on rows of ``docs`` with text, id and language (and ``where``, if given).
+
+    ``sample_per_lang`` bounds the expected number of documents read per language.
+    """
+    sample = _sample(docs, where, text_col, lang_col, id_col, sample_per_lang)
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -215,9 +221,28 @@ def score_batch(model: LanguageModel, column: pa.Array) -> np.ndarray:
     return total, np.diff(first)
 
 
+def n_grams(chars: np.ndarray) -> np.ndarray:
+    """N-grams of all orders in a text of so many prepared characters."""
+    return sum(np.maximum(chars - k + 1, 0) for k in ORDERS)
+
+
+def fit_floor(docs: DataFrame, model: LanguageModel, where: Column | None = None, text_col: str = "text", lang_col: str = "lang",
+              id_col: str = "doc_id", sample_per_lang: int = 1500, quantile: float = 0.001, slack: float = 1.4) -> float:
+    """Least mean log-probability per n-gram of a text in a learned language.
+
+    The lowest ``quantile`` of the training sample, times ``slack``: letters and letter sequences that no learned
+    language has are far below it at any length, short texts of common letters are not.
+    """
+    sample = _sample(docs, where, text_col, lang_col, id_col, sample_per_lang)
+    found = predict(sample.select("text"), model, keep=[], fit_col="fit").where(F.col("lang_pred") != UNDETERMINED)
+    low = found.agg(F.percentile_approx("fit", quantile, 10_000)).first()[0]
+    return slack * low if low is not None else float("-inf")
+
+
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred",
-            score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all) plus the predicted language and its posterior.
+            score_col: str = "score", keep: list[str] | None = None, fit_col: str | None = None) -> DataFrame:
+    """``keep`` columns (default: all) plus the predicted language and its posterior; ``fit_col`` names a further
+    column for the mean log-probability of the text's n-grams in that language (see ``fit_floor``).
 
     The posterior is the softmax of the log-likelihood tempered by the square root of the text's
     length: neighbouring n-grams overlap, so their log-odds do not add up as independent ones would.
@@ -226,7 +251,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
     shared = spark.sparkContext.broadcast(model)
     kept = docs.columns if keep is None else keep
     # A text column of our own name, so that extra columns cannot clash with it.
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"),
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("kept"),
                         F.when(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.col(f"`{text_col}`")).alias("text"))
     kept_type = inner.schema["kept"].dataType.simpleString()
 
@@ -235,7 +260,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
         for batch in batches:
             text = batch.column("text")
             n = batch.num_rows
-            pred, score = np.full(n, UNDETERMINED, object), np.zeros(n)
+            pred, score, fit = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n)
             known = np.flatnonzero(~np.asarray(text.is_null()))
             if len(known) and m.langs:
                 total, chars = score_batch(m, text)
@@ -246,9 +271,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
                 best = total.argmax(axis=1)
                 pred[known] = np.array(m.langs, object)[best[known]]
                 score[known] = p[known, best[known]]
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(pred, pa.string()), pa.array(score)],
-                                             names=["kept", "pred", "score"])
+                fit[known] = total[known, best[known]] / np.maximum(n_grams(chars[known]), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(pred, pa.string()), pa.array(score), pa.array(fit)],
+                                             names=["kept", "pred", "score", "fit"])
 
-    out = inner.mapInArrow(run, f"kept {kept_type}, pred string, score double")
+    out = inner.mapInArrow(run, f"kept {kept_type}, pred string, score double, fit double")
     return out.select(*[F.col(f"kept.`{c}`").alias(c) for c in kept], F.col("pred").alias(pred_col),
-                      F.col("score").alias(score_col))
+                      F.col("score").alias(score_col), *([F.col("fit").alias(fit_col)] if fit_col else []))
