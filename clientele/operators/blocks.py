@@ -74,19 +74,23 @@ def to_blocks(rows: DataFrame) -> DataFrame:
 DIRECT_PARTITIONS = 8
 
 
-def summed(parts: DataFrame, keys: list[str], partitions: int) -> list[tuple]:
-    """Rows (*keys, values binary of int64 or float64 sums), added up per key.
+def summed(parts: DataFrame, keys: list[str], partitions: int, dtype=np.int64) -> list[tuple]:
+    """Rows (*keys, values binary of ``dtype`` sums), added up per key.
 
     What reaches the driver is one row per key (bounded by the models, not by the rows they are fitted on).
     """
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(v, np.int64) for v in table.column("values").to_pylist()], axis=0)
+        total = np.sum([np.frombuffer(v, dtype) for v in table.column("values").to_pylist()], axis=0)
         return table.slice(0, 1).set_column(table.column_names.index("values"), "values", pa.array([total.tobytes()], pa.binary()))
     if partitions > DIRECT_PARTITIONS:
         parts = parts.groupBy(*keys).applyInArrow(add, parts.schema)
     out: dict[tuple, np.ndarray] = {}
     found = parts.toArrow()
     for *key, values in zip(*[found.column(c).to_pylist() for c in (*keys, "values")]):
-        v = np.frombuffer(values, np.int64)
+        v = np.frombuffer(values, dtype)
         out[tuple(key)] = out[tuple(key)] + v if tuple(key) in out else v
     return list(out.items())
+
+
+def partitions_of(blocks: DataFrame) -> int:
+    return blocks.select(F.spark_partition_id().alias("p")).distinct().count()

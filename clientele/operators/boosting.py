@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import matrix, summed
+from .blocks import matrix, partitions_of, summed
 from .trees import Trees
 
 SCALE = float(1 << 30)
@@ -79,14 +79,23 @@ def bin_edges(blocks: DataFrame, max_bins: int = MAX_BINS) -> dict[int, list[np.
     return {s: [by[j] for j in sorted(by)] for s, by in out.items()}
 
 
-def drawn(keys: np.ndarray, tree: int, share: float) -> np.ndarray:
-    """Which rows a tree is grown on: a splitmix64 draw from the row's md5 key and the tree's number."""
+def mix(z: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser (wraps modulo 2^64)."""
     with np.errstate(over="ignore"):
-        z = keys.astype(np.uint64) + _GOLDEN * np.uint64(tree + 1)
         z = (z ^ (z >> np.uint64(30))) * _M1
         z = (z ^ (z >> np.uint64(27))) * _M2
-        z = z ^ (z >> np.uint64(31))
-    return (z >> np.uint64(11)) < int(share * (1 << 53))
+        return z ^ (z >> np.uint64(31))
+
+
+def uniform(keys: np.ndarray, tree: int) -> np.ndarray:
+    """A draw from [0, 2^53) per row from its md5 key and the tree's number."""
+    with np.errstate(over="ignore"):
+        return mix(keys.astype(np.uint64) + _GOLDEN * np.uint64(tree + 1)) >> np.uint64(11)
+
+
+def drawn(keys: np.ndarray, tree: int, share: float) -> np.ndarray:
+    """Which rows a tree is grown on."""
+    return uniform(keys, tree) < int(share * (1 << 53))
 
 
 def drawn_columns(features: int, tree: int, share: float) -> np.ndarray:
@@ -329,7 +338,7 @@ def train(blocks: DataFrame, configs: list[Booster], max_bins: int = MAX_BINS) -
     rate = {r["fit_set"]: ones[r["fit_set"]] / r["n"] for r in sizes}
     bases = {s: [float(np.log(rate[s] / (1 - rate[s]))) if c.prior and 0 < rate[s] < 1 else 0.0 for c in configs] for s in sets}
     starts = {s: np.append(0, np.cumsum([len(e) + 1 for e in edges[s]])) for s in sets}
-    partitions = blocks.select(F.spark_partition_id().alias("p")).distinct().count()
+    partitions = partitions_of(blocks)
     state, previous, lineage = _binned(blocks, edges, bases).persist(), None, 0
     done: dict[tuple, list] = {(s, c): [] for s in sets for c in range(len(configs))}
     rounds = max(c.rounds for c in configs)

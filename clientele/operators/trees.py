@@ -59,10 +59,12 @@ class Trees:
         raw = self.raw(x)
         return 1 / (1 + np.exp(-raw)) if self.logistic else raw
 
-    def importance(self, features: int) -> np.ndarray:
-        """Share of each feature in the gains of all splits."""
+    def importance(self, features: int, average: bool = False) -> np.ndarray:
+        """Share of each feature in the gains of all splits, or in the average gain per split."""
         inner = self.feature >= 0
         gains = np.bincount(self.feature[inner], weights=self.gain[inner], minlength=features)
+        if average:
+            gains = gains / np.maximum(np.bincount(self.feature[inner], minlength=features), 1)
         return gains / gains.sum() if gains.sum() > 0 else gains
 
     def expected(self) -> float:

@@ -1,9 +1,10 @@
-"""Rows-checked model queries (MLlib results are not expected to equal
-scikit-learn/XGBoost numbers, so only shape and row counts are compared).
+"""Model queries.  Fitted models have no SQL form: tests compare the learners with plain numpy, split by split.
 
 Splits, balanced tables, fitted models and small result tables are built
 once per application and state of the input files: several queries reuse
-the same fit, as the reference's pipeline does inside one run.
+the same fit, as the reference's pipeline does inside one run.  Fitted models
+are also stored below the shared checkpoint folder (``model_store``), where a
+later application finds them.
 """
 from __future__ import annotations
 
@@ -16,14 +17,15 @@ from pyspark.sql import functions as F
 from ..operators import metrics, split
 from ..operators.smote import smote
 from ..sources.churn import ID
-from . import churn, models
+from . import churn, model_store, models
 from .churn_queries import labelled
 from .materialize import materialized, once
 
 MODEL_KEYS = ["logistic_regression", "random_forest", "hist_gradient_boosting", "xgboost"]
 TREE_KEYS = MODEL_KEYS[1:]
 TUNED_SUFFIX = " (Tuned Threshold)"
-SHAPLEY_ORDERS = 32
+# Numbers of the fit sets: the folds come first.
+TRAIN_SET, TUNING_SET = models.CV_FOLDS, models.CV_FOLDS + 1
 
 
 def _prepared(spark: SparkSession, sf_dir: str):
@@ -43,15 +45,30 @@ def _subtrain(spark, sf_dir):
     return once(spark, sf_dir, "subtrain", build)
 
 
-def _balanced(spark, sf_dir, subset: str = "train") -> DataFrame:
-    """SMOTE of the training rows, or of the tuning subset, shared by all models."""
-    train, _, names, _ = _prepared(spark, sf_dir)
-    return once(spark, sf_dir, f"balanced {subset}", lambda: models.balanced(
-        train if subset == "train" else _subtrain(spark, sf_dir)[0], len(names)))
+def _folds(spark, sf_dir) -> DataFrame:
+    """M2: the training rows with their fold."""
+    return once(spark, sf_dir, "folds", lambda: split.stratified_folds(
+        _prepared(spark, sf_dir)[0], "label", ID, models.CV_FOLDS, models.SEED).checkpoint(eager=True))
+
+
+def _fit_sets(spark, sf_dir) -> DataFrame:
+    """SMOTE of the training rows, of the tuning subset and of the training rows of each fold, as one table of blocks."""
+    def build():
+        train, _, names, _ = _prepared(spark, sf_dir)
+        folds = _folds(spark, sf_dir)
+        parts = {f: folds.where(F.col("fold") != f).drop("fold") for f in range(models.CV_FOLDS)}
+        parts |= {TRAIN_SET: train, TUNING_SET: _subtrain(spark, sf_dir)[0]}
+        with ThreadPoolExecutor(max_workers=len(parts)) as pool:
+            return models.fit_sets(dict(zip(parts, pool.map(lambda rows: models.balanced(rows, len(names)), parts.values()))))
+    return once(spark, sf_dir, "fit sets", build)
 
 
-def _model(spark, sf_dir, key, subset: str = "train"):
-    return once(spark, sf_dir, f"model {key} {subset}", lambda: models.fit(key, _balanced(spark, sf_dir, subset)))
+def _model(spark, sf_dir, key, fit_set: int = TRAIN_SET):
+    """A fitted model; its whole family is fitted on all fit sets together, unless the store has it."""
+    family = models.FAMILIES[key]
+    fitted = once(spark, sf_dir, f"models {family} {models.settings(family)}", lambda: model_store.stored(
+        spark, sf_dir, family, models.settings(family), lambda: models.fit_family(family, _fit_sets(spark, sf_dir))))
+    return fitted[fit_set, key]
 
 
 def _test_metrics(spark, sf_dir, key) -> DataFrame:
@@ -64,9 +81,6 @@ def _test_metrics(spark, sf_dir, key) -> DataFrame:
 def test_results(spark, sf_dir) -> DataFrame:
     """Every model fitted on the training rows, scored on the test rows; best ROC-AUC first (``rank``)."""
     def build() -> DataFrame:
-        _balanced(spark, sf_dir)  # before the pool: the fits share it
-        with ThreadPoolExecutor(max_workers=len(MODEL_KEYS)) as pool:
-            list(pool.map(lambda k: _model(spark, sf_dir, k), MODEL_KEYS))
         out = None
         for k in MODEL_KEYS:
             m = _test_metrics(spark, sf_dir, k)
@@ -78,30 +92,18 @@ def test_results(spark, sf_dir) -> DataFrame:
 def cv_leaderboard(spark, sf_dir) -> DataFrame:
     """Mean and population std of five metrics over stratified folds, best mean ROC-AUC first (``rank``).
 
-    SMOTE runs once per fold and is stored; the fold's four models are fitted on it, as concurrent Spark jobs.
+    All folds and models are fitted in the same passes; the held-out rows of each fold are scored by its models.
     """
     return materialized(spark, sf_dir, "cv", lambda: _cv_leaderboard(spark, sf_dir))
 
 
 def _cv_leaderboard(spark, sf_dir) -> DataFrame:
-    train, _, names, _ = _prepared(spark, sf_dir)
-    folds = split.stratified_folds(train, "label", ID, models.CV_FOLDS, models.SEED).checkpoint()
-
-    def balance(f: int) -> DataFrame:
-        return models.balanced(folds.where(F.col("fold") != f).drop("fold"), len(names))
-
-    def run(task):
-        k, f = task
-        return models.score(models.fit(k, data[f]), folds.where(F.col("fold") == f).drop("fold")).select(
-            F.lit(k).alias("model_key"), F.lit(f).alias("fold"), "label", "score")
-
-    with ThreadPoolExecutor(max_workers=10) as pool:
-        data = list(pool.map(balance, range(models.CV_FOLDS)))
-        # The longest fits first, so that the short ones fill the gaps.
-        parts = list(pool.map(run, [(k, f) for k in reversed(MODEL_KEYS) for f in range(models.CV_FOLDS)]))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    folds, scored = _folds(spark, sf_dir), None
+    for k in MODEL_KEYS:
+        for f in range(models.CV_FOLDS):
+            part = models.score(_model(spark, sf_dir, k, f), folds.where(F.col("fold") == f)).select(
+                F.lit(k).alias("model_key"), F.lit(f).alias("fold"), "label", "score")
+            scored = part if scored is None else scored.unionByName(part)
     per_fold = metrics.grouped_metrics(scored.checkpoint(eager=True), ["model_key", "fold"])
     ms = ("roc_auc", "f1", "precision", "recall", "average_precision")
     board = per_fold.groupBy("model_key").agg(*[F.avg(m).alias(f"cv_{m}_mean") for m in ms],
@@ -127,7 +129,7 @@ def threshold_tuning(spark, sf_dir, select_on: str = "test") -> DataFrame:
 
     def build() -> DataFrame:
         _, valid = _subtrain(spark, sf_dir)
-        s = models.score(_model(spark, sf_dir, key, subset="subtrain"), valid)
+        s = models.score(_model(spark, sf_dir, key, TUNING_SET), valid)
         return metrics.best_threshold(s, "f1").select(F.lit(key).alias("model_key"), "*")
     return materialized(spark, sf_dir, f"tuning {key}", build)
 
@@ -149,7 +151,7 @@ def feature_importance(spark, sf_dir, key: str | None = None) -> DataFrame:
     key = key or _best_key(spark, sf_dir)
     _, test, names, _ = _prepared(spark, sf_dir)
     model = _model(spark, sf_dir, key)
-    found = models.feature_importance(model, names)
+    found = models.feature_importance(key, model, names)
     if found is None:
         found = models.permutation_importance(model, test, names)
     return found.select(F.lit(key).alias("model_key"), "*")
@@ -162,13 +164,12 @@ def permutation_importance(spark, sf_dir, key: str | None = None) -> DataFrame:
     return models.permutation_importance(_model(spark, sf_dir, key), test, names).select(F.lit(key).alias("model_key"), "*")
 
 
-def shapley_importance(spark, sf_dir, key: str | None = None, orders: int = SHAPLEY_ORDERS) -> DataFrame:
+def shapley_importance(spark, sf_dir, key: str | None = None) -> DataFrame:
     """Attributions are made for tree models only: of the best model if it is one, else of the best that is."""
     if key is None:
         key = test_results(spark, sf_dir).where(F.col("model_key").isin(TREE_KEYS)).orderBy("rank").first()["model_key"]
-    train, test, names, _ = _prepared(spark, sf_dir)
-    return models.shapley_importance(_model(spark, sf_dir, key), test, train, names, orders).select(
-        F.lit(key).alias("model_key"), "*")
+    _, test, names, _ = _prepared(spark, sf_dir)
+    return models.shapley_importance(_model(spark, sf_dir, key), test, names).select(F.lit(key).alias("model_key"), "*")
 
 
 def _long(df: DataFrame, names: list[str]) -> DataFrame:

@@ -1,9 +1,10 @@
-"""The churn model workflow on MLlib.
+"""The churn model workflow.
 
-Feature table → exact stratified split → per model: SMOTE on the training
-rows, fit, score.  Cross-validation fits on four folds and scores the
-fifth, unions all scored rows and computes every fold's metrics in one
-grouped query.  Decisions (best model, threshold) are made on tiny metric
+Feature table → exact stratified split → per fit set (the training rows, the
+tuning rows, the training rows of each fold): SMOTE, then all models of all
+fit sets in shared passes (``operators.boosting``, ``forest``, ``logistic``).
+Held-out rows are scored by broadcast models; every fold's metrics come from
+one grouped query.  Decisions (best model, threshold) are made on tiny metric
 tables; the data never passes through the driver.
 """
 from __future__ import annotations
@@ -11,14 +12,12 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, split
+from ..operators import blocks, boosting, forest, logistic, metrics, split, trees
 from ..operators.ranking import global_rank
 from ..operators.smote import smote
 from ..session import ensure_checkpoint_dir
@@ -29,11 +28,6 @@ SEED = 42
 CV_FOLDS = 5
 TEST_FRACTION = 0.2
 VALIDATION_FRACTION = 0.2
-ROWS_PER_PARTITION = 200_000
-# Bins per feature of the boosters (255 and 256 in the reference) and of the forest, which the reference
-# splits exactly; a leaf of the first booster holds at least 20 rows there (its 31-leaf limit has no MLlib setting).
-BINS = 256
-
 # Model keys and display names of the reference.
 DISPLAY_NAMES = {
     "logistic_regression": "Logistic Regression",
@@ -60,48 +54,57 @@ def feature_table(labelled: DataFrame, train: DataFrame | None = None) -> tuple[
     return assembled.select(ID, "label", "features"), names
 
 
-def estimator(key: str, n_train: int):
-    """M8–M11 with the reference's hyper-parameters mapped onto MLlib."""
-    if key == "logistic_regression":
-        # liblinear, C=1: sum of losses + ½‖w‖²  ⇔  mean loss + (1/n)·½‖w‖², n the rows fitted on.
-        # The penalty is on the unscaled weights; the solver still scales internally.
-        return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                  standardization=False, featuresCol="features", labelCol="label")
-    if key == "random_forest":
-        return RandomForestClassifier(numTrees=300, maxDepth=8, minInstancesPerNode=3, featureSubsetStrategy="sqrt",
-                                      seed=SEED, maxBins=BINS, cacheNodeIds=True, featuresCol="features", labelCol="label")
-    if key == "hist_gradient_boosting":
-        return GBTClassifier(maxIter=250, stepSize=0.08, maxDepth=6, minInstancesPerNode=20, seed=SEED, maxBins=BINS,
-                             maxMemoryInMB=512, checkpointInterval=25, featuresCol="features", labelCol="label")
-    if key == "xgboost":
-        return GBTClassifier(maxIter=400, stepSize=0.05, maxDepth=4, subsamplingRate=0.85,
-                             featureSubsetStrategy="0.85", minInstancesPerNode=3, seed=SEED, maxBins=BINS,
-                             maxMemoryInMB=512, checkpointInterval=25, featuresCol="features", labelCol="label")
-    raise KeyError(key)
+# The reference's hyper-parameters (and the defaults of the settings it leaves open).
+BOOSTERS = [
+    boosting.Booster("hist_gradient_boosting", rounds=250, rate=0.08, depth=6, leaves=31, min_rows=20),
+    boosting.Booster("xgboost", rounds=400, rate=0.05, depth=4, min_hessian=3.0, l2=1.0, row_share=0.85, column_share=0.85, prior=False),
+]
+FOREST = forest.Forest(trees=300, depth=8, min_split=6)
+LOGISTIC_C = 1.0
 
 
 def balanced(train: DataFrame, dim: int) -> DataFrame:
-    """M7: the training rows plus SMOTE rows, stored once for all models fitted on them.
+    """M7: the training rows plus SMOTE rows (key, label, x), stored once for all models fitted on them.
 
-    (Class weights would be a no-op after balancing, so none are used.)  Partitions are sized by rows
-    (about ROWS_PER_PARTITION each) and dealt by a hash of the row's key, so a row's partition does not
-    depend on how the input arrived; tree bagging is reproducible for a given number of partitions.
+    (Class weights would be a no-op after balancing, so none are used.)
     """
     data = smote(train, ID, "label", "features", dim=dim)
-    parts = max(1, math.ceil(2 * train.count() / ROWS_PER_PARTITION))
     ensure_checkpoint_dir(train.sparkSession, local_default=True)
-    return data.repartition(parts, F.xxhash64(ID, "origin", "draw")).select(ID, "label", "features").checkpoint(eager=True)
+    return data.select(blocks.row_key(ID, "origin", "draw").alias("key"), F.col("label").cast("int").alias("label"),
+                       vector_to_array("features").alias("x")).checkpoint(eager=True)
+
+
+def fit_sets(tables: dict[int, DataFrame]) -> DataFrame:
+    """Balanced tables by number as one table of blocks, on which all models are fitted."""
+    rows = None
+    for number, table in tables.items():
+        part = table.withColumn("fit_set", F.lit(number))
+        rows = part if rows is None else rows.unionByName(part)
+    return blocks.to_blocks(rows)
+
+
+# Models that are grown in the same passes.
+FAMILIES = {"logistic_regression": "logistic", "random_forest": "forest", "hist_gradient_boosting": "boosters", "xgboost": "boosters"}
 
 
-def fit(key: str, data: DataFrame):
-    """Fit one model on (balanced) rows; the number of rows sets the logistic penalty."""
-    return Pipeline(stages=[estimator(key, data.count())]).fit(data)
+def fit_family(family: str, sets: DataFrame) -> dict[tuple[int, str], object]:
+    """{(fit set, model key): model} of one family, for all fit sets at once."""
+    if family == "boosters":
+        return boosting.train(sets, BOOSTERS)
+    if family == "forest":
+        return {(s, "random_forest"): m for s, m in forest.train(sets, FOREST).items()}
+    return {(s, "logistic_regression"): m for s, m in logistic.train(sets, LOGISTIC_C).items()}
+
+
+def settings(family: str) -> str:
+    """What the models of a family depend on besides their rows."""
+    return repr({"boosters": BOOSTERS, "forest": FOREST, "logistic": LOGISTIC_C}[family])
 
 
 def score(model, df: DataFrame) -> DataFrame:
     """Probability of class 1 as ``score``."""
-    return model.transform(df).select(ID, F.col("label").cast("int").alias("label"),
-                                      vector_to_array("probability")[1].alias("score"))
+    rows = df.select(ID, F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x"))
+    return trees.with_score(model, rows, "x").drop("x")
 
 
 def split_features(labelled: DataFrame, global_impute: bool = True):
@@ -120,15 +123,12 @@ def split_features(labelled: DataFrame, global_impute: bool = True):
     return parts.checkpoint(eager=True), names
 
 
-def feature_importance(model, names: list[str]) -> DataFrame | None:
-    """Tree importances, else |coefficients|, ranked; None for a model that has neither."""
-    m = model.stages[-1]
-    if hasattr(m, "featureImportances"):
-        vals = m.featureImportances.toArray().tolist()
-    elif hasattr(m, "coefficients"):
-        vals = [abs(x) for x in m.coefficients.toArray().tolist()]
-    else:
+def feature_importance(key: str, model, names: list[str]) -> DataFrame | None:
+    """A forest's mean impurity decreases, average gain per split of the Newton boosters, |coefficients| of the
+    linear model, ranked; None for best-first boosting, which has no importances of its own in the reference."""
+    if key == "hist_gradient_boosting":
         return None
+    vals = model.importance(len(names), average=True) if key == "xgboost" else model.importance(len(names))
     rows = sorted(((n, float(v)) for n, v in zip(names, vals)), key=lambda x: (-x[1], x[0]))
     return SparkSession.getActiveSession().createDataFrame(
         [(i + 1, n, v) for i, (n, v) in enumerate(rows)], "rank int, feature string, importance double")
@@ -172,10 +172,9 @@ def permutation_importance(model, test: DataFrame, names: list[str], repeats: in
             f"cast((cast(k._a as decimal(18,0)) * cast(_i as decimal(18,0)) + k._b) % {max(n, 1)} as bigint)").alias("_donor"))
     values = base.select(F.col("_i").alias("_donor"), F.posexplode("_x").alias("_f", "_v"))
     swapped = copies.join(values, ["_donor", "_f"]).join(base, "_i").select(
-        ID, "label", "_f", "_r", array_to_vector(F.transform(
-            "_x", lambda x, j: F.when(j == F.col("_f"), F.col("_v")).otherwise(x))).alias("features"))
-    scored = model.transform(swapped).select("_f", "_r", F.col("label").cast("int").alias("label"),
-                                             vector_to_array("probability")[1].alias("score"))
+        "_f", "_r", F.col("label").cast("int").alias("label"), F.transform(
+            "_x", lambda x, j: F.when(j == F.col("_f"), F.col("_v")).otherwise(x)).alias("x"))
+    scored = trees.with_score(model, swapped, "x").drop("x")
     aucs = metrics.grouped_metrics(scored, ["_f", "_r"]).select("_f", "_r", "roc_auc")
     base_auc = metrics.roc_auc(score(model, test)).select(F.struct("roc_auc").alias("s")).scalar()
     diffs = aucs.select("_f", (base_auc.getField("roc_auc") - F.col("roc_auc")).alias("_drop"))
@@ -184,37 +183,10 @@ def permutation_importance(model, test: DataFrame, names: list[str], repeats: in
                      "importance", "feature")
 
 
-def shapley_importance(model, rows: DataFrame, background: DataFrame, names: list[str], permutations: int,
-                       seed: int = SEED) -> DataFrame:
-    """M28 (re-aimed): sampled Shapley values as one scoring job.
-
-    Each row takes ``permutations`` feature orders and background rows of its
-    own; along an order the features are switched from the background row to
-    the row's values one at a time, and the score change at each switch is
-    that feature's contribution (they add up to score(row) − score(background
-    row)).  Errors of different rows are independent, so the mean over rows
-    converges with rows × permutations.  Output: mean |contribution| per feature.
-    """
-    d = len(names)
-    pool = global_rank(background.select(ID, vector_to_array("features").alias("_bg")), [ID], rank_col="_n")
-    pool = pool.select((F.col("_n") - 1).alias("_pick"), "_bg")
-    size = background.count()
-    x = rows.select(ID, vector_to_array("features").alias("_x"), F.explode(
-        F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_p"))
-    x = x.withColumn("_pick", F.pmod(F.xxhash64(ID, "_p", F.lit(seed), F.lit("background")), F.lit(size)))
-    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.struct(
-        F.xxhash64(F.col(ID), F.col("_p"), j, F.lit(seed)).alias("h"), j.alias("j")))), lambda s: s["j"])
-    # d + 1 score points per (row, order); each takes its features from the row or the background.
-    steps = x.join(pool, "_pick").select(ID, "_p", "_x", "_bg", order.alias("_order")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.when(
-        F.array_position("_order", j) <= F.col("_k"), F.element_at("_x", j + 1)).otherwise(F.element_at("_bg", j + 1)))
-    last = F.when(F.col("_k") > 0, F.element_at("_order", F.greatest(F.col("_k"), F.lit(1))))
-    scored = model.transform(steps.select(ID, "_p", "_k", last.alias("_f"), array_to_vector(vec).alias("features"))).select(
-        ID, "_p", "_k", "_f", vector_to_array("probability")[1].alias("_s"))
-    w = Window.partitionBy(ID, "_p").orderBy("_k")  # d + 1 rows per (row, order)
-    contrib = scored.withColumn("_c", F.col("_s") - F.lag("_s").over(w)).where(F.col("_k") > 0)
-    phi = contrib.groupBy(ID, "_f").agg(F.avg("_c").alias("_phi"))
-    imp = phi.groupBy("_f").agg(F.avg(F.abs("_phi")).alias("mean_abs_shap"))
+def shapley_importance(model, rows: DataFrame, names: list[str]) -> DataFrame:
+    """Mean |attribution| per feature over ``rows``: exact path-dependent Shapley values of the raw score of a
+    tree model, one pass over the rows."""
+    found = trees.with_attributions(model, rows.select(vector_to_array("features").alias("x")), "x")
+    imp = found.select(F.posexplode("attribution").alias("_f", "_phi")).groupBy("_f").agg(F.avg(F.abs("_phi")).alias("mean_abs_shap"))
     return ranked_by(imp.select(F.element_at(_feature_names(names), F.col("_f")).alias("feature"), "mean_abs_shap"),
                      "mean_abs_shap", "feature")

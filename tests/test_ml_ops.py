@@ -1,8 +1,10 @@
 import itertools
 import math
 import random
+from dataclasses import replace
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -149,8 +151,8 @@ def test_grouped_metrics_match_per_group(spark):
         assert got[g].average_precision == pytest.approx(brute_ap(sub))
 
 
-def test_importances_of_a_fitted_model(spark):
-    """A model that reads one feature only: that feature ranks first by coefficient, permutation and attribution."""
+def test_importances_of_a_fitted_model(spark, monkeypatch):
+    """A label that follows one feature only: that feature ranks first by gain, coefficient, permutation and attribution."""
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
     from clientele.plans import models
@@ -161,11 +163,24 @@ def test_importances_of_a_fitted_model(spark):
         rows.append((i, float(x[1] > 0.5), Vectors.dense(x)))
     schema = StructType([StructField("customer_id", LongType()), StructField("label", DoubleType()), StructField("features", VectorUDT())])
     df = spark.createDataFrame(rows, schema).repartition(3).cache()
-    model = models.fit("logistic_regression", df)
+    sets = models.fit_sets({0: df.selectExpr("customer_id as key", "int(label) as label", "features").withColumn(
+        "x", vector_to_array("features")).drop("features")})
     names = ["a", "b", "c"]
-    for table, value in ((models.feature_importance(model, names), "importance"),
-                         (models.permutation_importance(model, df, names, repeats=4), "importance"),
-                         (models.shapley_importance(model, df, df, names, permutations=6), "mean_abs_shap")):
-        found = sorted(table.collect(), key=lambda r: r["rank"])
-        assert [r["rank"] for r in found] == [1, 2, 3] and found[0]["feature"] == "b"
-        assert found[0][value] > 3 * max(abs(r[value]) for r in found[1:])
+    few = {"BOOSTERS": [replace(b, rounds=8) for b in models.BOOSTERS], "FOREST": replace(models.FOREST, trees=8)}
+    for name, value in few.items():
+        monkeypatch.setattr(models, name, value)
+    fitted = {}
+    for family in set(models.FAMILIES.values()):
+        fitted |= models.fit_family(family, sets)
+    for key in models.FAMILIES:
+        model = fitted[0, key]
+        tables = [(models.feature_importance(key, model, names), "importance"), (models.permutation_importance(model, df, names, repeats=4), "importance")]
+        if key != "logistic_regression":
+            tables.append((models.shapley_importance(model, df, names), "mean_abs_shap"))
+        for table, value in tables:
+            if table is None:
+                assert key == "hist_gradient_boosting"
+                continue
+            found = sorted(table.collect(), key=lambda r: r["rank"])
+            assert [r["rank"] for r in found] == [1, 2, 3] and found[0]["feature"] == "b"
+            assert found[0][value] > 2 * max(abs(r[value]) for r in found[1:])
