@@ -41,6 +41,8 @@ WINDOW_ROWS = 1 << 18
 VOCABULARY = "word_bpe_49k.json"
 # Words (of at most 64 bytes) whose ids a task remembers, about 100 MB.
 CACHE_WORDS = 1 << 19
+# Bytes of text encoded at once.
+GROUP_BYTES = 8 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -130,6 +132,19 @@ class WordEncoder:
         return flat[source], at
 
 
+def _gathered(batches):
+    """Batches joined up to about GROUP_BYTES: a distinct word is looked up once per group."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, end_id: int = END_ID,
            vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32 [, ids]) of every piece of every document."""
@@ -140,7 +155,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordEncoder(shared.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             ids, at = encoder.encode(batch.column("text"))
             rows, piece, start, length, crc, held = [], [], [], [], [], []
             for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
