@@ -1,51 +1,39 @@
 """KMeans on standardised R/F/M.
 
-MLlib's k-means‖ replaces scikit-learn's k-means++; "best of ``n_init``"
-becomes ``n_init`` seeded fits (run as concurrent jobs) keeping the lowest
-training cost.  Cluster ids are relabelled by mean monetary value so they
-are stable across runs (KMeans ids are arbitrary).
+k-means++ starts and Lloyd steps of all fits in shared passes
+(``operators.kmeans``); "best of ``n_init``" is the fit of least inertia.
+Cluster ids are relabelled by mean monetary value so they mean the same in
+every run (KMeans ids are arbitrary).
 """
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct_rounded, ratio
-from ..session import ensure_checkpoint_dir
+from ..operators import blocks, kmeans
 from . import rfm as rfm_plan
 
 SEED = 42
-ROWS_PER_PARTITION = 200_000
 
 
 def _points(rfm: DataFrame) -> DataFrame:
+    """(customer_id, x): the standardised values, 0 where a column has no spread."""
     z = rfm_plan.standardized(rfm)
-    vec = VectorAssembler(inputCols=["z_recency", "z_frequency", "z_monetary"], outputCol="features")
-    pts = vec.transform(z.na.fill(0.0, ["z_recency", "z_frequency", "z_monetary"])).select("customer_id", "features")
-    ensure_checkpoint_dir(rfm.sparkSession, local_default=True)
-    n = pts.count()
-    # Dealt by a hash of the key: a row's partition, on which the seeded starts depend, does not change from run to run.
-    return pts.repartition(max(1, math.ceil(n / ROWS_PER_PARTITION)), "customer_id").checkpoint(eager=True), n
+    return z.select("customer_id", F.array(*[F.coalesce(F.col(f"z_{c}"), F.lit(0.0)) for c in ("recency", "frequency", "monetary")]).alias("x"))
 
 
-def _best_fit(pts: DataFrame, k: int, n_init: int, seed: int):
-    def one(i):
-        return KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features").fit(pts)
-    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
-        fits = list(pool.map(one, range(n_init)))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def _blocks(points: DataFrame) -> DataFrame:
+    return blocks.to_blocks(points.select(F.lit(0).alias("fit_set"), blocks.row_key("customer_id").alias("key"), F.lit(0).alias("label"), "x"))
 
 
 def rfm_clusters(rfm: DataFrame, k: int = 5, n_init: int = 10, seed: int = SEED) -> DataFrame:
     """M6: (customer_id, cluster) with clusters numbered by ascending mean monetary."""
-    pts, _ = _points(rfm)
-    model = _best_fit(pts, k, n_init, seed)
-    raw = model.transform(pts).select("customer_id", F.col("prediction").alias("_c"))
+    points = _points(rfm)
+    fitted = kmeans.train(_blocks(points), [k], n_init, seed)
+    if not fitted:
+        return rfm.select("customer_id", F.lit(0).alias("cluster"))
+    raw = kmeans.with_cluster(fitted[k], points, "x", "_c").drop("x")
     means = raw.join(rfm.select("customer_id", "monetary"), "customer_id").groupBy("_c").agg(
         F.avg(F.col("monetary").cast("double")).alias("_m"))
     order = means.select("_c", (F.row_number().over(Window.orderBy("_m", "_c")) - 1).alias("cluster"))  # k rows
@@ -65,21 +53,6 @@ def cluster_profile(rfm: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def elbow(rfm: DataFrame, ks=range(1, 11), n_init: int = 10, seed: int = SEED) -> DataFrame:
-    """M5: inertia for each k; k = 1 in closed form (MLlib needs k ≥ 2):
-    the total squared distance to the mean."""
-    pts, n = _points(rfm)
-    rows = []
-    for k in ks:
-        if k == 1:
-            continue
-        rows.append((int(k), float(_best_fit(pts, k, n_init, seed).summary.trainingCost)))
-    spark = rfm.sparkSession
-    fitted = spark.createDataFrame(rows, "k int, inertia double")
-    if 1 in ks:
-        from pyspark.ml.functions import vector_to_array
-        arr = pts.select(vector_to_array("features").alias("a"))
-        dims = 3
-        sq = arr.select(*[F.col("a")[i].alias(f"x{i}") for i in range(dims)])
-        one = sq.agg(sum(((F.count(F.lit(1)) * F.var_pop(f"x{i}")) for i in range(dims)), F.lit(0.0)).alias("inertia"))
-        fitted = one.select(F.lit(1).alias("k"), "inertia").unionByName(fitted)
-    return fitted
+    """M5: inertia of the best fit for each k; all fits share each pass over the points."""
+    fitted = kmeans.train(_blocks(_points(rfm)), list(ks), n_init, seed)
+    return rfm.sparkSession.createDataFrame([(int(k), float(m.inertia)) for k, m in sorted(fitted.items())], "k int, inertia double")

@@ -60,3 +60,9 @@ def report_metrics(raw: DataFrame, clean: DataFrame, users: DataFrame, monthly_s
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def cluster_figures(profile: DataFrame) -> DataFrame:
+    """Size and share of every cluster, as report figures."""
+    return tidy_groups(profile.withColumn("cluster", F.concat(F.lit("cluster "), F.col("cluster").cast("string"))), "clusters", "cluster",
+                       ["users", "pct"])

@@ -54,6 +54,11 @@ def event_value(spark, sf_dir, event_type: str | None = None) -> DataFrame:
     return breakdowns.weekday_hour(events, "ts", "value")
 
 
+def stored_clusters(spark, sf_dir) -> DataFrame:
+    """The cluster of every customer, fitted once."""
+    return _materialized(spark, sf_dir, "clusters", lambda: clusters.rfm_clusters(rfm.rfm_table(user_table(spark, sf_dir))))
+
+
 def stored_months(spark, sf_dir) -> DataFrame:
     """The month table, for queries that combine it with others (it has one row per month)."""
     return _materialized(spark, sf_dir, "months", lambda: monthly_table(spark, sf_dir))
@@ -154,7 +159,7 @@ QUERIES = {
     "recoverable_revenue": lambda s, d: rfm.recoverable_revenue(segments(s, d)),
     "rfm_sample_points": lambda s, d: rfm.sample_points(rfm.rfm_table(user_table(s, d))),
     "rfm_standardized": lambda s, d: rfm.standardized(rfm.rfm_table(user_table(s, d))),
-    "rfm_clusters": lambda s, d: clusters.rfm_clusters(rfm.rfm_table(user_table(s, d))),
+    "rfm_clusters": lambda s, d: stored_clusters(s, d),
     "cluster_profile": lambda s, d: _cluster_profile(s, d),
     "kmeans_elbow": lambda s, d: clusters.elbow(rfm.rfm_table(user_table(s, d))),
     # lifecycle, funnel, concentration
@@ -168,6 +173,7 @@ QUERIES = {
     "users_new_except": lambda s, d: strategy.new_users_h2(clean(s, d), _cut()),
     "kpi_summary": lambda s, d: _kpi(s, d),
     "report_metrics": lambda s, d: _report(s, d),
+    "report_clusters": lambda s, d: report.cluster_figures(QUERIES["cluster_profile"](s, d)),
     # breakdowns
     "country_users_top10": lambda s, d: breakdowns.country_users_top(clean(s, d, ["country"]),
                                                                       users=user_table(s, d)),
@@ -188,7 +194,7 @@ QUERIES = {
 
 def _cluster_profile(spark, sf_dir) -> DataFrame:
     r = rfm.rfm_table(user_table(spark, sf_dir))
-    return clusters.cluster_profile(r, clusters.rfm_clusters(r))
+    return clusters.cluster_profile(r, stored_clusters(spark, sf_dir))
 
 
 def _report(spark, sf_dir) -> DataFrame:
