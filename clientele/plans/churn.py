@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import format_rate, ratio
 from ..operators.ranking import exact_quantiles
+from ..sources.sinks import at_path
 from ..sources.churn import CATEGORICAL, ID, NUMERIC, TARGET
 
 # Dimensions of the reference's segment churn rates, mapped onto the
@@ -134,6 +135,19 @@ def insight_rows(doc: DataFrame) -> DataFrame:
     return doc.select(F.explode(F.concat(overall, F.flatten(risks), F.flatten(gaps))).alias("r")).select("r.*")
 
 
+def insight_rows_by_path(docs: DataFrame) -> DataFrame:
+    """The rows of ``insight_rows`` from documents read without a schema (``sinks.read_documents``)."""
+    def rows(section, path, items):
+        found = docs.select(F.explode(at_path(path, "map<string,variant>")).alias("name", "doc"))
+        cells = [F.struct(F.lit(item).alias("item"), (at_path(f"$.{item}", "double") if number else F.lit(None).cast("double")).alias("value"),
+                          (at_path(f"$.{text}") if text else F.lit(None).cast("string")).alias("text")) for item, number, text in items]
+        return found.select(F.lit(section).alias("section"), "name", F.explode(F.array(*cells)).alias("c")).select("section", "name", "c.*")
+    overall = docs.select(F.lit("overall").alias("section"), F.lit("all").alias("name"), F.lit("churn_rate").alias("item"),
+                          at_path("$.overall_churn_rate", "double").alias("value"), F.lit(None).cast("string").alias("text"))
+    return overall.union(rows("highest_risk", "$.highest_risk", [("segment", False, "segment"), ("churn_rate", True, "churn_rate_text")])).union(
+        rows("service_gaps", "$.service_gaps", [("rate_no", True, None), ("rate_yes", True, None)]))
+
+
 def impute_from(train: DataFrame, df: DataFrame, column: str) -> DataFrame:
     """Nulls of ``column`` filled with the median over ``train`` only, so that test rows do not shape it."""
     x = F.expr(f"try_cast(`{column}` AS DOUBLE)")

@@ -31,15 +31,27 @@ def rule_scored(spark, sf_dir) -> DataFrame:
     return df.select(ID, "label", ratio("recency_days", top).alias("score"))
 
 
+def _document_folder(spark) -> str:
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark, local_default=True)
+    return f"{base.rstrip('/')}/documents/insights-{uuid.uuid4().hex}"
+
+
+def _insights_by_path(spark, sf_dir) -> DataFrame:
+    """The stored insight document read without a schema, its values taken out by path."""
+    from ..sources import sinks
+    path = _document_folder(spark)
+    sinks.write_json(churn.business_insights(labelled(spark, sf_dir)), path)
+    return churn.insight_rows_by_path(sinks.read_documents(spark, path))
+
+
 def _insights_json(spark, sf_dir) -> DataFrame:
     """The insight document (rates, risks, gaps; no model drivers)
     written as JSON to the shared folder and read back with its schema."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
     from ..sources import sinks
-    base = ensure_checkpoint_dir(spark, local_default=True)
     doc = churn.business_insights(labelled(spark, sf_dir))
-    return churn.insight_rows(sinks.json_roundtrip(doc, f"{base.rstrip('/')}/documents/insights-{uuid.uuid4().hex}"))
+    return churn.insight_rows(sinks.json_roundtrip(doc, _document_folder(spark)))
 
 
 def _best(spark, sf_dir) -> DataFrame:
@@ -63,6 +75,7 @@ QUERIES = {
     "service_gap": lambda s, d: churn.service_gap(labelled(s, d)),
     "churn_rate_overall": lambda s, d: churn.overall_rate(labelled(s, d)),
     "insights_json_roundtrip": lambda s, d: _insights_json(s, d),
+    "insights_by_path": lambda s, d: _insights_by_path(s, d),
     "business_insights": lambda s, d: churn.insight_rows(churn.business_insights(labelled(s, d))),
     "stratified_split": lambda s, d: split.stratified_split(labelled(s, d).select(ID, "label"), "label", ID),
     "stratified_folds": lambda s, d: split.stratified_folds(

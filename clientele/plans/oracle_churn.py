@@ -180,6 +180,7 @@ FROM labels WHERE quality IS NOT NULL GROUP BY quality""",
          row_number() OVER (PARTITION BY label ORDER BY md5(CAST(customer_id AS VARCHAR) || '42'), customer_id) AS pos
   FROM sp WHERE split = 'train')""",
         "insights_json_roundtrip": insights,
+        "insights_by_path": insights,
         "business_insights": insights,
         "churn_features": f"""{w}, {split} SELECT customer_id, sp.label, sp.split, unnest({_features()[1]}) AS feature,
   round(unnest({_features()[0]}), 6) AS value FROM lab JOIN sp USING (customer_id)""",

@@ -77,3 +77,17 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 def json_roundtrip(doc: DataFrame, path: str) -> DataFrame:
     write_json(doc, path)
     return read_json(doc.sparkSession, path, doc.schema)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """S8 without a schema: (file, doc) with each file below ``path`` as one VARIANT; null if it is no JSON.
+
+    Values are taken out by path (``at_path``), whatever document wrote them.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return files.where(F.length("value") > 0).select("file", F.try_parse_json("value").alias("doc"))
+
+
+def at_path(path: str, kind: str = "string", doc: str = "doc"):
+    """The value at ``path`` (``$.a.b[0]``) of a document as ``kind``; null where it is missing or of another kind."""
+    return F.try_variant_get(F.col(doc), path, kind)

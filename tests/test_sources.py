@@ -128,3 +128,13 @@ def test_overview_expands_invoices_not_lines(spark):
     text = plan_of(df)
     above = text[text.index("Expand"):]
     assert above.index("HashAggregate") < above.index("lineitem.parquet")
+
+
+def test_documents_are_read_without_a_schema(spark, tmp_path):
+    texts = {"a.json": '{"x": {"y": [1, {"z": "deep"}]}, "rate": 0.25}', "b.json": '{\n  "rate": "text",\n  "only_here": true\n}', "c.json": "no json", "d.json": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    docs = sinks.read_documents(spark, f"file://{tmp_path}")
+    got = {r["file"].rsplit("/", 1)[1]: tuple(r)[1:] for r in docs.select(
+        "file", sinks.at_path("$.x.y[1].z"), sinks.at_path("$.rate", "double"), sinks.at_path("$.only_here", "boolean")).collect()}
+    assert got == {"a.json": ("deep", 0.25, None), "b.json": (None, None, True), "c.json": (None, None, None)}
