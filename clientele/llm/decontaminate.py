@@ -13,11 +13,14 @@ necessary prefix: its rarest word, by counts over the whole corpus.
    place) and compare the window with the words there.
 4. Merge the hit ranges of each document; add up its items.
 
-The joins of steps 1 and 3 broadcast the benchmark's side in blocks of at most
-``BLOCK_ROWS`` rows: the corpus is not shuffled, only verified hits are.  A
-larger benchmark means more blocks, not a larger broadcast.
+The joins of steps 1 and 3 broadcast the benchmark's side if it is counted to
+have at most ``BLOCK_ROWS`` rows: the corpus is not shuffled, only verified hits
+are.  A larger benchmark is joined by shuffles, in which a word travels with
+its neighbours instead of its text; the number of passes over the corpus is
+the same for any benchmark.
 
 Defined results: null and empty texts have no words and are not contaminated;
+very long texts are searched whole; empty tables give no rows, or no hits;
 items without a word have no window; rows of documents are keyed by id and
 text, so repeated rows repeat their result; null ids are ids like any other;
 items without an id count as one item in n_items and are left out of the item
@@ -42,17 +45,8 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def _blocks(small: DataFrame, key: str) -> list[DataFrame]:
-    """The rows of ``small`` in parts of about BLOCK_ROWS, no key in two of them."""
-    n = -(-max(1, small.count()) // BLOCK_ROWS)
-    return [small.where(F.pmod(F.hash(key), F.lit(n)) == i) for i in range(n)]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+def _small(df: DataFrame) -> bool:
+    return df.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS
 
 
 def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -72,21 +66,28 @@ def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     tokens = docs.select("id", "text_key", words(F.col("text")).alias("w"))
     vocabulary = checkpointed(windows.select(F.explode("words").alias("word")).distinct())
     spoken = tokens.select(F.explode("w").alias("word"))
-    counted = _union([spoken.join(F.broadcast(part), "word").groupBy("word").agg(F.count("*").alias("n"))
-                      for part in _blocks(vocabulary, "word")])
+    if _small(vocabulary):
+        spoken = spoken.join(F.broadcast(vocabulary), "word")
+    counted = spoken.groupBy("word").agg(F.count("*").alias("n"))
     rarity = checkpointed(vocabulary.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")))
     index = checkpointed(
         windows.select("window_key", "words", F.posexplode("words").alias("place", "word")).join(rarity, "word")
         .groupBy("window_key").agg(F.min(F.struct("n", "word", "place")).alias("rarest"), F.first("words").alias("words"))
         .where("rarest.n > 0").select("window_key", "words", F.col("rarest.word").alias("word"), F.col("rarest.place").alias("place")))
-    placed = tokens.where(F.size("w") > 0).select("id", "text_key", "w", F.posexplode("w").alias("at", "word"))
     start, length = F.col("at") - F.col("place"), F.size("words")
-    return _union([
-        placed.join(F.broadcast(part), "word")
-        .where((start >= 0) & (start + length <= F.size("w")))
-        .where(F.slice("w", start + 1, length) == F.col("words"))
-        .select("id", "text_key", start.alias("start"), (start + length).alias("stop"), "window_key")
-        for part in _blocks(index, "word")])
+    if _small(index):
+        placed = tokens.where(F.size("w") > 0).select("id", "text_key", "w", F.posexplode("w").alias("at", "word"))
+        found = placed.join(F.broadcast(index), "word").where((start >= 0) & (start + length <= F.size("w"))).where(
+            F.slice("w", start + 1, length) == F.col("words"))
+    else:
+        # A word travels with its neighbours on both sides, all that any window around it can hold, not with its text.
+        reach = index.agg(F.max(F.size("words")).alias("n")).first()["n"] or 1
+        placed = tokens.where(F.size("w") > 0).select("id", "text_key", "w", F.posexplode("w").alias("at", "word")).select(
+            "id", "text_key", "word", "at", F.greatest(F.col("at") - reach + 1, F.lit(0)).alias("from"), F.size("w").alias("n"),
+            F.slice("w", F.greatest(F.col("at") - reach + 2, F.lit(1)), 2 * reach).alias("near"))
+        found = placed.join(index, "word").where((start >= 0) & (start + length <= F.col("n"))).where(
+            F.slice("near", start - F.col("from") + 1, length) == F.col("words"))
+    return found.select("id", "text_key", start.alias("start"), (start + length).alias("stop"), "window_key")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -138,6 +138,24 @@ def test_decontamination_empty_tables(spark, awkward, empty):
     assert decontaminate.drop_contaminated(awkward, no_items).count() == awkward.count()
 
 
+def test_corpus_passes_do_not_grow_with_the_benchmark(spark, monkeypatch):
+    docs = common.table(spark, SMOKE_DIR, "documents")
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(14))) for i in range(30)] + [
+        (99, docs.where("text is not null").first()["text"][:400])], "item_id long, text string")
+
+    def scans(block):
+        monkeypatch.setattr(decontaminate, "BLOCK_ROWS", block)
+        out = decontaminate.contamination(docs, items)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+        return plan.count("Scan parquet"), out.where("contaminated").select("doc_id", "n_hit", "n_items").orderBy("doc_id").collect()
+    few, hits = scans(200_000)
+    for block in (150, 7):
+        n, found = scans(block)
+        assert n == few and found == hits
+    assert hits
+
+
 def test_decontamination_is_native(spark, awkward):
     bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
     plan = decontaminate.contamination(awkward, bench)._jdf.queryExecution().executedPlan().toString()
