@@ -35,14 +35,18 @@ from .common import checkpointed, lower_ascii, pick
 
 # Bytes that separate words, in lower-cased and in original text.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 # Rows of the benchmark's side that one join may broadcast (a row is a word or a window: below 64 MB).
 BLOCK_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+
+
+def n_words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS_ANY_CASE), ""))
 
 
 def _small(df: DataFrame) -> bool:
@@ -109,7 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                               F.greatest(a["stop"], s["stop"]).alias("stop")),
         lambda a: a["sum"])
     found = found.select(F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key"), covered.alias("n_hit"), "items", "unnamed")
-    sized = rows.select("id", "text_key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("n_words"))
+    sized = rows.select("id", "text_key", n_words(F.col("text")).alias("n_words"))
     out = sized.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
     none = F.array().cast("array<string>")
     return out.select(
