@@ -32,23 +32,24 @@ def churn_customers(spark: SparkSession, sf_dir: str, horizon_days: int = HORIZO
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     cut = orders.agg(F.max("o_orderdate") - F.make_interval(days=F.lit(horizon_days))).scalar()
     flagged = orders.withColumn("_before", F.col("o_orderdate") <= cut)
-    per = flagged.groupBy("o_custkey").agg(
+    # One aggregate per (customer, priority), folded per customer; the second shuffle moves a few rows a customer.
+    count = F.col("_n") > 0
+    per = flagged.groupBy("o_custkey", "o_orderpriority").agg(
         F.min(F.when(F.col("_before"), F.col("o_orderdate"))).alias("_first"),
         F.max(F.when(F.col("_before"), F.col("o_orderdate"))).alias("_last"),
-        F.count_if("_before").alias("n_orders"),
+        F.count_if("_before").alias("_n"),
         F.sum(F.when(F.col("_before"), F.col("o_totalprice").cast("decimal(14,2)"))).alias("_spend"),
-        F.bool_or(~F.col("_before")).alias("_after"))
-    # Dominant priority before the cut: most orders, then the smallest name.
-    prio = (flagged.where("_before").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("_c"))
-            .groupBy("o_custkey").agg(F.min_by("o_orderpriority", F.struct(-F.col("_c"), F.col("o_orderpriority")))
-                                      .alias("priority")))
+        F.bool_or(~F.col("_before")).alias("_after")).groupBy("o_custkey").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_n").alias("n_orders"),
+        F.sum("_spend").alias("_spend"), F.bool_or("_after").alias("_after"),
+        # Dominant priority before the cut: most orders, then the smallest name.
+        F.min_by("o_orderpriority", F.when(count, F.struct(-F.col("_n"), F.col("o_orderpriority")))).alias("priority"))
     region = (table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
               .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
               .select("n_nationkey", "r_name"))
     cust = (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
             .join(region, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
-    base = (per.where(F.col("n_orders") > 0).join(prio, "o_custkey", "left")
-            .join(cust, F.col("o_custkey") == F.col("c_custkey")))
+    base = per.where(F.col("n_orders") > 0).join(cust, F.col("o_custkey") == F.col("c_custkey"))
     tenure = elapsed_days("_first", cut)
     return base.select(
         F.col("o_custkey").alias(ID),
