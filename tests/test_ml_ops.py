@@ -3,12 +3,14 @@ import math
 import random
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from clientele.operators import metrics, split
+from clientele.operators import metrics, neighbours, split
 from clientele.operators.smote import nearest_neighbours, smote
 
 
@@ -121,6 +123,37 @@ def test_knn_with_many_copies_is_exact(spark):
     check_knn(pts, got, 5)
 
 
+def _plain_neighbours(pts, k):
+    out = {}
+    for i, x in pts:
+        near = sorted((fold_dist(x, y), j) for j, y in pts if j != i)[:k]
+        out[i] = [j for _, j in near]
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 7, 400])
+def test_neighbours_in_small_pieces_are_exact(spark, monkeypatch, n):
+    """Regions cut into pieces, visitors into blocks, a tree from few points: the result stays that of all pairs."""
+    for name, value in {"PIECE_POINTS": 40, "VISIT_BLOCK": 30, "SAMPLE_POINTS": 100, "MAX_REGIONS": 3}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rnd = random.Random(17)
+    pts = [(i, [rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.random()]) for i in range(n)]
+    got = {}
+    for r in neighbours.distinct_neighbours(spark.createDataFrame(pts, "id long, x array<double>"), 3, 5).collect():
+        got.setdefault(r.qid, []).append((r.nbr_rank, r.nbr_id))
+    want = _plain_neighbours(pts, 5)
+    assert {i: [j for _, j in sorted(got.get(i, []))] for i, _ in pts} == want
+
+
+def test_neighbour_search_does_not_grow_with_the_table(spark, monkeypatch):
+    """Candidates per point stay flat beyond the largest number of regions."""
+    monkeypatch.setattr(neighbours, "MAX_REGIONS", 4)
+    rng = np.random.default_rng(3)
+    made = [neighbours.candidates_per_point(spark.createDataFrame(
+        pd.DataFrame({"id": np.arange(n), "x": list(rng.normal(size=(n, 3)))}), "id long, x array<double>"), 3) for n in (2000, 16000)]
+    assert made[1] < 1.25 * made[0]
+
+
 def test_smote_balances_and_interpolates(spark):
     rnd = random.Random(5)
     rows = [(i, 1.0 if i < 30 else 0.0, Vectors.dense([rnd.random() + (3 if i < 30 else 0), rnd.random()]))
