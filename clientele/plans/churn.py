@@ -36,12 +36,19 @@ def impute_median(df: DataFrame, column: str) -> DataFrame:
     return base.withColumn(column, F.coalesce(F.col(column), med))
 
 
-def categorical_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+# Levels of all categorical columns together: each becomes a column, so a longer list is an id, not a category.
+MAX_LEVELS = 10_000
+
+
+def categorical_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
     """Sorted distinct levels per categorical column, from one distinct over
-    (column, level) rows; only the level names reach the driver."""
+    (column, level) rows; only the level names reach the driver, at most
+    ``max_levels`` of them (more raise a ValueError)."""
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("level"))
                       for i, c in enumerate(columns)])
-    found = df.select(F.explode(cells).alias("c")).select("c.*").where("level IS NOT NULL").distinct().collect()
+    found = df.select(F.explode(cells).alias("c")).select("c.*").where("level IS NOT NULL").distinct().limit(max_levels + 1).collect()
+    if len(found) > max_levels:
+        raise ValueError(f"more than {max_levels} levels in {', '.join(columns)}: not categories")
     return {c: sorted(r["level"] for r in found if r["i"] == i) for i, c in enumerate(columns)}
 
 

@@ -130,6 +130,20 @@ FROM (VALUES {vals}) v(band_ord, band) LEFT JOIN b ON b.band_ord = v.band_ord, t
 GROUP BY v.band_ord, v.band"""
 
 
+def _column_type(position: int, column: str, declared: str, kind: str) -> str:
+    """One row of ``dq_schema``; text columns (no ``kind``) are judged by the casts they survive."""
+    if not kind:
+        plain = f"regexp_full_match(trim({column}), '[-+0-9.eE]+')"
+        kind_of = (f"CASE WHEN bool_and(regexp_full_match(trim({column}), '[-+]?[0-9]+')) THEN 'integer' "
+                   f"WHEN bool_and({plain} AND TRY_CAST({column} AS DOUBLE) IS NOT NULL) THEN 'number' "
+                   f"WHEN bool_and(TRY_CAST({column} AS TIMESTAMP) IS NOT NULL) THEN 'timestamp' ELSE 'text' END")
+    else:
+        kind_of = f"'{kind}'"
+    return (f"SELECT CAST({position} AS INTEGER) AS position, '{column}' AS column_name, '{declared}' AS data_type, "
+            f"CASE WHEN count({column}) > 0 THEN {kind_of} END AS value_type, count({column}) AS value_count FROM "
+            f"(SELECT {column} FROM tx_raw)" + (f" WHERE {column} IS NOT NULL" if not kind else ""))
+
+
 def _sql() -> dict[str, str]:
     seg_ord = "CASE rfm_segment " + " ".join(f"WHEN '{s}' THEN {i + 1}" for i, s in enumerate(SEGMENTS)) + " END"
     seg_lbl = "CASE rfm_segment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_LABELS.items()) + \
@@ -169,6 +183,10 @@ def _sql() -> dict[str, str]:
         "dq_overview": f"""WITH {TX_RAW} SELECT count(*) AS row_count, CAST(8 AS BIGINT) AS column_count,
   count(DISTINCT customer_id) AS customers, count(DISTINCT stock_code) AS products, count(DISTINCT invoice) AS orders,
   count(DISTINCT country) AS countries, min(invoice_date) AS first_date, max(invoice_date) AS last_date FROM tx_raw""",
+        "dq_schema": f"WITH {TX_RAW} " + " UNION ALL ".join(_column_type(i, *c) for i, c in enumerate([
+            ("invoice", "string", ""), ("stock_code", "string", ""), ("description", "string", ""), ("quantity", "int", "integer"),
+            ("invoice_date", "timestamp_ntz", "timestamp"), ("price", "decimal(12,2)", "number"), ("customer_id", "bigint", "integer"),
+            ("country", "string", "")], 1)),
         "dq_nulls": f"""WITH {TX_RAW}, p AS ({null_parts})
 SELECT position, column_name, null_count, {pct('null_count', 'n', 2)} AS null_pct FROM p""",
         "dq_rule_counts": f"""WITH {TX_RAW}, c AS (

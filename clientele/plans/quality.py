@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import pct_rounded, ratio, year_month
 from ..operators.ranking import global_rank
@@ -53,25 +54,53 @@ def with_date_parts(df: DataFrame, ts: str = "invoice_date") -> DataFrame:
 def overview(raw: DataFrame) -> DataFrame:
     """Rows, columns, exact distinct customers/products/orders/countries, time range.
 
-    Lines are first reduced to invoices (and, on their own branch, to
-    products); the distinct counts run on those smaller tables."""
-    invoices = raw.groupBy("invoice", "customer_id", "country").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("invoice_date").alias("first"), F.max("invoice_date").alias("last"))
-    products = raw.select("stock_code").where("stock_code IS NOT NULL").distinct().agg(F.count(F.lit(1))).scalar()
-    return invoices.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("row_count"),
+    One pass over the lines: grouping sets reduce them to invoices and to
+    products; the distinct counts run on those smaller rows."""
+    groups = raw.groupingSets([["invoice", "customer_id", "country"], ["stock_code"]], "invoice", "customer_id", "country", "stock_code").agg(
+        F.grouping("invoice").alias("is_product"), F.count(F.lit(1)).alias("rows"),
+        F.min("invoice_date").alias("first"), F.max("invoice_date").alias("last"))
+    return groups.agg(
+        F.coalesce(F.sum(F.when(F.col("is_product") == 0, F.col("rows"))), F.lit(0)).cast("long").alias("row_count"),
         F.lit(len(raw.columns)).cast("long").alias("column_count"),
         F.count_distinct("customer_id").alias("customers"),
         F.count_distinct("invoice").alias("orders"),
         F.count_distinct("country").alias("countries"),
         F.min("first").alias("first_date"),
-        F.max("last").alias("last_date")).select("*", products.alias("products"))
+        F.max("last").alias("last_date"),
+        F.count_if((F.col("is_product") == 1) & F.col("stock_code").isNotNull()).alias("products"))
 
 
-def schema_listing(df: DataFrame) -> DataFrame:
-    """Column name and type, in table order."""
-    rows = [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, data_type string")
+# What the values of a text column look like, narrowest first.
+TEXT_KINDS = [
+    ("integer", r"^\s*[+-]?[0-9]+\s*$"),
+    ("number", r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"),
+    ("timestamp", r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?\s*$"),
+]
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """Declared type of every column, in table order, and the type its values have.
+
+    ``value_type`` is the narrowest of integer, number, timestamp and text that all non-null values of a text column
+    fit (null without values): a column of a CSV file that was read as text shows what it holds.  Other columns show
+    the kind of their declared type.  One aggregate over the table.
+    """
+    aggs, cells = [], []
+    for i, f in enumerate(df.schema.fields):
+        x = F.col(f"`{f.name}`")
+        aggs.append(F.count(x).alias(f"_n{i}"))
+        if isinstance(f.dataType, T.StringType):
+            kind = F.lit("text")
+            for j, (name, pattern) in reversed(list(enumerate(TEXT_KINDS))):
+                aggs.append(F.count_if(x.rlike(pattern)).alias(f"_k{i}_{j}"))
+                kind = F.when(F.col(f"_k{i}_{j}") == F.col(f"_n{i}"), name).otherwise(kind)
+        else:
+            kind = F.lit("integer" if isinstance(f.dataType, T.IntegralType) else "number" if isinstance(f.dataType, T.NumericType)
+                         else "timestamp" if isinstance(f.dataType, T.DatetimeType | T.TimestampNTZType) else f.dataType.simpleString())
+        cells.append(F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"),
+                              F.lit(f.dataType.simpleString()).alias("data_type"),
+                              F.when(F.col(f"_n{i}") > 0, kind).alias("value_type"), F.col(f"_n{i}").alias("value_count")))
+    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -121,7 +121,7 @@ QUERIES = {
     "date_parts": lambda s, d: quality.with_date_parts(clean(s, d)).select(
         "invoice", "invoice_date", "year", "month", "week", "day", "year_month"),
     "dq_overview": lambda s, d: quality.overview(raw(s, d)),
-    "dq_schema": lambda s, d: quality.schema_listing(raw(s, d)),
+    "dq_schema": lambda s, d: quality.column_types(raw(s, d)),
     "dq_nulls": lambda s, d: quality.null_counts(raw(s, d)),
     "dq_rule_counts": lambda s, d: quality.rule_counts(raw(s, d, _BASE)),
     "cleaning_waterfall": lambda s, d: quality.cleaning_waterfall(raw(s, d, _BASE)),
@@ -140,13 +140,13 @@ QUERIES = {
     "ltv_histogram": lambda s, d: users.ltv_histogram(user_table(s, d)),
     # months
     "monthly_user_stats": monthly_table,
-    "monthly_kpi_summary": lambda s, d: monthly.monthly_kpi_summary(monthly_table(s, d)),
-    "best_worst_month": lambda s, d: monthly.best_worst_month(monthly_table(s, d)),
+    "monthly_kpi_summary": lambda s, d: monthly.monthly_kpi_summary(stored_months(s, d)),
+    "best_worst_month": lambda s, d: monthly.best_worst_month(stored_months(s, d)),
     "monthly_line_averages": lambda s, d: monthly.monthly_line_averages(clean(s, d)),
     "monthly_repeat_rate": lambda s, d: monthly.monthly_repeat_rate(clean(s, d)),
-    "revenue_per_new_user": lambda s, d: monthly.revenue_per_new_user(monthly_table(s, d)),
-    "revenue_moving_avg": lambda s, d: monthly.revenue_moving_avg(monthly_table(s, d)),
-    "revenue_mom": lambda s, d: monthly.revenue_mom(monthly_table(s, d)),
+    "revenue_per_new_user": lambda s, d: monthly.revenue_per_new_user(stored_months(s, d)),
+    "revenue_moving_avg": lambda s, d: monthly.revenue_moving_avg(stored_months(s, d)),
+    "revenue_mom": lambda s, d: monthly.revenue_mom(stored_months(s, d)),
     # RFM
     "rfm_scores": lambda s, d: rfm.rfm_scores(rfm.rfm_table(user_table(s, d))),
     "rfm_segments": lambda s, d: segments(s, d).select("customer_id", "recency", "frequency", "monetary",

@@ -1,9 +1,10 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from clientele.plans import cohort, quality, rfm, strategy, users
+from clientele.plans import churn, cohort, quality, rfm, strategy, users
 from clientele.sources.retail import TRANSACTION_SCHEMA
 
 
@@ -123,3 +124,31 @@ def test_golden_month1_retention(spark):
     mean1 = cohort.retention_curve(ret).where("period_index = 1").first().avg_retention
     zero1 = cohort.retention_zero_filled(ret).where("period_index = 1").first().avg_retention_zero_filled
     assert round(mean1, 1) == 20.5 and round(zero1, 1) == 18.9
+
+
+def test_column_types_read_the_values(spark):
+    rows = [("1", "1.5", "2010-01-01", "x", None, 1.0), (" -2 ", "3", "2010-01-01 10:00:00", "1", None, None), (None, "1e3", None, None, None, 2.0)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, `d e` string, f string, g double")
+    got = {r.column_name: (r.position, r.data_type, r.value_type, r.value_count) for r in quality.column_types(df).collect()}
+    assert got == {"a": (1, "string", "integer", 2), "b": (2, "string", "number", 3), "c": (3, "string", "timestamp", 2),
+                   "d e": (4, "string", "text", 2), "f": (5, "string", None, 0), "g": (6, "double", "number", 2)}
+    assert {r.value_type for r in quality.column_types(df.where("false")).collect()} == {None}
+
+
+def test_overview_ignores_nulls_and_takes_an_empty_table(spark):
+    rows = [("1", "a", "x", 2, ts("2010-01-01 10:00:00"), Decimal("1.00"), 1, "UK"),
+            ("1", "b", "x", 2, ts("2010-01-02 10:00:00"), Decimal("1.00"), None, None),
+            (None, None, "x", 2, None, Decimal("1.00"), 1, "FR"),
+            ("2", "a", "x", 2, ts("2010-01-03 10:00:00"), Decimal("1.00"), 2, "UK")]
+    r = quality.overview(tx(spark, rows)).first()
+    assert (r.row_count, r.customers, r.orders, r.countries, r.products) == (4, 2, 2, 2, 2)
+    assert (r.first_date, r.last_date) == (ts("2010-01-01 10:00:00"), ts("2010-01-03 10:00:00"))
+    empty = quality.overview(tx(spark, [])).first()
+    assert (empty.row_count, empty.products, empty.first_date) == (0, 0, None)
+
+
+def test_categorical_levels_are_bounded(spark):
+    df = spark.createDataFrame([(str(i % 7), "x") for i in range(50)], "a string, b string")
+    assert churn.categorical_levels(df, ["a", "b"], max_levels=8) == {"a": list("0123456"), "b": ["x"]}
+    with pytest.raises(ValueError):
+        churn.categorical_levels(df, ["a", "b"], max_levels=7)
