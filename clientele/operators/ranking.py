@@ -20,7 +20,7 @@ assignment even when the input arrives in shuffle order.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,7 +90,8 @@ ACCURACY = 100_000
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float], *,
-                    num_partitions: int | None = None, accuracy: int = ACCURACY) -> DataFrame:
+                    num_partitions: int | None = None, accuracy: int = ACCURACY,
+                    ranks: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """One row with one struct column ``quantiles`` holding a DOUBLE field
     per entry of ``probs`` (use ``.scalar().getField(name)``): the exact,
     linearly interpolated quantile (``percentile`` / ``quantile_cont``).
@@ -103,6 +104,10 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, floa
     counts the rows below that bracket and the distinct values inside it —
     0.02 % of a large table at most — and the order statistics are read off
     their running counts.  ``num_partitions`` spreads the input's scan, if given.
+
+    ``ranks`` names entries that are order statistics instead: a function from
+    the number of values to a 0-based rank at most two rows away from ``h``
+    (a rank past the last value gives null).
     """
     v = F.col(value) if isinstance(value, str) else value
     xs = df.select(v.cast("double").alias("_x")).where(F.col("_x").isNotNull())
@@ -126,7 +131,11 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, floa
     # The null key counts everything below the bracket.
     counted = cells.groupBy("i", "p", "_n", F.when(F.col("_x") >= F.col("lo"), F.col("_x")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy("i").orderBy(F.col("k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    at = (counted.withColumn("stop", F.sum("c").over(upto)).withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
+    h = (F.col("_n") - 1).cast("double") * F.col("p")
+    for i, name in enumerate(names):
+        if ranks and name in ranks:
+            h = F.when(F.col("i") == i, ranks[name](F.col("_n")).cast("double")).otherwise(h)
+    at = (counted.withColumn("stop", F.sum("c").over(upto)).withColumn("_h", h)
           .withColumn("r0", F.floor("_h").cast("long")).withColumn("r1", F.least(F.col("r0") + 1, F.col("_n") - 1)))
 
     def holds(rank: str) -> Column:

@@ -77,17 +77,22 @@ def pareto_curve(users: DataFrame, num_partitions: int | None = None) -> DataFra
                          (ratio("cum_revenue", tot.getField("r")) * 100).alias("cum_revenue_pct"))
 
 
-def top20_share(users: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Revenue share of the ``floor(n/5)`` biggest spenders."""
-    tot = users.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("total_revenue").alias("r")).alias("t")).scalar()
-    k = F.floor(tot.getField("n") / 5)
-    ranked = global_rank(users.select("customer_id", "total_revenue"),
-                         [F.col("total_revenue").desc(), F.col("customer_id").asc()], rank_col="_rk",
-                         num_partitions=num_partitions)
-    top = ranked.agg(F.coalesce(F.sum(F.when(F.col("_rk") <= k, F.col("total_revenue"))), F.lit(0)).alias("top_rev"))
-    return top.select(tot.getField("n").alias("users"), k.cast("long").alias("top_users"),
-                      F.col("top_rev").cast("double").alias("top_revenue"),
-                      (ratio("top_rev", tot.getField("r")) * 100).alias("top_share_pct"))
+def top20_share(users: DataFrame) -> DataFrame:
+    """Revenue share of the ``floor(n/5)`` biggest spenders.
+
+    No ranking: with the smallest revenue among them, ``t``, their sum is all revenue above ``t`` and as many times
+    ``t`` as there are places left, whichever of the customers at ``t`` take them."""
+    def top_users(n):
+        return F.floor(n / 5)
+    smallest = exact_quantiles(users, "total_revenue", {"t": 0.8}, ranks={"t": lambda n: n - top_users(n)}).scalar().getField("t")
+    revenue, as_double = F.col("total_revenue"), F.col("total_revenue").cast("double")
+    one = users.select(revenue, as_double.alias("_x"), smallest.alias("_t")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_revenue").alias("r"), F.count_if(F.col("_x") > F.col("_t")).alias("above"),
+        F.sum(F.when(F.col("_x") > F.col("_t"), revenue)).alias("above_rev"), F.max(F.when(F.col("_x") == F.col("_t"), revenue)).alias("t"))
+    k = top_users(F.col("n"))
+    top = one.withColumn("top_rev", F.when(k > 0, F.coalesce("above_rev", F.lit(0)) + (k - F.col("above")) * F.col("t")).otherwise(0))
+    return top.select(F.col("n").alias("users"), k.cast("long").alias("top_users"), F.col("top_rev").cast("double").alias("top_revenue"),
+                      (ratio("top_rev", "r") * 100).alias("top_share_pct"))
 
 
 def half_flags(clean: DataFrame, cut: Column) -> DataFrame:

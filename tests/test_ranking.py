@@ -53,3 +53,13 @@ def test_exact_quantiles_with_a_coarse_sketch(spark, accuracy):
     got = exact_quantiles(df, "x", probs, accuracy=accuracy).first()["quantiles"]
     for k, p in probs.items():
         assert got[k] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 20_000])
+def test_order_statistics_by_rank(spark, n):
+    vals = sorted(np.random.default_rng(n).lognormal(1, 2, n).round(1))
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = exact_quantiles(df, "x", {"a": 0.8, "m": 0.5}, accuracy=1000, ranks={"a": lambda c: c - F.floor(c / 5)}).first()["quantiles"]
+    at = n - n // 5
+    assert got["a"] == (vals[at] if at < n else None)
+    assert got["m"] == pytest.approx(float(np.percentile(vals, 50)))

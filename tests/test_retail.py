@@ -152,3 +152,14 @@ def test_categorical_levels_are_bounded(spark):
     assert churn.categorical_levels(df, ["a", "b"], max_levels=8) == {"a": list("0123456"), "b": ["x"]}
     with pytest.raises(ValueError):
         churn.categorical_levels(df, ["a", "b"], max_levels=7)
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 9, 13, 997])
+def test_top_share_equals_a_sort(spark, n):
+    values = [Decimal((i * 37) % 11 * 100 + (i % 3 == 0) * 50) / 100 for i in range(n)]
+    users_df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "customer_id long, total_revenue decimal(32,2)")
+    got = strategy.top20_share(users_df).first()
+    top = sum(sorted(values, reverse=True)[:n // 5])
+    assert (got.users, got.top_users) == (n, n // 5)
+    assert got.top_revenue == pytest.approx(float(top))
+    assert got.top_share_pct == (pytest.approx(float(top / sum(values) * 100)) if sum(values) else None)
