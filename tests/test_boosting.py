@@ -172,3 +172,26 @@ def test_a_single_class_and_tiny_tables_grow_no_split(spark):
     models = G.train(B.to_blocks(df), [HIST])
     assert all(len(m.feature) == HIST.rounds and (m.feature < 0).all() for m in models.values())
     assert models[0, "hist"].probability(np.zeros((2, 1))).tolist() == [0.5, 0.5]
+
+
+def test_passes_use_all_cores_and_give_the_same_trees(spark, fitted, monkeypatch):
+    data, blocks, models, _ = fitted
+    rows = sum(len(y) for _, y in data.values())
+    seen = []
+    make = G._state
+
+    def state(blocks, edges, partitions):
+        seen.append(partitions)
+        return make(blocks, edges, partitions)
+    monkeypatch.setattr(G, "_state", state)
+    monkeypatch.setattr(G, "FIT_ROWS", 260)  # one fit set in passes, the other in tasks of its own
+    monkeypatch.setattr(G, "LEAST_ROWS", 64)
+    monkeypatch.setattr(G, "SLICE_ROWS", 16)
+    again = G.train(blocks, [HIST, NEWTON])
+    monkeypatch.setattr(G, "DIRECT_PARTITIONS", 1)  # sums added up in executors
+    monkeypatch.setattr(G, "FIT_ROWS", 0)
+    summed = G.train(blocks, [HIST, NEWTON])
+    assert seen == [min(spark.sparkContext.defaultParallelism, math.ceil(n / 64)) for n in (500, rows)] and seen[0] > 1
+    for other in (again, summed):
+        for k, m in models.items():
+            assert all(np.array_equal(getattr(m, c), getattr(other[k], c)) for c in ("feature", "threshold", "value", "cover"))
