@@ -7,10 +7,8 @@ languages, not by the data).  The n-grams are runs of 1 to 4 characters of the
 text with ASCII letters lower-cased and everything that is not a letter
 reduced to one blank.
 
-Training reads at most about ``sample_per_lang`` documents of each language
-(a documented bound: the sample is drawn by a hash of doc_id, at a rate set by
-the language's own count, so rare languages are kept whole).  Counts are
-summed in Spark; only the finished matrix reaches the driver.
+Training counts the n-grams of all labelled documents.  Counts are summed in
+Spark; only the finished matrix reaches the driver.
 
 Scoring is one pass without a shuffle: the n-gram buckets of a batch of texts
 form a sparse row matrix (indices and row pointers), which is multiplied with
@@ -31,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, hash_stream, mix64, utf8_buffers
+from .common import U64, hash_stream, mix64, utf8_buffers
 
 ORDERS = (1, 2, 3, 4)
 UNDETERMINED = "und"
-# Rows of the per-language counts up to which they are broadcast (a few MB).
-MAX_BROADCAST_LANGS = 100_000
+# Languages whose counts a training task holds at once (0.5 MB each).
+HELD_LANGS = 64
 _PIECE = 1 << 18  # bytes decoded, and code points whose n-grams are held at once
 
 
@@ -154,46 +152,43 @@ def _row_sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sample(docs: DataFrame, where: Column | None, text_col: str, lang_col: str, id_col: str, per_lang: int) -> DataFrame:
-    """(lang, text) of about ``per_lang`` labelled rows of each language, drawn by a hash of the id."""
+def _labelled(docs: DataFrame, where: Column | None, text_col: str, lang_col: str, id_col: str) -> DataFrame:
+    """(lang, text) of all rows with text, id and language (and ``where``)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                        (F.lit(True) if where is None else where).alias("use"))
-    rows = rows.where("use and text is not null and lang is not null and id is not null")
-    counts = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n")))
-    if counts.count() <= MAX_BROADCAST_LANGS:
-        counts = F.broadcast(counts)
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language-sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(counts, "lang").where(draw * F.col("n") < per_lang).select("lang", "text")
+    return rows.where("use and text is not null and lang is not null and id is not null").select("lang", "text")
 
 
 def train(docs: DataFrame, where: Column | None = None, text_col: str = "text", lang_col: str = "lang",
-          id_col: str = "doc_id", sample_per_lang: int = 1500, bits: int = 16, alpha: float = 0.5) -> LanguageModel:
-    """Fit on rows of ``docs`` with text, id and language (and ``where``, if given).
-
-    ``sample_per_lang`` bounds the expected number of documents read per language.
-    """
-    sample = _sample(docs, where, text_col, lang_col, id_col, sample_per_lang)
-
+          id_col: str = "doc_id", bits: int = 16, alpha: float = 0.5) -> LanguageModel:
+    """Fit on all rows of ``docs`` with text, id and language (and ``where``, if given)."""
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        docs_seen: dict[str, int] = {}
+
+        def cells():
+            for lang, own in totals.items():
+                used = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1)), pa.array(np.append(used, -1)),
+                                                  pa.array(np.append(own[used], 0))], names=["lang", "bucket", "n"])
+            totals.clear()
         for batch in batches:
-            names = np.array(batch.column("lang").to_pylist(), object)
+            names, code = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
+            code = code.astype(np.uint16 if len(names) < 1 << 16 else np.int64)  # small numbers sort by radix
             cp, first = _prepare(batch.column("text"))
-            for lang in np.unique(names):
-                own = totals.setdefault(lang, np.zeros(1 << bits, np.int64))
-                docs_seen[lang] = docs_seen.get(lang, 0) + int((names == lang).sum())
             for rows_, ptr, bucket in _gram_rows(cp, first, bits):
-                for r, row in enumerate(rows_):
-                    own = totals[names[row]]
-                    own += np.bincount(bucket[ptr[r]:ptr[r + 1]], minlength=1 << bits)
-        for lang, own in totals.items():
-            used = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1)), pa.array(np.append(used, -1)),
-                                              pa.array(np.append(own[used], docs_seen[lang]))],
-                                             names=["lang", "bucket", "n"])
-
-    summed = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(
+                own = np.repeat(code[rows_], np.diff(ptr))
+                order = np.argsort(own, kind="stable")
+                present, at = np.unique(own[order], return_index=True)
+                for k, part in zip(present, np.split(bucket[order], at[1:])):
+                    totals[names[k]] = totals.get(names[k], 0) + np.bincount(part, minlength=1 << bits)
+            for lang in names:  # languages without an n-gram are learned, too
+                totals.setdefault(lang, np.zeros(1 << bits, np.int64))
+            if len(totals) > HELD_LANGS:
+                yield from cells()
+        yield from cells()
+
+    rows = _labelled(docs, where, text_col, lang_col, id_col)
+    summed = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(
         F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
     counts_of = {}
     # Bounded by languages x buckets, whatever the size of the corpus.
@@ -203,12 +198,10 @@ def train(docs: DataFrame, where: Column | None = None, text_col: str = "text",
         counts_of[row["lang"]] = dense
     langs = sorted(counts_of)
     log_prob = np.zeros((1 << bits, len(langs)), np.float32)
-    prior = np.zeros(len(langs))
     for j, lang in enumerate(langs):
         cells = counts_of[lang][:-1] + alpha
         log_prob[:, j] = np.log(cells / cells.sum())
-        prior[j] = counts_of[lang][-1]
-    # Flat prior: the sampling rate differs by language on purpose.
+    # Flat prior: how many documents a language has says nothing about a text.
     return LanguageModel(langs, log_prob, np.zeros(len(langs)), bits)
 
 
@@ -227,15 +220,16 @@ def n_grams(chars: np.ndarray) -> np.ndarray:
 
 
 def fit_floor(docs: DataFrame, model: LanguageModel, where: Column | None = None, text_col: str = "text", lang_col: str = "lang",
-              id_col: str = "doc_id", sample_per_lang: int = 1500, quantile: float = 0.001, slack: float = 1.4) -> float:
+              id_col: str = "doc_id", quantile: float = 0.001, slack: float = 1.4) -> float:
     """Least mean log-probability per n-gram of a text in a learned language.
 
-    The lowest ``quantile`` of the training sample, times ``slack``: letters and letter sequences that no learned
+    The lowest ``quantile`` of all training rows, times ``slack``: letters and letter sequences that no learned
     language has are far below it at any length, short texts of common letters are not.
     """
-    sample = _sample(docs, where, text_col, lang_col, id_col, sample_per_lang)
-    found = predict(sample.select("text"), model, keep=[], fit_col="fit").where(F.col("lang_pred") != UNDETERMINED)
-    low = found.agg(F.percentile_approx("fit", quantile, 10_000)).first()[0]
+    rows = _labelled(docs, where, text_col, lang_col, id_col)
+    found = predict(rows.select("text"), model, keep=[], fit_col="fit").where(F.col("lang_pred") != UNDETERMINED)
+    # Off by at most a millionth of the rows in rank; exact up to a million rows.
+    low = found.agg(F.percentile_approx("fit", quantile, 1_000_000)).first()[0]
     return slack * low if low is not None else float("-inf")
 
 

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from clientele.llm import (common, decontaminate, fingerprint, language_id, pack_tokens, toxicity, toxicity_model)
 from clientele.llm.queries import ORACLE_SQL
@@ -282,3 +283,16 @@ def test_best_fit_decreasing_takes_the_tightest_row():
         else:
             room.append(64 - n)
     assert sorted(room) == sorted(64 - int(lengths[r].sum()) for r in rows)
+
+
+def test_language_model_and_floor_come_from_all_labelled_rows(spark):
+    n = 4000
+    rows = [(i, "ab", "x") for i in range(n)] + [(n, "ab abq", "x"), (n + 1, None, "x"), (n + 2, "cd", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language_id.train(docs)
+    counted = np.exp(model.log_prob[:, 0].astype(float)) * (3 * n + 6 + 5 + 4 + 3 + 0.5 * len(model.log_prob)) - 0.5
+    # a, b and ab, each once per short text and twice in the long one
+    assert sorted(np.rint(counted).astype(int))[-3:] == [n + 2] * 3
+    fits = language_id.predict(docs.where("lang is not null"), model, fit_col="fit").where("lang_pred = 'x'")
+    low = fits.agg(F.min("fit")).first()[0]
+    assert language_id.fit_floor(docs, model, quantile=0.0, slack=1.0) == low
