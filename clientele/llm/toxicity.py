@@ -1,13 +1,15 @@
 """Toxicity scores by a convolutional classifier with thresholds per language.
 
-Training draws a documented, bounded sample: about ``sample_per_class``
-labelled documents of each class by a hash of the id, at rates set by the
-class counts, texts over ``max_train_words`` words left out of the fit.  Their
-hashed word ids (no texts) go to the driver, where the model of
-``toxicity_model`` is fitted in numpy: three quarters for the weights, one
+Training reads all labelled documents: three quarters for the weights, one
 quarter to set a threshold for each language (the language is predicted from
-the words, too).  Scoring broadcasts the model (some 3 MB, set by its shape)
-and is one pass over whole texts without a shuffle.
+the words, too).  In every epoch each task starts from the shared weights of
+``toxicity_model``, goes over its own rows in minibatches and gives its weights
+back; their mean by rows is where the next epoch starts.  A task has about
+``TASK_ROWS`` documents, so what an epoch does to the weights does not depend
+on how the table is cut into files.  Words per language and the logits of the
+quarter set aside (in steps of 1 / 1024) are counted in Spark.  Scoring
+broadcasts the model (some 3 MB, set by its shape) and is one pass over whole
+texts without a shuffle.
 
 The score is 0.7 at the threshold of the text's language; labels, languages,
 sources and ids are no inputs of it.
@@ -19,61 +21,136 @@ highest counts; repeated rows repeat their result; other columns are ignored.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import toxicity_model
-from .common import TextBatch, if_small
+from .common import TextBatch, checkpointed
 from .toxicity_model import ToxicityModel
 
 CUT = 0.7
 
 
+# Documents of a training task; epochs at least and at most, and the documents all epochs should read together.
+TASK_ROWS = 8192
+EPOCHS, READ_ROWS = (3, 12), 100_000
+LOGIT_STEPS = 1024
+# Documents of a class set aside at least; with fewer, all labelled rows serve for the weights and for the thresholds.
+LEAST_ASIDE = 50
+# Labels up to which they are broadcast (a few MB).
+BROADCAST_LABELS = 1 << 18
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang", label_col: str = "toxic", sample_per_class: int = 2000, max_train_words: int = 20_000) -> ToxicityModel | None:
-    """Fit on labelled rows (those of ``where``, a condition on the id column, if given); None if a class is missing."""
+          lang_col: str = "lang", label_col: str = "toxic") -> ToxicityModel | None:
+    """Fit on all labelled rows (those of ``where``, a condition on the id column, if given); None if a class is missing."""
     use = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.lit(True) if where is None else where))
-    use = use.groupBy(F.col(id_col).alias("_label_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    sizes = {r["_label"]: r["n"] for r in use.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    if min(sizes.get(0, 0), sizes.get(1, 0)) == 0:
+    use = checkpointed(use.groupBy(F.col(id_col).alias("_label_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label")).withColumn(
+        "_aside", F.pmod(F.xxhash64("_label_id", F.lit("split")), F.lit(4)) == 0))
+    few = use.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    rows = docs.join(F.broadcast(use) if few else use, docs[id_col] == use["_label_id"]).select(
+        F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), "_label", "_aside")
+    if not few:
+        rows = checkpointed(rows)  # the epochs read the joined rows, none joins again
+    sizes = {(r["_label"], r["_aside"]): r["n"] for r in rows.groupBy("_label", "_aside").agg(F.count("*").alias("n")).collect()}
+    if any(sizes.get((label, False), 0) + sizes.get((label, True), 0) == 0 for label in (0, 1)):
         return None
-    draw = F.pmod(F.xxhash64(F.col("_label_id").cast("string"), F.lit("toxicity-sample")), F.lit(1 << 30)) / float(1 << 30)
-    n = F.when(F.col("_label") == 1, sizes[1]).otherwise(sizes[0])
-    sample = if_small(use.where(draw * n < sample_per_class).withColumn("_draw", F.xxhash64("_label_id", F.lit("split"))))
-    rows = docs.join(sample, docs[id_col] == sample["_label_id"]).select(
-        F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), "_label", "_draw")
+    aside = F.col("_aside")
+    if min(sizes.get((label, True), 0) for label in (0, 1)) < LEAST_ASIDE or min(sizes.get((label, False), 0) for label in (0, 1)) == 0:
+        sizes = {(label, False): sizes.get((label, False), 0) + sizes.get((label, True), 0) for label in (0, 1)}
+        fit, held = rows, rows
+    else:
+        fit, held = rows.where(~aside), rows.where(aside)
+    n = sizes[0, False] + sizes[1, False]
+    fit = fit.select("text", "_label").coalesce(max(1, math.ceil(n / TASK_ROWS)))
+    model = toxicity_model.start()
+    for epoch in range(min(max(math.ceil(READ_ROWS / n), EPOCHS[0]), EPOCHS[1])):
+        model = _epoch(fit, model, epoch)
+    toxicity_model.fit_languages(model, _language_words(rows))
+    found = _logits(held, model).groupBy("lang", "z", "_label").agg(F.count("*").alias("n")).toArrow()
+    lang, z, label, count = (found.column(c).to_numpy() for c in ("lang", "z", "_label", "n"))
+    order = np.lexsort((label, z, lang))
+    toxicity_model.calibrate(model, lang[order], z[order] / LOGIT_STEPS, label[order].astype(np.float64), count[order].astype(np.float64))
+    return model
+
+
+def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
+    words = TextBatch(batch.column("text"))
+    return np.split(toxicity_model.word_ids(words), words.first[1:-1])
+
+
+def _epoch(rows: DataFrame, model: ToxicityModel, number: int) -> ToxicityModel:
+    """The mean, by rows, of the weights that the tasks find on their own rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = toxicity_model.Epoch(shared.value, [5, number, TaskContext.get().partitionId()])
+        for batch in batches:
+            if batch.num_rows:
+                own.add(_texts(batch), batch.column("_label").to_numpy().astype(np.float32), np.ones(batch.num_rows, np.float32))
+        if own.rows:
+            total = own.weights().astype(np.float64) * own.rows
+            yield pa.RecordBatch.from_arrays([pa.array([own.rows]), pa.array([total.tobytes()], pa.binary())], names=["rows", "weights"])
+
+    def add(batches):
+        rows, total = 0, 0.0
+        for batch in batches:
+            for n, w in zip(batch.column("rows").to_pylist(), batch.column("weights").to_pylist()):
+                rows, total = rows + n, total + np.frombuffer(w, np.float64)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total.tobytes()], pa.binary())], names=["rows", "weights"])
+
+    # Sums of 4 MB each: added up in executors, so that a few reach the driver however many tasks there are.
+    found = checkpointed(rows.mapInArrow(run, "rows long, weights binary")).coalesce(4).mapInArrow(add, "rows long, weights binary").collect()
+    total = np.sum([np.frombuffer(r["weights"], np.float64) for r in found], axis=0)
+    return toxicity_model.with_weights(total / sum(r["rows"] for r in found))
+
+
+def _language_words(rows: DataFrame) -> dict[str, np.ndarray]:
+    """How often each word row occurs in each language."""
+    def run(batches):
+        held: dict[str, np.ndarray] = {}
+
+        def cells():
+            for lang, own in held.items():
+                used = np.flatnonzero(own)
+                # A language without words is one, too.
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1)), pa.array(np.append(used, 0)), pa.array(np.append(own[used], 0))],
+                                                 names=["lang", "word", "n"])
+            held.clear()
+        for batch in batches:
+            for text, lang in zip(_texts(batch), batch.column("lang").to_pylist()) if batch.num_rows else ():
+                own = held.setdefault(lang, np.zeros(toxicity_model.ROWS[0], np.int64))
+                np.add.at(own, text[:, 0], 1)
+            if len(held) > 256:
+                yield from cells()
+        yield from cells()
+    summed = rows.where("lang is not null").select("lang", "text").mapInArrow(run, "lang string, word long, n long").groupBy("lang", "word").agg(
+        F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("cells"))
+    out = {}
+    for row in summed.toLocalIterator():  # bounded by languages x word rows
+        out[row["lang"]] = np.zeros(toxicity_model.ROWS[0])
+        out[row["lang"]][[c[0] for c in row["cells"]]] = [c[1] for c in row["cells"]]
+    return out
+
+
+def _logits(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(lang: index of the predicted language, z: logit in steps, _label) of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def features(batches):
+    def run(batches):
         for batch in batches:
             words = TextBatch(batch.column("text"))
             ids = toxicity_model.word_ids(words)
-            keep = np.flatnonzero(np.diff(words.first) <= max_train_words)
-            at = pa.array(keep)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(at) for c in ("lang", "_label", "_draw")],
-                 pa.array([ids[words.first[i]:words.first[i + 1]].tobytes() for i in keep], pa.binary())],
-                names=["lang", "label", "draw", "ids"])
-
-    # Bounded by the sample: at most about 2 * sample_per_class rows of max_train_words words.
-    found = sorted(rows.mapInArrow(features, "lang string, label int, draw long, ids binary").collect(),
-                   key=lambda r: (r["draw"], r["label"], r["ids"]))
-    texts = [np.frombuffer(r["ids"], np.int32).reshape(-1, 3) for r in found]
-    y = np.array([r["label"] for r in found], np.float32)
-    if not len(y) or y.min() == y.max():
-        return None
-    weights = np.where(y == 1, sizes[1] / max((y == 1).sum(), 1), sizes[0] / max((y == 0).sum(), 1))
-    aside = np.array([r["draw"] % 4 == 0 for r in found])
-    if (y[aside] == 1).sum() < 5 or (y[aside] == 0).sum() < 5:
-        aside[:] = False
-    fit = np.flatnonzero(~aside)
-    # The classes weigh alike in the fit; calibration restores their true shares.
-    model = toxicity_model.train([texts[i] for i in fit], y[fit], np.ones(len(fit), np.float32))
-    toxicity_model.fit_languages(model, texts, [r["lang"] for r in found])
-    held = np.flatnonzero(aside) if aside.any() else np.arange(len(y))
-    toxicity_model.calibrate(model, [texts[i] for i in held], y[held], weights[held])
-    return model
+            z, lang = shared.value.logits(ids, words.first), shared.value.language(ids, words.first)
+            yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int64)), pa.array(np.rint(z * LOGIT_STEPS).astype(np.int64)), batch.column("_label")],
+                                             names=["lang", "z", "_label"])
+    return rows.select("text", "_label").mapInArrow(run, "lang long, z long, _label int")
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", keep: list[str] | None = None,

@@ -129,70 +129,116 @@ class _Adam:
             p -= scale * m / (np.sqrt(v) + 1e-8)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 12, batch: int = 32,
-          rate: float = 0.01, decay: float = 1e-3, drop: float = 0.15, seed: int = 5) -> ToxicityModel:
-    """Fit on texts given as word-id arrays; ``weights`` undo the sampling rates of the classes."""
+def start(seed: int = 5) -> ToxicityModel:
+    """The model before its first epoch."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.05, (PAD + 1, DIM)).astype(np.float32)
     embed[PAD] = 0
     kernels = [rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     biases = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-    out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
-    bias = np.zeros(1, np.float32)
-    model = ToxicityModel(embed, kernels, biases, out, 0.0)
-    params = [embed, *kernels, *biases, out, bias]
-    adam = _Adam(params, rate)
-    tail = np.full((max(WIDTHS) - 1, 3), PAD, np.int32)
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for lo in range(0, len(order), batch):
-            chosen = order[lo:lo + batch]
-            grads = [np.zeros_like(p) for p in params]
-            # All texts of the batch in one padded sequence.
-            parts = [texts[i] if len(texts[i]) else np.full((1, 3), PAD, np.int32) for i in chosen]
-            seq = np.concatenate([x for part in parts for x in (part, tail)])
-            seq = np.where(rng.random(len(seq))[:, None] < drop, PAD, seq)
-            sizes = np.array([len(part) for part in parts])
-            starts = np.concatenate([[0], np.cumsum(sizes + len(tail))[:-1]])
-            x = embed[seq].sum(axis=1)
-            best, at = [], []
-            for width, kernel, b in zip(WIDTHS, kernels, biases):
-                z = np.broadcast_to(b, (len(x) - width + 1, FILTERS)).copy()
-                for k in range(width):
-                    z += x[k:k + len(z)] @ kernel[k]
-                at.append(np.array([start + z[start:start + n].argmax(axis=0) for start, n in zip(starts, sizes)]))
-                best.append(z[at[-1], np.arange(FILTERS)])
-            pooled = np.maximum(np.concatenate(best, axis=1), 0)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ out + bias[0], -60, 60)))
-            g = ((p - labels[chosen]) * weights[chosen] / len(chosen)).astype(np.float32)
-            grads[-2] += g @ pooled
-            grads[-1] += g.sum()
-            back = g[:, None] * out * (pooled > 0)
-            for j, (width, kernel) in enumerate(zip(WIDTHS, kernels)):
-                own = back[:, j * FILTERS:(j + 1) * FILTERS]
-                grads[1 + len(WIDTHS) + j] += own.sum(axis=0)
+    return ToxicityModel(embed, kernels, biases, rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32), 0.0)
+
+
+def weights_of(model: ToxicityModel) -> np.ndarray:
+    """All weights in a row."""
+    return np.concatenate([p.ravel() for p in (model.embed, *model.kernels, *model.biases, model.out)] + [np.float32([model.bias])])
+
+
+def with_weights(flat: np.ndarray) -> ToxicityModel:
+    """The model of ``weights_of``."""
+    shapes = [(PAD + 1, DIM), *[(w, DIM, FILTERS) for w in WIDTHS], *[(FILTERS,) for _ in WIDTHS], (len(WIDTHS) * FILTERS,), (1,)]
+    parts = np.split(flat.astype(np.float32), np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
+    embed, *rest = [p.reshape(s) for p, s in zip(parts, shapes)]
+    n = len(WIDTHS)
+    return ToxicityModel(embed, rest[:n], rest[n:2 * n], rest[2 * n], float(rest[2 * n + 1][0]))
+
+
+class Epoch:
+    """One epoch of a task over its rows, minibatch by minibatch, from the shared weights."""
+
+    def __init__(self, model: ToxicityModel, seed: list[int], batch: int = 32, rate: float = 0.01, decay: float = 1e-3, drop: float = 0.15):
+        self.rng, self.batch, self.decay, self.drop, self.rows = np.random.default_rng(seed), batch, decay, drop, 0
+        self.bias = np.array([model.bias], np.float32)
+        self.params = [model.embed.copy(), *[k.copy() for k in model.kernels], *[b.copy() for b in model.biases], model.out.copy(), self.bias]
+        self.adam = _Adam(self.params, rate)
+
+    def add(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> None:
+        """Train on texts given as word-id arrays, in a drawn order."""
+        order = self.rng.permutation(len(texts))
+        for lo in range(0, len(order), self.batch):
+            chosen = order[lo:lo + self.batch]
+            self._step([texts[i] for i in chosen], labels[chosen], weights[chosen])
+        self.rows += len(texts)
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.params])
+
+    def _step(self, texts, labels, weights) -> None:
+        n = len(WIDTHS)
+        embed, kernels, biases, out, bias = self.params[0], self.params[1:1 + n], self.params[1 + n:1 + 2 * n], self.params[-2], self.params[-1]
+        reach = max(WIDTHS) - 1
+        tail = np.full((reach, 3), PAD, np.int32)
+        grads = [np.zeros_like(p) for p in self.params]
+        # All texts of the batch in one padded sequence, of which PIECE_WORDS at a time are worked on.
+        parts = [t if len(t) else np.full((1, 3), PAD, np.int32) for t in texts]
+        seq = np.concatenate([x for part in parts for x in (part, tail)])
+        seq = np.where(self.rng.random(len(seq))[:, None] < self.drop, PAD, seq)
+        sizes = np.array([len(part) for part in parts])
+        starts = np.concatenate([[0], np.cumsum(sizes + reach)[:-1]])
+        stops = starts + sizes
+        at, best = np.zeros((n, len(parts), FILTERS), np.int64), np.full((n, len(parts), FILTERS), -np.inf, np.float32)
+        for lo in range(0, len(seq) - reach, PIECE_WORDS):
+            hi = min(lo + PIECE_WORDS, len(seq) - reach)
+            x = embed[seq[lo:hi + reach]].sum(axis=1)
+            for j, (width, kernel, b) in enumerate(zip(WIDTHS, kernels, biases)):
+                z = np.broadcast_to(b, (hi - lo, FILTERS)).copy()
                 for k in range(width):
-                    rows = at[j] + k
-                    grads[1 + j][k] += np.einsum("bfd,bf->df", x[rows], own)
-                    dx = (own[:, :, None] * kernel[k].T[None]).reshape(-1, DIM)
-                    for c in range(3):
-                        np.add.at(grads[0], seq[rows, c].ravel(), dx)
-            grads[0][PAD] = 0
-            for g, p in zip(grads[:1 + len(WIDTHS)], params):
-                g += decay * p
-            adam.step(grads)
-    model.bias = float(bias[0])
+                    z += x[k:k + hi - lo] @ kernel[k]
+                for i in range(int(np.searchsorted(stops, lo, side="right")), int(np.searchsorted(starts, hi))):
+                    first = max(starts[i], lo)
+                    own = z[first - lo:min(stops[i], hi) - lo]
+                    top = own.argmax(axis=0)
+                    value = own[top, np.arange(FILTERS)]
+                    more = value > best[j, i]
+                    best[j, i][more], at[j, i][more] = value[more], first + top[more]
+        pooled = np.maximum(np.concatenate(list(best), axis=1), 0)
+        p = 1 / (1 + np.exp(-np.clip(pooled @ out + bias[0], -60, 60)))
+        g = ((p - labels) * weights / len(texts)).astype(np.float32)
+        grads[-2] += g @ pooled
+        grads[-1] += g.sum()
+        back = g[:, None] * out * (pooled > 0)
+        for j, (width, kernel) in enumerate(zip(WIDTHS, kernels)):
+            own = back[:, j * FILTERS:(j + 1) * FILTERS]
+            grads[1 + n + j] += own.sum(axis=0)
+            for k in range(width):
+                words = seq[at[j] + k]
+                grads[1 + j][k] += np.einsum("bfd,bf->df", embed[words].sum(axis=2), own)
+                dx = (own[:, :, None] * kernel[k].T[None]).reshape(-1, DIM)
+                for c in range(3):
+                    np.add.at(grads[0], words[..., c].ravel(), dx)
+        grads[0][PAD] = 0
+        for g, p in zip(grads[:1 + n], self.params):
+            g += self.decay * p
+        self.adam.step(grads)
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 12, seed: int = 5) -> ToxicityModel:
+    """Fit on texts given as word-id arrays, as one task does."""
+    model = start(seed)
+    for number in range(epochs):
+        epoch = Epoch(model, [seed, number])
+        epoch.add(texts, np.asarray(labels, np.float32), np.asarray(weights, np.float32))
+        model = with_weights(epoch.weights())
     return model
 
 
-def fit_languages(model: ToxicityModel, texts: list[np.ndarray], langs: list[str | None]) -> None:
-    """Word-level naive Bayes by which scoring picks the threshold."""
-    model.langs = sorted({lang for lang in langs if lang is not None})
-    counts = np.full((ROWS[0], max(len(model.langs), 1)), 0.5)
-    for ids, lang in zip(texts, langs):
-        if lang is not None:
-            counts[:, model.langs.index(lang)] += np.bincount(ids[:, 0], minlength=ROWS[0])
-    model.lang_log_prob = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+def fit_languages(model: ToxicityModel, counts: dict[str, np.ndarray]) -> None:
+    """Word-level naive Bayes by which scoring picks the threshold; ``counts``: of the word rows, per language."""
+    model.langs = sorted(counts)
+    cells = np.full((ROWS[0], max(len(model.langs), 1)), 0.5)
+    for i, lang in enumerate(model.langs):
+        cells[:, i] += counts[lang]
+    model.lang_log_prob = np.log(cells / cells.sum(axis=0)).astype(np.float32)
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -207,15 +253,14 @@ def _best_cut(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((z[k] + lower[k]) / 2)
 
 
-def calibrate(model: ToxicityModel, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, least: int = 20) -> None:
-    """One threshold per predicted language; languages with under ``least`` texts of a class take the overall one."""
-    if not len(texts) or labels.min() == labels.max():
+def calibrate(model: ToxicityModel, lang: np.ndarray, z: np.ndarray, labels: np.ndarray, rows: np.ndarray, least: int = 20) -> None:
+    """One threshold per predicted language; languages with under ``least`` texts of a class take the overall one.
+
+    Texts are given as counts: ``rows`` of them have this language (its index), logit and label."""
+    if not len(z) or labels.min() == labels.max():
         return
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    ids = np.concatenate(texts)
-    z, lang = model.logits(ids, first), model.language(ids, first)
-    model.threshold = _best_cut(z, labels, weights)
+    model.threshold = _best_cut(z, labels, rows)
     for i, name in enumerate(model.langs):
         own = lang == i
-        if min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= least:
-            model.thresholds[name] = _best_cut(z[own], labels[own], weights[own])
+        if min(rows[own & (labels == 1)].sum(), rows[own & (labels == 0)].sum()) >= least:
+            model.thresholds[name] = _best_cut(z[own], labels[own], rows[own])

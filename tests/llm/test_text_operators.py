@@ -296,3 +296,24 @@ def test_language_model_and_floor_come_from_all_labelled_rows(spark):
     fits = language_id.predict(docs.where("lang is not null"), model, fit_col="fit").where("lang_pred = 'x'")
     low = fits.agg(F.min("fit")).first()[0]
     assert language_id.fit_floor(docs, model, quantile=0.0, slack=1.0) == low
+
+
+def test_toxicity_learns_from_all_rows(spark):
+    n = 2200  # of each class
+    rows = [(i, f"{'bad' if i % 2 else 'good'} word{i % 7}", "en") for i in range(2 * n)] + [(2 * n, "bad " + "long " * 25_000, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2 * n)] + [(2 * n, 1)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity_model.calibrate
+    toxicity_model.calibrate = lambda model, lang, z, y, count, **kw: (seen.append(count.sum()), real(model, lang, z, y, count, **kw))
+    try:
+        model = toxicity.train(docs, labels)
+    finally:
+        toxicity_model.calibrate = real
+    # The long text counts as well, and the quarter set aside is a quarter of all.
+    assert model.langs == ["en", "xx"] and abs(seen[0] - len(rows) / 4) < len(rows) / 20
+    word = toxicity_model.word_ids(common.TextBatch(pa.array(["good"])))[0, 0]
+    share = np.exp(model.lang_log_prob[word, 0].astype(float)) * (4 * n + 0.5 * toxicity_model.ROWS[0]) - 0.5
+    assert round(share) == n
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
+    assert sum(found[i] == i % 2 for i in range(2 * n)) > 1.99 * n
