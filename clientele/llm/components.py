@@ -2,7 +2,7 @@
 
 Each step is a groupBy-min and a join on the edge list, never a group held in
 one task; the list is written to the shared checkpoint folder between steps,
-so a lost executor costs one step.  The number of rounds grows with the
+so a lost executor costs one step; a step's list goes once the next is written.  The number of rounds grows with the
 logarithm of the component size.
 """
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, drop_checkpoint
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = checkpointed(small.where("u <> v").distinct())
+        old, e = e, checkpointed(small.where("u <> v").distinct())
+        drop_checkpoint(old)
         now = _state(e)
         if now == state:
             break

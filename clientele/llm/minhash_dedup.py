@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_rank
-from .common import TextBatch, checkpointed, pick, shingles, stored, utf8_buffers
+from .common import TextBatch, checkpointed, delete_path, drop_checkpoint, pick, shared_path, shingles, stored, utf8_buffers, written
 from .components import connected_components
 from .minhash_kernel import (SKETCH_BINS, band_keys, may_reach, set_digest, signature, sketch)
 
@@ -141,17 +141,19 @@ def _residual_links(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
         F.count("*").alias("size"), F.sum("bytes").alias("bytes"), F.sum(F.expr("if(query, bytes, 0)")).alias("asked")).where(
         "asked > 0 and size > 1").select(
         "key", F.expr(f"int(ceil(asked / {QUERY_BYTES}))").alias("nq"), F.expr(f"int(ceil(bytes / {DATA_BYTES}))").alias("nd"))
-    rows = marked.join(blocks, "key").join(sets.select(F.col("id").alias("rep"), "n", "sketch", "shingles"), "rep")
+    # A set comes with its sketch only once it is in its blocks: the sketch follows from the set.
+    rows = marked.join(blocks, "key").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
     own_q, own_d = F.expr("pmod(hash(rep, 1), nq)"), F.expr("pmod(hash(rep, 2), nd)")
-    side = [F.col(c) for c in ("label", "n", "sketch", "shingles")]
+    side = [F.col(c) for c in ("label", "shingles")]
     as_query = rows.where("query").select("key", own_q.alias("qb"), F.explode(F.sequence(F.lit(0), F.expr("nd - 1"))).alias("db"), F.lit(True).alias("query"), *side)
     as_data = rows.select("key", F.explode(F.sequence(F.lit(0), F.expr("nq - 1"))).alias("qb"), own_d.alias("db"), F.lit(False).alias("query"), *side)
 
     def compare(group: pa.Table) -> pa.Table:
         mask = group.column("query").to_numpy(zero_copy_only=False)
-        label, n = (group.column(c).to_numpy() for c in ("label", "n"))
-        wide = _matrix(group.column("sketch"))
+        label = group.column("label").to_numpy()
         full = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        n = np.array([len(s) for s in full])
+        wide = _matrix(pa.array([sketch(s) for s in full], pa.binary()))
         root = label.copy()
         data = np.flatnonzero(~mask)
         for q in np.flatnonzero(mask):
@@ -176,11 +178,15 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
     banded = classes.where("rep is not null").select("rep", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = checkpointed(banded.join(hubs, "key").select("key", "hub", "rep"))
-    sets = stored(_full_sets(pick(rows, members.select("rep"), "id", "left_semi").dropDuplicates(["id"])), "shingle-sets")
+    path = shared_path(rows.sparkSession, "shingle-sets")
+    sets = written(_full_sets(pick(rows, members.select("rep"), "id", "left_semi").dropDuplicates(["id"])), path)
     star = members.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
     links = _confirmed(_plausible(star, sets, percent / 100), sets, percent)
     stars = checkpointed(connected_components(links).toDF("node", "label"))
     more = connected_components(_residual_links(members, stars, sets, percent)).toDF("label", "component")
+    # The components are written: the large tables they come from are not read again.
+    delete_path(rows.sparkSession, path)
+    drop_checkpoint(members)
     labels = stars.join(more, "label", "full").select(
         F.coalesce("node", "label").alias("node"), F.coalesce("component", "label").alias("component")).union(
         more.toDF("node", "component")).distinct()
