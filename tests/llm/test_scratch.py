@@ -4,7 +4,7 @@ import pathlib
 from pyspark.sql import functions as F
 
 from clientele.llm import common, components, minhash_dedup
-from clientele.session import ensure_checkpoint_dir
+from clientele.session import SHUFFLE_CLEANUP, ensure_checkpoint_dir
 
 
 def folders(spark, pattern):
@@ -30,9 +30,9 @@ def test_sets_and_old_rounds_are_removed(spark):
 
 
 def test_setting_is_restored(spark):
-    before = spark.conf.get(common._CLEANUP)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
     common.checkpointed(spark.range(10).groupBy("id").count())
-    assert spark.conf.get(common._CLEANUP) == before
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
 
 
 def test_block_exchange_carries_no_sketch(spark):
