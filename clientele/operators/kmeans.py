@@ -37,12 +37,27 @@ class Clusters:
     inertia: float
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
-        return squared(x, self.centers).argmin(axis=1)
+        return nearest(np.ascontiguousarray(x.T), self.centers)[0]
 
 
-def squared(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distances, points x centres."""
-    return ((x[:, None, :] - centers) ** 2).sum(axis=2)
+def nearest(columns: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre, squared distance to it) of every point, given by columns; ties go to the first centre.
+
+    One centre after the other on whole columns: all temporaries are one number a point and stay in the cache.
+    """
+    at, far = np.zeros(columns.shape[1], np.int64), None
+    for i, center in enumerate(centers):
+        distance = np.zeros(columns.shape[1])
+        for column, c in zip(columns, center):
+            part = column - c
+            part *= part
+            distance += part
+        if far is None:
+            far = distance
+            continue
+        np.putmask(at, distance < far, i)
+        np.minimum(far, distance, out=far)
+    return at, far
 
 
 def race(keys: np.ndarray, start: int, step: int, weight: np.ndarray) -> np.ndarray:
@@ -62,9 +77,11 @@ def _starts(points: DataFrame, k: int, starts: list[int]) -> dict[int, np.ndarra
             for batch in batches:
                 for n, x, key in zip(*(batch.column(c).to_pylist() for c in ("n", "x", "key"))):
                     m, keys = matrix(x, n), np.frombuffer(key, np.int64)
+                    columns = np.ascontiguousarray(m.T)
                     for i, centers in shared.value.items():
-                        time = race(keys, i, step, squared(m, centers).min(axis=1) if len(centers) else np.ones(n))
-                        first = np.lexsort((keys, time))[0]
+                        time = race(keys, i, step, nearest(columns, centers)[1] if len(centers) else np.ones(n))
+                        ties = np.flatnonzero(time == time.min())
+                        first = ties[keys[ties].argmin()]
                         found = (float(time[first]), int(keys[first]), m[first].tolist())
                         if i not in best or found < best[i]:
                             best[i] = found
@@ -88,13 +105,12 @@ def _step(points: DataFrame, fits: dict[tuple, np.ndarray], partitions: int) ->
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for n, x in zip(batch.column("n").to_pylist(), batch.column("x").to_pylist()):
-                m = matrix(x, n)
-                whole = np.rint(m * SCALE)
+                columns = np.ascontiguousarray(matrix(x, n).T)
+                whole = np.rint(columns * SCALE)
                 for fit, centers in shared.value.items():
-                    far = squared(m, centers)
-                    at = far.argmin(axis=1)
-                    weights = [*whole.T, np.ones(n), np.rint(far[np.arange(n), at] * SCALE)]
-                    own = np.stack([np.bincount(at, weights=w, minlength=len(centers)) for w in weights], axis=1).astype(np.int64)
+                    at, far = nearest(columns, centers)
+                    sums = [np.bincount(at, weights=w, minlength=len(centers)) for w in (*whole, np.rint(far * SCALE))]
+                    own = np.stack([*sums[:-1], np.bincount(at, minlength=len(centers)), sums[-1]], axis=1).astype(np.int64)
                     totals[fit] = totals[fit] + own if fit in totals else own
         for (k, i), v in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([v.tobytes()], pa.binary())],
