@@ -64,9 +64,7 @@ def from_tpch(spark: SparkSession, sf_dir: str, columns: list[str] | None = None
     df = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
           .join(parts, lines.l_partkey == parts.p_partkey))
     if "country" in want:
-        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-        cust = (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-                .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
+        cust = _customer_nations(spark, sf_dir)
         df = df.join(cust, df.o_custkey == cust.c_custkey, "left")
     order_key = F.col("l_orderkey").cast("string")
     exprs = {
@@ -82,6 +80,17 @@ def from_tpch(spark: SparkSession, sf_dir: str, columns: list[str] | None = None
     return df.select(*[exprs[c].alias(c) for c in want])
 
 
+def _customer_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
+
+
+def customer_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(customer_id, country) as the lines get it."""
+    return _customer_nations(spark, sf_dir).select(F.col("c_custkey").alias("customer_id"), F.col("n_name").alias("country"))
+
+
 def _plain(name: str) -> str:
     return "".join(c for c in name.lower() if c.isalnum())
 
