@@ -59,11 +59,10 @@ def term_counts(rows: DataFrame) -> DataFrame:
             held_by, n = np.unique(words.doc() * k + words.codes, return_counts=True)
             keys, n, docs = run_sums(group[held_by // k] * k + held_by % k, n, np.ones(len(held_by), np.int64))
             group, term = keys // k, keys % k
-            out = held.add(pa.table({
+            yield from batches_of(held.add(pa.table({
                 "lang": lang.dictionary.take(pa.array(group // len(source.dictionary))),
                 "source": source.dictionary.take(pa.array(group % len(source.dictionary))),
-                "term": text_column(words.words).take(pa.array(term)), "n": pa.array(n), "docs": pa.array(docs)}))
-            yield from batches_of(out)
+                "term": text_column(words.words).take(pa.array(term)), "n": pa.array(n), "docs": pa.array(docs)})))
         yield from batches_of(held.take())
     return rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 

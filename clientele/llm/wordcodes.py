@@ -116,8 +116,13 @@ class TableSums:
             return None
         table = pa.concat_tables(self.parts)
         self.parts, self.rows = [], 0
-        out = table.group_by(self.keys).aggregate([(c, "sum") for c in self.sums])
-        return out.rename_columns([c[:-4] if c.endswith("_sum") else c for c in out.column_names]).select(table.column_names)
+        columns = table.column_names
+        # In this thread only: Arrow would take a thread per core of the machine, each with its own table of keys.
+        out = table.group_by(self.keys, use_threads=False).aggregate([(c, "sum") for c in self.sums])
+        del table
+        # Arrow keeps what it freed; a worker outlives its task and counts beside the executor's heap.
+        pa.default_memory_pool().release_unused()
+        return out.rename_columns([c[:-4] if c.endswith("_sum") else c for c in out.column_names]).select(columns)
 
 
 def batches_of(table: pa.Table | None, rows: int = 1 << 16):
